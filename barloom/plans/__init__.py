@@ -6,6 +6,8 @@ from __future__ import annotations
 def catalogue():
     """All registered queries, by name."""
     from barloom.plans import (  # noqa: F401
+        portfolios,
+        signals,
         windows,
     )
     from barloom.plans.registry import CATALOGUE

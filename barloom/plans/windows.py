@@ -224,7 +224,7 @@ def _(t: Tables) -> DataFrame:
     "w04_sma",
     "SELECT symbol, date, " + ", ".join(f"{roll('avg', 'close', n)} AS sma{n}" for n in (20, 50, 200)) + " FROM bars",
     "bars",
-    "sma20 sma50 sma200",
+    "sma20:4 sma50:4 sma200:4",
 )
 def _(t: Tables) -> DataFrame:
     return t.bars().select("symbol", "date", *[S.sma("close", n).alias(f"sma{n}") for n in (20, 50, 200)])
@@ -234,7 +234,7 @@ def _(t: Tables) -> DataFrame:
     "w05_rolling_std",
     "SELECT symbol, date, " + ", ".join(f"{roll('stddev_samp', 'close', n)} AS std{n}" for n in (20, 60)) + " FROM bars",
     "bars",
-    "std20:6 std60:6",
+    "std20:4 std60:4",
 )
 def _(t: Tables) -> DataFrame:
     return t.bars().select("symbol", "date", *[S.rolling_std("close", n).alias(f"std{n}") for n in (20, 60)])
@@ -267,7 +267,7 @@ def _ewm_ctes() -> None:
 _ewm_ctes()
 
 
-@query("w06_ewm", "SELECT symbol, date, ema12, ema26, ag AS avg_gain, al AS avg_loss FROM ewm", "ewm", "ema12 ema26 avg_gain avg_loss")
+@query("w06_ewm", "SELECT symbol, date, ema12, ema26, ag AS avg_gain, al AS avg_loss FROM ewm", "ewm", "ema12:4 ema26:4 avg_gain:4 avg_loss:4")
 def _(t: Tables) -> DataFrame:
     legs = tech.with_rsi_inputs(t.bars(), seed_zero=False)
     specs = {
@@ -279,14 +279,14 @@ def _(t: Tables) -> DataFrame:
     return S.with_ewm(S.with_row_index(legs), specs).select("symbol", "date", *specs)
 
 
-@query("w07_macd", "SELECT symbol, date, macd, macd - sig AS macd_hist FROM macd", "macd", "macd macd_hist")
+@query("w07_macd", "SELECT symbol, date, macd, macd - sig AS macd_hist FROM macd", "macd", "macd:4 macd_hist:4")
 def _(t: Tables) -> DataFrame:
     e = S.with_ewm(S.with_row_index(t.bars()), {"e12": ("close", S.span_alpha(12)), "e26": ("close", S.span_alpha(26))})
     m = S.with_ewm(e.withColumn("macd", F.col("e12") - F.col("e26")), {"sig": ("macd", S.span_alpha(9))})
     return m.select("symbol", "date", "macd", (F.col("macd") - F.col("sig")).alias("macd_hist"))
 
 
-@query("w08_rsi_feature", "SELECT symbol, date, 100 - 100/(1 + ag/nullif(al, 0)) AS rsi FROM ewm", "ewm", "rsi")
+@query("w08_rsi_feature", "SELECT symbol, date, 100 - 100/(1 + ag/nullif(al, 0)) AS rsi FROM ewm", "ewm", "rsi:6")
 def _(t: Tables) -> DataFrame:
     legs = S.with_row_index(tech.with_rsi_inputs(t.bars(), seed_zero=False))
     means = S.with_ewm(legs, {"avg_gain": ("_gain", tech.RSI_ALPHA), "avg_loss": ("_loss", tech.RSI_ALPHA)})
@@ -305,7 +305,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY date)"""
     f"""SELECT symbol, date, CASE WHEN i >= 13 THEN CASE WHEN al = 0 AND ag > 0 THEN 100.0 ELSE 100 - 100/(1 + ag/nullif(al,0)) END END AS rsi_14
         FROM ({_RSI0.format(src='idx')})""",
     "idx",
-    "rsi_14",
+    "rsi_14:6",
 )
 def _(t: Tables) -> DataFrame:
     legs = S.with_row_index(tech.with_rsi_inputs(t.bars(), seed_zero=True))
@@ -452,7 +452,7 @@ cte(
     "index_panel",
     "vix",
 )
-_BASE = " ".join(tech.BASE_FEATURES) + " fwd_ret rel_fwd_ret"
+_BASE = " ".join(f"{c}:{4 if c == 'macd_hist' else 6}" for c in [*tech.BASE_FEATURES, "fwd_ret", "rel_fwd_ret"])
 
 
 def base_panel(t: Tables) -> DataFrame:
