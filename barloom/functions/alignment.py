@@ -51,7 +51,8 @@ def asof_backward(
     w = Window.partitionBy("_by").orderBy("_t", "_kind", "_seq")
     hit = F.last(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if back_fill:
-        hit = F.coalesce(hit, F.first(fact, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        # only probes ahead of every fact get here, so the series' first fact is the next one
+        hit = F.coalesce(hit, F.first(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return (
         both.withColumn("_hit", hit)
         .where(F.col("_kind") == 1)

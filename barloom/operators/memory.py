@@ -58,8 +58,8 @@ def similar_decisions(store: DataFrame, probe: DataFrame, k: int = 5) -> DataFra
     The probe enters as a scalar, the store is scanned once and each task keeps
     its own k best before the final merge.
     """
-    vec = probe.select("embedding").scalar()
-    scored = store.withColumn("distance", cosine_distance(F.col("embedding"), vec)).drop("embedding")
+    with_probe = store.withColumn("_probe", probe.select("embedding").scalar())
+    scored = with_probe.withColumn("distance", cosine_distance(F.col("embedding"), F.col("_probe"))).drop("embedding", "_probe")
     return scored.where(F.col("distance").isNotNull()).orderBy("distance", "id").limit(k)
 
 

@@ -6,7 +6,9 @@ from __future__ import annotations
 def catalogue():
     """All registered queries, by name."""
     from barloom.plans import (  # noqa: F401
+        evaluations,
         portfolios,
+        runlogs,
         signals,
         windows,
     )

@@ -166,7 +166,7 @@ def _(t: Tables) -> DataFrame:
     f"""SELECT symbol, close AS entry_price, {pyround('sh', 2)} AS shares, DATE '{BARS_ASOF}' AS entry_date FROM (
         SELECT symbol, close, 100000.0::DOUBLE*w/close AS sh FROM (SELECT symbol, arg_max(close, date) AS close, CAST(arg_max(volume, date) % 9 AS DOUBLE)/100 AS w FROM bars GROUP BY 1) WHERE w > 0)""",
     "bars",
-    "entry_price shares",
+    "shares",
 )
 def _(t: Tables) -> DataFrame:
     latest = tech.latest_per_symbol(t.bars())
@@ -190,7 +190,6 @@ def _(t: Tables) -> DataFrame:
     "s12_explode_state",
     "SELECT symbol, entry_price, shares, CAST(entry_date AS VARCHAR) AS entry_date FROM positions",
     "positions",
-    "entry_price",
 )
 def _(t: Tables) -> DataFrame:
     body = F.struct("entry_price", "shares", F.col("entry_date").cast("string").alias("entry_date"))
@@ -203,7 +202,6 @@ def _(t: Tables) -> DataFrame:
     "j12_mark_positions",
     "SELECT symbol, entry_price, shares, entry_date, coalesce(px, entry_price) AS current_price FROM positions LEFT JOIN (SELECT symbol, arg_max(close, date) AS px FROM bars WHERE date > DATE '2001-10-20' GROUP BY 1) USING (symbol)",
     "positions bars",
-    "entry_price current_price",
 )
 def _(t: Tables) -> DataFrame:
     latest = tech.latest_per_symbol(t.bars(since="2001-10-21"))
@@ -371,15 +369,21 @@ cte(
     "fixed_pairs",
     "pair_rows",
 )
-cte(
-    "pair_signals",
-    f"""SELECT symbol1, symbol2, {pyround('z', 3)} AS zscore, CASE WHEN z > 2 THEN 'enter_short_spread' WHEN z < -2 THEN 'enter_long_spread' WHEN abs(z) < 0.5 THEN 'exit' ELSE 'hold' END AS signal,
+def _signals_sql(src: str) -> str:
+    return f"""SELECT symbol1, symbol2, {pyround('z', 3)} AS zscore, CASE WHEN z > 2 THEN 'enter_short_spread' WHEN z < -2 THEN 'enter_long_spread' WHEN abs(z) < 0.5 THEN 'exit' ELSE 'hold' END AS signal,
         CASE WHEN z > 2 THEN symbol2 WHEN z < -2 THEN symbol1 END AS long_symbol, CASE WHEN z > 2 THEN symbol1 WHEN z < -2 THEN symbol2 END AS short_symbol, pvalue FROM (
         SELECT *, (spread - avg(spread) OVER w)/stddev_samp(spread) OVER w AS z, count(*) OVER (PARTITION BY symbol1, symbol2) AS n,
-               row_number() OVER (PARTITION BY symbol1, symbol2 ORDER BY date DESC) AS back FROM spreads WINDOW w AS (PARTITION BY symbol1, symbol2 ORDER BY date ROWS 59 PRECEDING))
-        WHERE back = 1 AND n >= 60""",
-    "spreads",
+               row_number() OVER (PARTITION BY symbol1, symbol2 ORDER BY date DESC) AS back FROM {src} WINDOW w AS (PARTITION BY symbol1, symbol2 ORDER BY date ROWS 59 PRECEDING))
+        WHERE back = 1 AND n >= 60"""
+
+
+cte("pair_signals", _signals_sql("spreads"), "spreads")
+cte(
+    "unit_spreads",
+    "SELECT symbol1, symbol2, 0.01::DOUBLE AS pvalue, date, c1 - 1.0::DOUBLE*c2 AS spread FROM pair_rows WHERE date > DATE '1998-05-15' AND date <= DATE '1998-11-15'",
+    "pair_rows",
 )
+cte("unit_signals", _signals_sql("unit_spreads"), "unit_spreads")
 
 
 def fixed_pairs(t: Tables) -> DataFrame:
@@ -392,7 +396,7 @@ def recent_baskets(t: Tables) -> DataFrame:
     return t.baskets().where(F.col("date") > F.lit("2001-05-04").cast("date"))
 
 
-@query("j07_w22_pair_spreads", "SELECT symbol1, symbol2, date, spread FROM spreads", "spreads", "spread:4")
+@query("j07_w22_pair_spreads", "SELECT symbol1, symbol2, date, spread FROM spreads", "spreads")
 def _(t: Tables) -> DataFrame:
     return pairs.pair_spreads(fixed_pairs(t), recent_baskets(t)).select("symbol1", "symbol2", "date", "spread")
 
@@ -404,12 +408,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "d19_pair_weight_deltas",
-    "SELECT long_symbol AS symbol, count(*)*0.05::DOUBLE AS weight FROM pair_signals WHERE signal IN ('enter_long_spread') AND long_symbol IS NOT NULL GROUP BY 1",
-    "pair_signals",
+    "SELECT long_symbol AS symbol, count(*)*0.05::DOUBLE AS weight FROM unit_signals WHERE signal = 'enter_long_spread' GROUP BY 1",
+    "unit_signals",
     "weight",
 )
 def _(t: Tables) -> DataFrame:
-    return pairs.pair_weight_deltas(pairs.pair_signals(fixed_pairs(t), recent_baskets(t)))
+    spread_pairs = fixed_pairs(t).withColumn("hedge_ratio", F.lit(1.0))
+    window = t.baskets().where("date > date'1998-05-15' and date <= date'1998-11-15'")
+    return pairs.pair_weight_deltas(pairs.pair_signals(spread_pairs, window))
 
 
 @query("d23_hrp_weights")
@@ -424,7 +430,6 @@ def _(t: Tables) -> DataFrame:
     """SELECT r.run_date, b.symbol, b.date, b.close FROM (SELECT max(date) AS run_date FROM baskets GROUP BY date_trunc('month', date)) r
        JOIN bcal k ON k.date = r.run_date JOIN bcal c ON c.k BETWEEN k.k - 251 AND k.k JOIN baskets b ON b.date = c.date""",
     "baskets bcal",
-    "close",
 )
 def _(t: Tables) -> DataFrame:
     bars = t.baskets()

@@ -277,7 +277,7 @@ def _(t: Tables) -> DataFrame:
     return macro.macro_regime(t.macro(), BARS_ASOF).withColumn("signals", F.array_join("signals", "|"))
 
 
-@query("a01_last_value", "SELECT symbol, arg_max(close, date) AS close, max(date) AS date FROM macro_long GROUP BY 1", "macro_long", "close")
+@query("a01_last_value", "SELECT symbol, arg_max(close, date) AS close, max(date) AS date FROM macro_long GROUP BY 1", "macro_long")
 def _(t: Tables) -> DataFrame:
     return t.macro().groupBy("symbol").agg(F.max_by("close", "date").alias("close"), F.max("date").alias("date"))
 
@@ -316,7 +316,7 @@ cte(
     "a18_w14_screen_stats",
     "SELECT * FROM screen_stats",
     "screen_stats",
-    "last sma200:4 avg_dollar_volume:2 momentum",
+    "sma200:4 avg_dollar_volume:2 momentum",
 )
 def _(t: Tables) -> DataFrame:
     return universe.screen_stats(t.bars())

@@ -22,7 +22,6 @@ SNAPSHOT_DAYS = 150  # calendar days that hold about 30 bars of a supplier
     "s01_read_bars",
     "SELECT symbol, date, close, volume FROM bars JOIN dims USING (symbol) WHERE date >= DATE '1999-01-01' AND sector IN ('ASIA','EUROPE')",
     "bars dims",
-    "close",
 )
 def _(t: Tables) -> DataFrame:
     return readers.read_bars(t.bars(since="1999-01-01"), t.dims().where("sector in ('ASIA','EUROPE')"))
@@ -32,7 +31,6 @@ def _(t: Tables) -> DataFrame:
     "s01_bars_from_wide",
     "SELECT sector AS symbol, date, close FROM sector_bars",
     "sector_bars",
-    "close",
 )
 def _(t: Tables) -> DataFrame:
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -44,13 +42,12 @@ def _(t: Tables) -> DataFrame:
     "s02_trailing_bars",
     f"SELECT symbol, date, close, volume FROM bars WHERE date > DATE '{BARS_ASOF}' - {SNAPSHOT_DAYS} AND date <= DATE '{BARS_ASOF}'",
     "bars",
-    "close",
 )
 def _(t: Tables) -> DataFrame:
     return readers.trailing_bars(t.bars(), BARS_ASOF, SNAPSHOT_DAYS)
 
 
-@query("s03_read_earnings", "SELECT symbol, report_date, actual, estimate, surprise FROM earnings", "earnings", "actual estimate surprise")
+@query("s03_read_earnings", "SELECT symbol, report_date, actual, estimate, surprise FROM earnings", "earnings", "surprise")
 def _(t: Tables) -> DataFrame:
     return readers.read_earnings(t.earnings())
 
@@ -171,7 +168,6 @@ def _(t: Tables) -> DataFrame:
     """SELECT symbol, date, CASE WHEN abs(x) < 'Infinity'::DOUBLE THEN x END AS x FROM (
        SELECT symbol, date, CASE WHEN volume % 7 = 0 THEN 'NaN'::DOUBLE WHEN volume % 11 = 0 THEN 'Infinity'::DOUBLE ELSE close END AS x FROM bars)""",
     "bars",
-    "x",
 )
 def _(t: Tables) -> DataFrame:
     from barloom.sources.sinks import sanitise
@@ -607,6 +603,6 @@ def _(t: Tables) -> DataFrame:
     return t.scored_panel().select("date", "symbol", direction.alias("direction"), confidence.alias("confidence"))
 
 
-@query("t07_latest_row", "SELECT symbol, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM bars GROUP BY symbol", "bars", "close")
+@query("t07_latest_row", "SELECT symbol, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM bars GROUP BY symbol", "bars")
 def _(t: Tables) -> DataFrame:
     return tech.latest_per_symbol(t.bars())
