@@ -52,18 +52,35 @@ def sma(c, n: int, min_periods: int | None = None, **kw) -> Column:
     return rolling(F.avg, c, n, min_periods, **kw)
 
 
+def running_sum(src: str, key: str = "symbol", order: str = "date") -> list[Column]:
+    """``_cs`` and ``_cn``: sum and count of ``src`` so far, the base of :func:`prefix_mean`."""
+    upto = series(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    return [F.sum(src).over(upto).alias("_cs"), F.count(src).over(upto).alias("_cn")]
+
+
+def prefix_mean(n: int, key: str = "symbol", order: str = "date") -> Column:
+    """Moving average over n rows as a difference of running sums; NULL until n values are present.
+
+    Constant work per row, where a sliding frame adds up n values for every row.
+    """
+    w = series(key, order)
+    have = F.col("_cn") - F.coalesce(F.lag("_cn", n).over(w), F.lit(0))
+    total = F.col("_cs") - F.coalesce(F.lag("_cs", n).over(w), F.lit(0.0))
+    return F.when(have >= n, total / n)
+
+
 def rolling_std(c, n: int, **kw) -> Column:
     return rolling(F.stddev_samp, c, n, **kw)
 
 
 def with_row_index(df: DataFrame, key: str = "symbol", order: str = "date") -> DataFrame:
     """0-based row number split into a block id and an offset for :func:`with_ewm`."""
-    rn = F.row_number().over(series(key, order)) - 1
-    return (
-        df.withColumn("_rn", rn)
-        .withColumn("_blk", F.floor(F.col("_rn") / EWM_BLOCK).cast("int"))
-        .withColumn("_off", F.col("_rn") % EWM_BLOCK)
-    )
+    return split_row_index(df.withColumn("_rn", F.row_number().over(series(key, order)) - 1))
+
+
+def split_row_index(df: DataFrame) -> DataFrame:
+    """``_blk`` and ``_off`` from an existing ``_rn``."""
+    return df.select("*", F.floor(F.col("_rn") / EWM_BLOCK).cast("int").alias("_blk"), (F.col("_rn") % EWM_BLOCK).alias("_off"))
 
 
 def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
@@ -74,38 +91,37 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "sym
     ``t_j = a*x_j*b^-j``: one running sum, no Python. The sum restarts every
     ``EWM_BLOCK`` rows and the value at the end of the previous block is carried
     in, which keeps the powers representable for any series length. Needs the
-    columns of :func:`with_row_index`.
+    columns of :func:`with_row_index`; all specs share two window nodes.
     """
     for out, (_, alpha) in specs.items():
         if not EWM_ALPHA[0] <= alpha <= EWM_ALPHA[1]:
             raise ValueError(f"{out}: alpha must be within {EWM_ALPHA}")
-    seq = Window.partitionBy(key).orderBy("_blk", order)
     block = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = seq.rowsBetween(Window.unboundedPreceding, -1)
-    upto = seq.rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_blk", order).rowsBetween(Window.unboundedPreceding, -1)
     kept = df.columns
 
-    seeded = df.select("*", *[F.count(src).over(upto).alias(f"_n_{out}") for out, (src, _) in specs.items()])
-    local = []
+    def power(alpha: float, exponent: Column) -> Column:
+        return F.pow(F.lit(1.0 - alpha), exponent)
+
+    sums = []
     for out, (src, alpha) in specs.items():
-        weight = F.when(F.col(f"_n_{out}") == 1, 1.0).otherwise(alpha)
-        term = F.col(src) * weight * F.pow(F.lit(1.0 - alpha), -F.col("_off"))
-        local.append((F.sum(term).over(block) * F.pow(F.lit(1.0 - alpha), F.col("_off"))).alias(f"_l_{out}"))
-    summed = seeded.select("*", *local)
-    carry = [
-        F.last(F.when(F.col("_off") == EWM_BLOCK - 1, F.col(f"_l_{out}")), ignorenulls=True).over(before).alias(f"_c_{out}")
-        for out in specs
-    ]
-    carried = summed.select("*", *carry)
+        sums.append(F.sum(F.col(src) * alpha * power(alpha, -F.col("_off"))).over(block).alias(f"_l_{out}"))
+        sums.append(F.first(F.when(F.col(src).isNotNull(), F.struct(F.col("_off").alias("o"), F.col(src).alias("x"))), True).over(block).alias(f"_s_{out}"))
+    local = []
+    for out, (_, alpha) in specs.items():
+        # the first value of a series weighs 1, not alpha
+        seed = F.col(f"_s_{out}.x") * (1.0 - alpha) * power(alpha, F.col("_off") - F.col(f"_s_{out}.o"))
+        local.append((F.col(f"_l_{out}") * power(alpha, F.col("_off")) + F.when(F.col("_blk") == 0, seed).otherwise(0.0)).alias(f"_e_{out}"))
+    summed = df.select("*", *sums).select(*kept, *local)
+    carry = [F.last(F.when(F.col("_off") == EWM_BLOCK - 1, F.col(f"_e_{out}")), ignorenulls=True).over(before).alias(f"_c_{out}") for out in specs]
     final = [
         F.when(
             F.col(src).isNotNull(),
-            F.col(f"_l_{out}")
-            + F.coalesce(F.col(f"_c_{out}") * F.pow(F.lit(1.0 - alpha), F.col("_off") + 1), F.lit(0.0)),
+            F.col(f"_e_{out}") + F.when(F.col("_blk") > 0, F.col(f"_c_{out}") * power(alpha, F.col("_off") + 1)).otherwise(0.0),
         ).alias(out)
         for out, (src, alpha) in specs.items()
     ]
-    return carried.select(*kept, *final)
+    return summed.select("*", *carry).select(*kept, *final)
 
 
 def span_alpha(span: float) -> float:

@@ -11,11 +11,13 @@ from barloom.functions.series import (
     forward_return,
     log_return,
     pct_change,
-    rolling,
+    prefix_mean,
     rolling_std,
+    running_sum,
     series,
     sma,
     span_alpha,
+    split_row_index,
     with_ewm,
     with_row_index,
 )
@@ -54,32 +56,34 @@ def with_history(df: DataFrame, rows: int, key: str = "symbol") -> DataFrame:
 def with_volume_ratio(bars: DataFrame) -> DataFrame:
     """Volume over its 20-row mean, taken on volume's own non-missing rows.
 
-    A series without any volume gets a constant 1.
+    A series without any volume gets a constant 1. Also counts the closes of the
+    series (``_have``), as both counts share a window.
     """
-    has = F.col("volume").isNotNull()
     w = Window.partitionBy("symbol", "_hasv").orderBy("date").rowsBetween(-19, 0)
-    mean20 = F.when(F.count("volume").over(w) >= 20, F.avg("volume").over(w))
-    none = F.count("volume").over(Window.partitionBy("symbol")) == 0
+    whole = Window.partitionBy("symbol")
     return (
-        bars.withColumn("_hasv", has)
-        .withColumn("_vr", ratio("volume", mean20))
-        .withColumn("volume_ratio", F.when(none, F.lit(1.0)).otherwise(F.col("_vr")))
-        .drop("_hasv", "_vr")
+        bars.withColumn("_hasv", F.col("volume").isNotNull())
+        .select("*", F.avg("volume").over(w).alias("_vm"), F.count("volume").over(w).alias("_vn"))
+        .select("*", F.count("volume").over(whole).alias("_volumes"), F.count("close").over(whole).alias("_have"))
+        .withColumn("volume_ratio", F.when(F.col("_volumes") == 0, 1.0).when(F.col("_vn") >= 20, ratio("volume", "_vm")))
+        .drop("_hasv", "_vm", "_vn", "_volumes")
     )
 
 
-def with_rsi_inputs(df: DataFrame, seed_zero: bool) -> DataFrame:
-    """Gain and loss legs of the close-to-close change.
+def with_rsi_inputs(df: DataFrame, seed_zero: bool, *extra: Column) -> DataFrame:
+    """Gain and loss legs of the close-to-close change, plus ``extra`` same-window columns.
 
     ``seed_zero`` starts both legs at 0 on the first row (indicator form);
     otherwise the first change seeds them (feature form).
     """
-    diff = F.col("close") - F.lag("close", 1).over(series())
     first = F.lit(0.0) if seed_zero else F.lit(None).cast("double")
-    return df.withColumn("_diff", diff).select(
-        "*",
-        F.when(F.col("_diff").isNull(), first).otherwise(F.greatest(F.col("_diff"), F.lit(0.0))).alias("_gain"),
-        F.when(F.col("_diff").isNull(), first).otherwise(F.greatest(-F.col("_diff"), F.lit(0.0))).alias("_loss"),
+    diff = F.col("close") - F.col("_prev")
+
+    def leg(d: Column) -> Column:
+        return F.when(F.col("_prev").isNull(), first).otherwise(F.greatest(d, F.lit(0.0)))
+
+    return df.select("*", F.lag("close", 1).over(series()).alias("_prev"), *extra).select(
+        "*", diff.alias("_diff"), leg(diff).alias("_gain"), leg(-diff).alias("_loss")
     )
 
 
@@ -91,17 +95,16 @@ def rsi(gain: str = "avg_gain", loss: str = "avg_loss", zero_loss: float | None
     return F.when((F.col(loss) == 0) & (F.col(gain) > 0), F.lit(zero_loss)).otherwise(value)
 
 
-def index_panel(sector_bars: DataFrame, market: DataFrame, market_name: str = "MKT") -> DataFrame:
+def index_panel(indices: DataFrame) -> DataFrame:
     """(index, date, idx_ret_5d, idx_fwd_5d) of the market and every sector.
 
-    Gaps are forward-filled on the union calendar before taking returns. The
-    result is sectors x days, so it is broadcast after counting it.
+    Gaps are forward-filled on the union calendar before taking returns. Indices
+    are sectors x days: they are counted and kept once, everything after that
+    works on the kept rows.
     """
-    stacked = sector_bars.select(F.col("sector").alias("index"), "date", "close").unionByName(
-        market.select(F.lit(market_name).alias("index"), "date", "close")
-    )
+    kept = small_side(indices.select("index", "date", "close"))
     w = series("index")
-    return fill_on_calendar(stacked, stacked, "index", "close").select(
+    return fill_on_calendar(kept, kept, "index", "close").select(
         "index",
         "date",
         pct_change("close", 5, w).alias("idx_ret_5d"),
@@ -109,34 +112,54 @@ def index_panel(sector_bars: DataFrame, market: DataFrame, market_name: str = "M
     )
 
 
-def price_windows() -> list[Column]:
-    """All same-window price columns, planned as one window node."""
+SMA_ROWS = (20, 50, 200)
+RETURN_ROWS = (5, 21, 63, 252)
+
+
+def with_price_features(df: DataFrame) -> DataFrame:
+    """Band position, returns, momentum and distance to the moving averages.
+
+    Every window value is a column of its own before it is used (repeated window
+    expressions would be computed repeatedly). Needs ``running_sum("close")`` and
+    the ``_diff`` column.
+    """
+    w = series()
+    raw = df.select(
+        "*",
+        *[prefix_mean(n).alias(f"_sma{n}") for n in SMA_ROWS],
+        *[F.lag("close", n).over(w).alias(f"_lag{n}") for n in RETURN_ROWS],
+        F.lead("close", FORWARD_ROWS).over(w).alias("_ahead"),
+        rolling_std("close", 20).alias("_std20"),
+        sma(F.abs("_diff"), 14).alias("_atr"),
+    )
     c = F.col("close")
-    sma20, sma50, sma200 = sma("close", 20), sma("close", 50), sma("close", 200)
-    std20 = rolling_std("close", 20)
-    return [
-        ((c - (sma20 - 2 * std20)) / (4 * std20 + 1e-9)).alias("bb_pos"),
-        pct_change("close", 5).alias("ret_5d"),
-        pct_change("close", 21).alias("ret_21d"),
-        pct_change("close", 63).alias("ret_63d"),
-        (pct_change("close", 252) - pct_change("close", 21)).alias("momentum_12_1"),
-        ratio(c - sma20, sma20).alias("price_vs_sma20"),
-        ratio(c - sma50, sma50).alias("price_vs_sma50"),
-        ratio(c - sma200, sma200).alias("price_vs_sma200"),
-        forward_return("close", FORWARD_ROWS).alias("fwd_ret"),
-    ]
-
-
-def technical_features(bars: DataFrame, dims: DataFrame, sector_bars: DataFrame, market: DataFrame, vix: DataFrame | None) -> DataFrame:
+    ret = {n: ratio(c, f"_lag{n}") - 1 for n in RETURN_ROWS}
+    return raw.select(
+        *[x for x in df.columns if x not in ("_cs", "_cn", "_prev")],
+        ((c - (F.col("_sma20") - 2 * F.col("_std20"))) / (4 * F.col("_std20") + 1e-9)).alias("bb_pos"),
+        ratio("_atr", c).alias("atr_pct"),
+        ret[5].alias("ret_5d"),
+        ret[21].alias("ret_21d"),
+        ret[63].alias("ret_63d"),
+        (ret[252] - ret[21]).alias("momentum_12_1"),
+        *[ratio(c - F.col(f"_sma{n}"), f"_sma{n}").alias(f"price_vs_sma{n}") for n in SMA_ROWS],
+        (ratio("_ahead", c) - 1).alias("fwd_ret"),
+    )
+
+
+def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None) -> DataFrame:
     """Complete-case panel of the 15 base features plus forward returns and label.
 
+    ``indices`` is (index, date, close) of every sector and of the market ``MKT``,
+    which also stands in for a sector without an index.
+
     The bars are placed by symbol once; every window, including the chained
     exponential means, reuses that placement. Market, sector and VIX series are
     calendar-sized and joined by a size-checked broadcast.
     """
-    placed = with_volume_ratio(bars.repartition("symbol")).where(F.col("close").isNotNull())
-    legs = with_rsi_inputs(with_history(placed, MIN_FEATURE_ROWS), seed_zero=False)
-    windows = with_row_index(legs.select("*", *price_windows(), ratio(sma(F.abs("_diff"), 14), F.col("close")).alias("atr_pct")))
+    placed = with_volume_ratio(bars.repartition("symbol")).where(F.col("close").isNotNull() & (F.col("_have") >= MIN_FEATURE_ROWS))
+    legs = with_rsi_inputs(placed, False, *running_sum("close"), (F.row_number().over(series()) - 1).alias("_rn"))
+    windows = split_row_index(with_price_features(legs)).drop("volume", "_have", "_diff")
     means = with_ewm(
         windows,
         {
@@ -152,25 +175,21 @@ def technical_features(bars: DataFrame, dims: DataFrame, sector_bars: DataFrame,
         "date",
         rsi().alias("rsi"),
         (F.col("_macd") - F.col("_sig")).alias("macd_hist"),
-        *[c for c in BASE_FEATURES[2:12]],
+        *BASE_FEATURES[2:12],
         "fwd_ret",
     )
-    return _attach_indices(panel, dims, sector_bars, market, vix)
+    return _attach_indices(panel, dims, indices, vix)
 
 
-def _attach_indices(panel: DataFrame, dims: DataFrame, sector_bars: DataFrame, market: DataFrame, vix: DataFrame | None) -> DataFrame:
-    index = small_side(index_panel(sector_bars, market))
-    known = sector_bars.select(F.col("sector").alias("_bench")).distinct()
-    bench = (
-        dims.select("symbol", "sector")
-        .join(F.broadcast(small_side(known, 10_000)), F.col("sector") == F.col("_bench"), "left")
-        .select("symbol", F.coalesce("_bench", F.lit("MKT")).alias("bench"))
-    )
+def _attach_indices(panel: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None) -> DataFrame:
+    index = small_side(index_panel(indices))
+    known = index.select(F.col("index").alias("_bench")).distinct()
+    bench = dims.select("symbol", "sector").join(F.broadcast(known), F.col("sector") == F.col("_bench"), "left").select("symbol", "_bench")
     sector = index.select(F.col("index").alias("bench"), "date", F.col("idx_ret_5d").alias("sector_ret_5d"))
     spy = index.where("index = 'MKT'").select("date", F.col("idx_ret_5d").alias("spy_ret_5d"), F.col("idx_fwd_5d").alias("_spy_fwd"))
     out = (
         panel.join(bench, "symbol", "left")
-        .withColumn("bench", F.coalesce("bench", F.lit("MKT")))
+        .withColumn("bench", F.coalesce("_bench", F.lit("MKT")))
         .join(F.broadcast(sector), ["bench", "date"], "left")
         .join(F.broadcast(spy), "date", "left")
     )

@@ -9,6 +9,7 @@ from barloom.operators import hrp, pairs, portfolio, risk
 from barloom.operators import technical as tech
 from barloom.plans.cte import cte, pyround
 from barloom.plans.registry import query
+from barloom.session import keep
 from barloom.sources import readers
 from barloom.sources.dims import styles, watchlist
 from barloom.sources.tables import BARS_ASOF, Tables
@@ -323,7 +324,7 @@ cte(
     "cov:2 corr slope",
 )
 def _(t: Tables) -> DataFrame:
-    bars = t.baskets()
+    bars = keep(t.baskets())
     return pairs.pair_moments(bars, "close", pairs.block_count(bars, 4))
 
 
@@ -341,7 +342,7 @@ cte("crets", "SELECT * FROM brets WHERE date IN (SELECT date FROM brets GROUP BY
 
 @query("p05_aligned_returns", "SELECT * FROM crets", "crets", "ret")
 def _(t: Tables) -> DataFrame:
-    return pairs.aligned_returns(t.baskets())
+    return pairs.aligned_returns(keep(t.baskets()))
 
 
 @query(
@@ -352,13 +353,13 @@ def _(t: Tables) -> DataFrame:
     "cov corr",
 )
 def _(t: Tables) -> DataFrame:
-    ret = pairs.aligned_returns(t.baskets())
-    return pairs.pair_moments(ret, "ret", pairs.block_count(t.baskets(), 4)).drop("slope")
+    bars = keep(t.baskets())
+    return pairs.pair_moments(pairs.aligned_returns(bars), "ret", pairs.block_count(bars, 4)).drop("slope")
 
 
 @query("d17_t04_cointegrated_pairs")
 def _(t: Tables) -> DataFrame:
-    bars = t.baskets()
+    bars = keep(t.baskets())
     return pairs.cointegrated_pairs(bars, pairs.block_count(bars, 4))
 
 
@@ -387,7 +388,7 @@ cte("unit_signals", _signals_sql("unit_spreads"), "unit_spreads")
 
 
 def fixed_pairs(t: Tables) -> DataFrame:
-    bars = t.baskets()
+    bars = keep(t.baskets())
     m = pairs.pair_moments(bars, "close", pairs.block_count(bars, 4))
     return m.select("symbol1", "symbol2", F.round("slope", 4).alias("hedge_ratio"), F.lit(0.01).alias("pvalue"))
 
@@ -420,7 +421,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("d23_hrp_weights")
 def _(t: Tables) -> DataFrame:
-    bars = t.baskets()
+    bars = keep(t.baskets())
     month_ends = bars.groupBy(F.date_trunc("month", "date").alias("m")).agg(F.max("date").alias("run_date"))
     return hrp.hrp_weights(hrp.lookback_windows(bars, month_ends))
 
@@ -432,6 +433,6 @@ def _(t: Tables) -> DataFrame:
     "baskets bcal",
 )
 def _(t: Tables) -> DataFrame:
-    bars = t.baskets()
+    bars = keep(t.baskets())
     month_ends = bars.groupBy(F.date_trunc("month", "date").alias("m")).agg(F.max("date").alias("run_date"))
     return hrp.lookback_windows(bars, month_ends)

@@ -223,7 +223,8 @@ def _(t: Tables) -> DataFrame:
     "sma20:4 sma50:4 sma200:4",
 )
 def _(t: Tables) -> DataFrame:
-    return t.bars().select("symbol", "date", *[S.sma("close", n).alias(f"sma{n}") for n in (20, 50, 200)])
+    base = t.bars().select("*", *S.running_sum("close"))
+    return base.select("symbol", "date", *[S.prefix_mean(n).alias(f"sma{n}") for n in (20, 50, 200)])
 
 
 @query(
@@ -329,7 +330,9 @@ cte(
     "bb_pos momentum_12_1 price_vs_sma20 price_vs_sma50 price_vs_sma200",
 )
 def _(t: Tables) -> DataFrame:
-    return t.bars().select("symbol", "date", *tech.price_windows()).drop("ret_5d", "ret_21d", "ret_63d", "fwd_ret")
+    legs = tech.with_rsi_inputs(t.bars(), False, *S.running_sum("close"))
+    cols = ["symbol", "date", "bb_pos", "momentum_12_1", "price_vs_sma20", "price_vs_sma50", "price_vs_sma200"]
+    return tech.with_price_features(legs).select(*cols)
 
 
 @query("w11_atr_pct", "SELECT symbol, date, atr_pct FROM price_windows", "price_windows", "atr_pct")
@@ -414,7 +417,7 @@ cte(
 
 @query("j02_index_panel", "SELECT index, date, idx_ret_5d, idx_fwd_5d FROM index_panel", "index_panel", "idx_ret_5d idx_fwd_5d")
 def _(t: Tables) -> DataFrame:
-    return tech.index_panel(t.sector_bars(), t.market())
+    return tech.index_panel(t.indices())
 
 
 @query(
@@ -452,7 +455,7 @@ _BASE = " ".join(f"{c}:{4 if c == 'macd_hist' else 6}" for c in [*tech.BASE_FEAT
 
 
 def base_panel(t: Tables) -> DataFrame:
-    return tech.technical_features(t.bars(), t.dims(), t.sector_bars(), t.market(), t.vix())
+    return tech.technical_features(t.bars(), t.dims(), t.indices(), t.vix())
 
 
 @query("d01_technical_features", f"SELECT symbol, date, {', '.join(tech.BASE_FEATURES)}, fwd_ret, rel_fwd_ret, label FROM features", "features", _BASE)

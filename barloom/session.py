@@ -53,3 +53,8 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
         return F.broadcast(kept)
     kept.unpersist()
     return df
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a bounded input that one plan reads several times; spills to disk."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,7 +3,7 @@
 Instruments are suppliers: each one's daily bar is the volume-weighted price of
 its line items, so the number of series grows with the data while a series stays
 calendar-sized. All aggregation is plain groupBy (partial before the shuffle),
-prices are added as decimals so the result does not depend on row order.
+money is added as whole cents so the result does not depend on row order.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from barloom.functions.series import forward_return
 from barloom.sources.dims import WATCHLIST
 
 MONEY = "decimal(18,2)"
-RATE = "decimal(9,4)"
+CENTS, RATE_UNITS = 100, 10_000
 
 BARS_ASOF = "2001-11-04"
 EVENTS_ASOF = "2024-01-31"
@@ -27,6 +27,15 @@ def _date(c: str) -> Column:
     return F.col(c).cast("date")
 
 
+def _units(c: str, scale: int) -> Column:
+    """Non-negative fixed-point number as an integer of 1/scale: adds exactly, stays in codegen."""
+    return F.floor(F.col(c) * float(scale) + 0.5)
+
+
+def _scaled(c: Column, scale: int) -> Column:
+    return c.cast("double") / float(scale)
+
+
 class Tables:
     """Lazy views over one directory of warehouse tables."""
 
@@ -37,28 +46,36 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     # -- price history ------------------------------------------------------
-    def _flows(self, since: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    def _trades(self, since: str | None = None, *extra: str) -> DataFrame:
+        """(l_suppkey, date, cents, qty, *extra) per line item."""
         rows = self.raw("lineitem")
         if since:
             # on the raw column, so the filter reaches the parquet scan
             rows = rows.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
-        return rows.groupBy("l_suppkey", *extra, _date("l_shipdate").alias("date")).agg(
-            F.sum(F.col("l_extendedprice").cast(MONEY)).alias("amount"), F.sum("l_quantity").alias("qty")
+        return rows.select(
+            "l_suppkey", _date("l_shipdate").alias("date"), _units("l_extendedprice", CENTS).alias("cents"), F.col("l_quantity").alias("qty"), *extra
         )
 
+    def _placed(self, *extra: str) -> DataFrame:
+        """Trades with the sector of their supplier.
+
+        Joined ahead of the aggregation: while suppliers fit a broadcast, trades
+        collapse to (sector, date) on the map side; beyond that it is a shuffled
+        join whose hot suppliers AQE splits.
+        """
+        return self._trades(None, *extra).join(self.places, F.col("l_suppkey") == F.col("s_suppkey"))
+
     @staticmethod
-    def _to_bars(flows: DataFrame, *keys: Column) -> DataFrame:
-        return flows.groupBy(*keys, "date").agg(
-            (F.sum("amount").cast("double") / F.sum("qty")).alias("close"), F.sum("qty").alias("volume")
-        )
+    def _bar() -> list[Column]:
+        return [(_scaled(F.sum("cents"), CENTS) / F.sum("qty")).alias("close"), F.sum("qty").alias("volume")]
 
     def bars(self, since: str | None = None) -> DataFrame:
         """(symbol, date, close, volume) per supplier."""
-        return self._flows(since).select(
-            F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
-            "date",
-            (F.col("amount").cast("double") / F.col("qty")).alias("close"),
-            F.col("qty").alias("volume"),
+        return (
+            self._trades(since)
+            .groupBy("l_suppkey", "date")
+            .agg(*self._bar())
+            .select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), "date", "close", "volume")
         )
 
     @cached_property
@@ -77,24 +94,29 @@ class Tables:
 
     def market(self) -> DataFrame:
         """(date, close, volume) of everything traded."""
-        return self._to_bars(self._flows())
+        return self._trades().groupBy("date").agg(*self._bar())
 
     def sector_bars(self) -> DataFrame:
         """(sector, date, close, volume)."""
-        joined = self._flows().join(self.places, F.col("l_suppkey") == F.col("s_suppkey"))
-        return self._to_bars(joined, F.col("sector"))
+        return self._placed().groupBy("sector", "date").agg(*self._bar())
+
+    def indices(self) -> DataFrame:
+        """(index, date, close): every sector and the market ``MKT``, in one pass."""
+        rolled = self._placed().rollup("date", "sector").agg(F.grouping("sector").alias("_all"), *self._bar())
+        return rolled.where(F.col("date").isNotNull()).select(
+            F.when(F.col("_all") == 1, "MKT").otherwise(F.col("sector")).alias("index"), "date", "close"
+        )
 
     def baskets(self) -> DataFrame:
         """(symbol, date, close, volume) of ten dense baskets: sector x line status."""
-        joined = self._flows(extra=("l_linestatus",)).join(self.places, F.col("l_suppkey") == F.col("s_suppkey"))
-        return self._to_bars(joined, F.concat_ws("-", "sector", "l_linestatus").alias("symbol"))
+        return self._placed("l_linestatus").groupBy(F.concat_ws("-", "sector", "l_linestatus").alias("symbol"), "date").agg(*self._bar())
 
     # -- macro --------------------------------------------------------------
     def vix(self) -> DataFrame:
         """(date, close) fear gauge."""
         rows = self.raw("lineitem").where("l_linestatus = 'O' and l_returnflag = 'R'")
         return rows.groupBy(_date("l_shipdate").alias("date")).agg(
-            (F.sum(F.col("l_discount").cast(RATE)).cast("double") / F.count("*") * 400).alias("close")
+            (_scaled(F.sum(_units("l_discount", RATE_UNITS)), RATE_UNITS) / F.count("*") * 400).alias("close")
         )
 
     def macro(self) -> DataFrame:
@@ -105,13 +127,17 @@ class Tables:
         def price(flag: str) -> Column:
             on = F.col("l_returnflag") == flag
             return F.try_divide(
-                F.sum(F.when(on, F.col("l_extendedprice").cast(MONEY))).cast("double"), F.sum(F.when(on, F.col("l_quantity")))
+                _scaled(F.sum(F.when(on, _units("l_extendedprice", CENTS))), CENTS), F.sum(F.when(on, F.col("l_quantity")))
             )
 
+        def rate(c: str, on: Column | None = None) -> Column:
+            units = _units(c, RATE_UNITS)
+            return _scaled(F.sum(units if on is None else F.when(on, units)), RATE_UNITS)
+
         day = rows.groupBy(_date("l_shipdate").alias("date")).agg(
-            (F.try_divide(F.sum(F.when(fear, F.col("l_discount").cast(RATE))).cast("double"), F.count_if(fear)) * 400).alias("VIX"),
-            (F.sum(F.col("l_tax").cast(RATE)).cast("double") / F.count("*") * 100).alias("TNX"),
-            (F.sum(F.col("l_discount").cast(RATE)).cast("double") / F.count("*") * 80).alias("IRX"),
+            (F.try_divide(rate("l_discount", fear), F.count_if(fear)) * 400).alias("VIX"),
+            (rate("l_tax") / F.count("*") * 100).alias("TNX"),
+            (rate("l_discount") / F.count("*") * 80).alias("IRX"),
             price("A").alias("HYG"),
             price("N").alias("LQD"),
         )
@@ -126,7 +152,7 @@ class Tables:
             .groupBy("l_suppkey", month.alias("month"))
             .agg(
                 F.max(_date("l_shipdate")).alias("report_date"),
-                (F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double") / F.count("*")).alias("actual"),
+                (_scaled(F.sum(_units("l_extendedprice", CENTS)), CENTS) / F.count("*")).alias("actual"),
             )
         )
         prev = F.lag("actual").over(Window.partitionBy("l_suppkey").orderBy("month"))
@@ -163,7 +189,7 @@ class Tables:
             F.when(F.col("l_linestatus") == "O", "C").otherwise("P").alias("side"),
             F.col("l_quantity").alias("open_interest"),
             F.when(F.col("l_linenumber") != 5, (F.col("l_linenumber") * 3).cast("double")).alias("volume"),
-            (F.col("l_discount").cast(RATE) * 5).cast("double").alias("iv"),
+            _scaled(_units("l_discount", RATE_UNITS) * 5, RATE_UNITS).alias("iv"),
         )
 
     def interest(self) -> DataFrame:
