@@ -55,7 +55,10 @@ def regime_columns(df: DataFrame) -> DataFrame:
 
 
 def macro_regime(macro: DataFrame, asof: str) -> DataFrame:
-    """Regime on ``asof`` from the last three months of (symbol, date, close)."""
+    """Regime on ``asof`` from the last three months of (symbol, date, close).
+
+    A missing series takes its default; without any row the regime is neutral.
+    """
     end = F.lit(asof).cast("date")
     recent = macro.where(F.col("close").isNotNull() & (F.col("date") <= end) & (F.col("date") > F.add_months(end, -LOOKBACK_MONTHS)))
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
@@ -71,9 +74,22 @@ def macro_regime(macro: DataFrame, asof: str) -> DataFrame:
         F.coalesce(at("VIX", 1), F.lit(DEFAULTS["VIX"])).alias("vix"),
         (F.coalesce(at("TNX", 1), F.lit(DEFAULTS["TNX"])) - F.coalesce(at("IRX", 1), F.lit(DEFAULTS["IRX"]))).alias("yield_spread"),
         F.coalesce(trailing("HYG") - trailing("LQD"), F.lit(0.0)).alias("credit_spread"),
+        F.count("*").alias("_n"),
     )
-    return regime_columns(day).withColumns(
-        {"vix": py_round("vix", 2), "yield_spread": py_round("yield_spread", 4), "credit_spread": py_round("credit_spread", 4)}
+    none = F.col("_n") == 0
+    return (
+        regime_columns(day)
+        .withColumns(
+            {
+                "vix": py_round("vix", 2),
+                "yield_spread": F.when(none, 0.0).otherwise(py_round("yield_spread", 4)),
+                "credit_spread": py_round("credit_spread", 4),
+                "regime": F.when(none, "neutral").otherwise(F.col("regime")),
+                "equity_mult": F.when(none, EQUITY_MULT["neutral"]).otherwise(F.col("equity_mult")),
+                "signals": F.when(none, F.array(F.lit("default_neutral"))).otherwise(F.col("signals")),
+            }
+        )
+        .drop("_n")
     )
 
 

@@ -322,7 +322,12 @@ def _(t: Tables) -> DataFrame:
     return universe.screen_stats(t.bars())
 
 
-@query("d09_t01_screen_universe", "SELECT * FROM screened", "screened", "momentum")
+@query(
+    "d09_t01_screen_universe",
+    "SELECT * FROM screened UNION ALL SELECT ordinal, symbol, NULL FROM watchlist WHERE (SELECT count(*) FROM candidates) = 0",
+    "screened candidates watchlist",
+    "momentum",
+)
 def _(t: Tables) -> DataFrame:
     return universe.screen_universe(t.bars(), TURNOVER, fallback=watchlist(t.spark))
 

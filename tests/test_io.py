@@ -67,6 +67,16 @@ def test_only_one_placement_of_the_bars(spark, sf_dir):
     assert plan.count("hashpartitioning(symbol") - plan.count("InMemory") <= 3
 
 
+def test_row_limits_run_ahead_of_the_shuffle(spark, sf_dir):
+    """A hot symbol or log ships a bounded number of rows per input partition."""
+    from barloom.operators import logs, news, universe
+
+    t = Tables(spark, sf_dir)
+    for df in (logs.reconstruct_blocks(t.agent_log()), news.dedup_news(t.news()), universe.screen_stats(t.bars())):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_model_round_trip(spark, tmp_path):
     t = Tables(spark, "/root/testdata/sf0.01")
     panel = full_panel(t)

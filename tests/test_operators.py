@@ -150,7 +150,10 @@ def test_macro_ladder(spark):
 def test_macro_defaults_without_series(spark):
     empty = spark.createDataFrame([], "symbol string, date date, close double")
     r = macro.macro_regime(empty, "2024-01-01").first()
-    assert (r["regime"], r["vix"], r["yield_spread"]) == ("risk_on", 20.0, -0.5) or r["regime"] == "risk_on"
+    assert (r["regime"], r["equity_mult"], r["vix"], r["yield_spread"], list(r["signals"])) == ("neutral", 0.7, 20.0, 0.0, ["default_neutral"])
+    one = spark.createDataFrame([("VIX", "2023-12-30", 15.0)], "symbol string, date string, close double")
+    r = macro.macro_regime(one, "2024-01-01").first()
+    assert (r["regime"], r["vix"], r["yield_spread"]) == ("risk_on", 15.0, -0.5)
 
 
 def test_screen_falls_back_to_given_list(spark):
