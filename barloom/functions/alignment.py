@@ -2,10 +2,70 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Facts:
+    """One dated table to look up as of the probe dates.
+
+    ``seq`` orders facts of the same day. ``back_fill`` gives probes before the
+    first fact that first fact; ``not_before_first_probe`` ignores facts older
+    than the first probe of the series.
+    """
+
+    df: DataFrame
+    cols: list[str]
+    time: str = "date"
+    seq: Column | None = None
+    back_fill: bool = False
+    not_before_first_probe: bool = False
+
+
+def asof_many(probes: DataFrame, tables: list[Facts], by: str = "symbol", probe_time: str = "date") -> DataFrame:
+    """Attach to every probe the latest row of each fact table with ``time <= probe_time``.
+
+    Facts and probes are stacked, facts first on equal times, and the last fact of
+    each table seen so far is carried along: one shuffle on ``by`` and one sort for
+    all tables, instead of a range join per table.
+    """
+    types = [f.df.select(F.struct(*f.cols).alias("s")).schema["s"].dataType for f in tables]
+    probe = F.struct(*[F.col(c) for c in probes.columns])
+    probe_type = probes.select(probe.alias("p")).schema["p"].dataType
+
+    def stack(df: DataFrame, time: str, kind: int, seq: Column, payload: Column | None) -> DataFrame:
+        facts = [(payload if kind == i else F.lit(None).cast(t)).alias(f"_f{i}") for i, t in enumerate(types)]
+        return df.select(
+            F.col(by).alias("_by"),
+            F.col(time).cast("date").alias("_t"),
+            F.lit(kind).alias("_kind"),
+            seq.cast("long").alias("_seq"),
+            (probe if kind == len(types) else F.lit(None).cast(probe_type)).alias("_probe"),
+            *facts,
+        )
+
+    both = stack(probes, probe_time, len(tables), F.lit(0), None)
+    for i, f in enumerate(tables):
+        both = both.unionByName(stack(f.df, f.time, i, f.seq if f.seq is not None else F.lit(0), F.struct(*f.cols)))
+    is_probe = F.col("_kind") == len(tables)
+    if any(f.not_before_first_probe for f in tables):
+        both = both.withColumn("_first", F.min(F.when(is_probe, F.col("_t"))).over(Window.partitionBy("_by")))
+    w = Window.partitionBy("_by").orderBy("_t", "_kind", "_seq")
+    hits = []
+    for i, f in enumerate(tables):
+        fact = F.when(F.col("_t") >= F.col("_first"), F.col(f"_f{i}")) if f.not_before_first_probe else F.col(f"_f{i}")
+        hit = F.last(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        if f.back_fill:
+            # only probes ahead of every fact get here, so the series' first fact is the next one
+            hit = F.coalesce(hit, F.first(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        hits.append(hit.alias(f"_h{i}"))
+    found = both.select("_kind", "_probe", *hits).where(is_probe)
+    return found.select("_probe.*", *[F.col(f"_h{i}.{c}").alias(c) for i, f in enumerate(tables) for c in f.cols])
+
+
 def asof_backward(
     probes: DataFrame,
     facts: DataFrame,
@@ -18,46 +78,8 @@ def asof_backward(
     back_fill: bool = False,
     not_before_first_probe: bool = False,
 ) -> DataFrame:
-    """Attach to every probe the latest fact with ``fact_time <= probe_time``.
-
-    Facts and probes are stacked, facts first on equal times, and the last fact
-    seen so far is carried along, so the cost is one shuffle on ``by`` and one
-    sort instead of a range join. ``back_fill`` gives probes before the first
-    fact that first fact; ``not_before_first_probe`` ignores facts older than the
-    first probe of the series.
-    """
-    seq = fact_seq if fact_seq is not None else F.lit(0)
-    p = probes.select(
-        F.col(by).alias("_by"),
-        F.col(probe_time).cast("date").alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.lit(0).cast("long").alias("_seq"),
-        F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"),
-        F.lit(None).cast(facts.select(F.struct(*cols).alias("s")).schema["s"].dataType).alias("_fact"),
-    )
-    f = facts.select(
-        F.col(by).alias("_by"),
-        F.col(fact_time).cast("date").alias("_t"),
-        F.lit(0).alias("_kind"),
-        seq.cast("long").alias("_seq"),
-        F.lit(None).cast(p.schema["_probe"].dataType).alias("_probe"),
-        F.struct(*cols).alias("_fact"),
-    )
-    both = p.unionByName(f)
-    fact = F.col("_fact")
-    if not_before_first_probe:
-        both = both.withColumn("_first", F.min(F.when(F.col("_kind") == 1, F.col("_t"))).over(Window.partitionBy("_by")))
-        fact = F.when(F.col("_t") >= F.col("_first"), fact)
-    w = Window.partitionBy("_by").orderBy("_t", "_kind", "_seq")
-    hit = F.last(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if back_fill:
-        # only probes ahead of every fact get here, so the series' first fact is the next one
-        hit = F.coalesce(hit, F.first(fact, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return (
-        both.withColumn("_hit", hit)
-        .where(F.col("_kind") == 1)
-        .select("_probe.*", *[F.col(f"_hit.{c}").alias(c) for c in cols])
-    )
+    """:func:`asof_many` for a single fact table."""
+    return asof_many(probes, [Facts(facts, cols, fact_time, fact_seq, back_fill, not_before_first_probe)], by, probe_time)
 
 
 def fill_on_calendar(small: DataFrame, calendar: DataFrame, key: str, value: str) -> DataFrame:

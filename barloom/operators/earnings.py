@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.alignment import asof_backward
+from barloom.functions.alignment import Facts, asof_many
 from barloom.functions.numeric import py_round
 
 # --- fixed values -----------------------------------------------------------
@@ -21,25 +21,27 @@ def _drift(surprise: Column, days: Column) -> tuple[Column, Column]:
     return F.when(active, strength).otherwise(0.0), F.when(active, days).otherwise(-1)
 
 
+def earnings_facts(earnings: DataFrame) -> Facts:
+    return Facts(earnings.withColumn("_known", F.lit(True)), ["report_date", "surprise", "_known"], "report_date")
+
+
 def pead_columns(panel: DataFrame, earnings: DataFrame) -> DataFrame:
     """Add earnings_surprise_pct, pead_signal, days_since_beat as known on each date.
 
     No report yet gives 0 / 0 / -1; a report whose surprise is undefined keeps a
     NULL surprise here (the panel default turns it into 0).
     """
-    facts = earnings.withColumn("_known", F.lit(True))
-    hit = asof_backward(panel, facts, ["report_date", "surprise", "_known"], fact_time="report_date")
-    return _score(hit, F.col("date"), list(panel.columns))
+    return score_pead(asof_many(panel, [earnings_facts(earnings)]), F.col("date"), list(panel.columns))
 
 
 def live_pead(earnings: DataFrame, asof: str) -> DataFrame:
     """Latest report per symbol scored on ``asof``."""
     last = earnings.groupBy("symbol").agg(F.max_by(F.struct("report_date", "surprise"), "report_date").alias("r"))
     hit = last.select("symbol", "r.*", F.lit(True).alias("_known"))
-    return _score(hit, F.lit(asof).cast("date"), ["symbol", "report_date"])
+    return score_pead(hit, F.lit(asof).cast("date"), ["symbol", "report_date"])
 
 
-def _score(hit: DataFrame, at: Column, keep: list[str]) -> DataFrame:
+def score_pead(hit: DataFrame, at: Column, keep: list[str]) -> DataFrame:
     days = F.datediff(at, F.col("report_date"))
     signal, since = _drift(F.col("surprise"), days)
     known = F.coalesce("_known", F.lit(False))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip, py_round, ratio
@@ -32,6 +34,16 @@ def dedup_news(news: DataFrame) -> DataFrame:
     )
 
 
+def score_headlines(news: DataFrame, scorer: Callable[[Column], Column]) -> DataFrame:
+    """(symbol, seq, headline, label, score) with the caller's classifier.
+
+    ``scorer`` maps the headline column to a ``struct<label string, score double>``,
+    typically a pandas UDF that holds the model per executor.
+    """
+    s = news.withColumn("_s", scorer(F.col("headline")))
+    return s.select("symbol", "seq", "headline", F.col("_s.label").alias("label"), F.col("_s.score").alias("score")).where(F.col("score").isNotNull())
+
+
 def aggregate_sentiment(scored: DataFrame) -> DataFrame:
     """(symbol, sentiment_score, confidence, key_theme) of the first 8 scored headlines.
 

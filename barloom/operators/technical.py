@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.alignment import asof_backward, fill_on_calendar
+from barloom.functions.alignment import Facts, asof_many, fill_on_calendar
 from barloom.functions.numeric import py_round, ratio
 from barloom.functions.series import (
     forward_return,
@@ -21,7 +21,7 @@ from barloom.functions.series import (
     with_ewm,
     with_row_index,
 )
-from barloom.operators.earnings import pead_columns
+from barloom.operators.earnings import earnings_facts, score_pead
 from barloom.session import small_side
 from barloom.sources.readers import trailing_bars
 
@@ -178,7 +178,8 @@ def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix
         *BASE_FEATURES[2:12],
         "fwd_ret",
     )
-    return _attach_indices(panel, dims, indices, vix)
+    complete = panel.where(" and ".join(f"{c} is not null" for c in BASE_FEATURES[:12]))
+    return _attach_indices(complete, dims, indices, vix)
 
 
 def _attach_indices(panel: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None) -> DataFrame:
@@ -202,17 +203,17 @@ def _attach_indices(panel: DataFrame, dims: DataFrame, indices: DataFrame, vix:
         out.withColumn("rel_fwd_ret", rel)
         .withColumn("label", F.when(F.col("rel_fwd_ret") > 0, 1).otherwise(0))
         .select("symbol", "date", *BASE_FEATURES, "fwd_ret", "rel_fwd_ret", "label")
-        .dropna(subset=BASE_FEATURES)
+        .where(" and ".join(f"{c} is not null" for c in BASE_FEATURES[12:]))
     )
 
 
 def build_features(base: DataFrame, earnings: DataFrame | None, trends: DataFrame | None, insider: DataFrame | None) -> DataFrame:
     """Base panel plus earnings drift, search interest and insider score, with defaults."""
-    out = base
+    facts = [f for f in (earnings_facts(earnings) if earnings is not None else None, trend_facts(trends) if trends is not None else None) if f]
+    out = asof_many(base, facts) if facts else base
     if earnings is not None:
-        out = pead_columns(out, earnings).drop("days_since_beat", "days_since_report")
-    if trends is not None:
-        out = attach_trends(out, trends)
+        other = [c for c in out.columns if c not in ("report_date", "surprise", "_known")]
+        out = score_pead(out, F.col("date"), other).drop("days_since_beat", "days_since_report")
     if insider is not None:
         out = out.join(insider.select("symbol", "insider_score"), "symbol", "left")
     for name, default in SIDE_FEATURES.items():
@@ -234,13 +235,17 @@ def weekly_trends(interest: DataFrame) -> DataFrame:
     )
 
 
+def trend_facts(trends: DataFrame, back_fill: bool = True) -> Facts:
+    cols = ["gtrends_interest", "gtrends_spike_ratio", "gtrends_spike_flag"]
+    return Facts(trends, cols, "week", back_fill=back_fill, not_before_first_probe=True)
+
+
 def attach_trends(panel: DataFrame, trends: DataFrame, back_fill: bool = True) -> DataFrame:
     """Weekly values held until the next week; the first in-range week also fills backwards.
 
     ``back_fill=False`` is the point-in-time variant.
     """
-    cols = ["gtrends_interest", "gtrends_spike_ratio", "gtrends_spike_flag"]
-    hit = asof_backward(panel, trends, cols, fact_time="week", back_fill=back_fill, not_before_first_probe=True)
+    hit = asof_many(panel, [trend_facts(trends, back_fill)])
     defaults = {"gtrends_interest": 1.0, "gtrends_spike_ratio": 1.0, "gtrends_spike_flag": 0.0}
     return hit.na.fill(defaults)
 

@@ -12,6 +12,7 @@ from barloom.plans.cte import cte, pyround
 from barloom.plans.portfolios import constrained
 from barloom.plans.registry import query
 from barloom.plans.signals import full_panel
+from barloom.session import keep
 from barloom.sources.tables import BARS_ASOF, Tables
 
 QUICK = modeling.Boosting(rounds=5, step=0.05)
@@ -55,7 +56,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def split_rows(t: Tables) -> DataFrame:
-    panel = t.scored_panel()
+    panel = keep(t.scored_panel())
     return ev.tag_splits(panel, ev.walk_forward_splits(panel))
 
 
@@ -87,7 +88,7 @@ _AUC = """SELECT {k} (sum(r) FILTER (label=1) - sum(label)*(sum(label)+1)/2)/(su
     "rank",
 )
 def _(t: Tables) -> DataFrame:
-    return average_rank(t.scored_panel(), "fwd_ret")
+    return average_rank(keep(t.scored_panel()), "fwd_ret")
 
 
 @query("a10_accuracy", "SELECT avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM scored_panel", "scored_panel", "acc")
@@ -97,12 +98,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("a10_roc_auc", _AUC.format(k="", p="", src="scored_panel", g=""), "scored_panel", "auc")
 def _(t: Tables) -> DataFrame:
-    return ev.roc_auc(t.scored_panel())
+    return ev.roc_auc(keep(t.scored_panel()))
 
 
 @query("a11_rank_ic", "SELECT covar_pop(rp, rf)/(stddev_pop(rp)*stddev_pop(rf)) AS ic FROM ranked", "ranked", "ic")
 def _(t: Tables) -> DataFrame:
-    return ev.rank_ic(t.scored_panel())
+    return ev.rank_ic(keep(t.scored_panel()))
 
 
 cte("top5", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY proba DESC, symbol) AS rank FROM scored_panel) WHERE rank <= 5", "scored_panel")
@@ -157,7 +158,7 @@ cte(
 
 @query("a22_split_metrics", "SELECT * FROM split_metrics", "split_metrics", "auc ic")
 def _(t: Tables) -> DataFrame:
-    return ev.split_metrics(split_rows(t))
+    return ev.split_metrics(keep(split_rows(t)))
 
 
 @query(
@@ -169,7 +170,7 @@ def _(t: Tables) -> DataFrame:
     "mean_auc std_auc min_auc max_auc mean_ic std_ic min_ic max_ic",
 )
 def _(t: Tables) -> DataFrame:
-    return ev.summarise_splits(ev.split_metrics(split_rows(t)))
+    return ev.summarise_splits(ev.split_metrics(keep(split_rows(t))))
 
 
 @query(
@@ -181,7 +182,7 @@ def _(t: Tables) -> DataFrame:
     "auc ic acc",
 )
 def _(t: Tables) -> DataFrame:
-    p = t.scored_panel()
+    p = keep(t.scored_panel())
     return ev.quality_gate(ev.accuracy(p), ev.roc_auc(p), ev.rank_ic(p))
 
 

@@ -31,12 +31,13 @@ def local_session(cores: str = "*", app: str = "barloom", shuffle_partitions: in
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when neither the setting nor a checkpoint directory exists (tests) a
-    temporary folder is used.
+    Only a local session without that setting (tests) gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barloom-ckpt-"))
     return df.checkpoint(eager=True)
 

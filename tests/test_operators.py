@@ -352,6 +352,27 @@ def test_sentiment_theme_belongs_to_most_confident_headline(spark):
     assert (r["key_theme"], r["sentiment_score"], r["confidence"]) == ("second", round((0.36 - 0.81) / 2.4, 3), 0.8)
 
 
+def test_callers_classifier(spark):
+    @F.pandas_udf("label string, score double")
+    def scorer(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"label": np.where(text.str.contains("up"), "positive", "neutral"), "score": np.where(text == "", np.nan, 0.8)})
+
+    rows = spark.createDataFrame([("A", 1, "up"), ("A", 2, "flat"), ("A", 3, "")], "symbol string, seq long, headline string")
+    scored = news.score_headlines(rows.where("headline <> ''"), scorer)
+    r = news.aggregate_sentiment(scored).first()
+    assert (r["sentiment_score"], r["confidence"], r["key_theme"]) == (0.4, 0.8, "up")
+
+
+def test_fundamental_fallback_is_clamped(spark):
+    from barloom.operators import factors
+
+    flat = [("A", 50, ""), ("B", 50, "cheap"), ("C", 61, ""), ("D", 50, "")]
+    scores = spark.createDataFrame(flat, "symbol string, health_score int, key_strength string").withColumn("key_risk", F.lit(""))
+    other = spark.createDataFrame([("A", "172.5", "s", "r"), ("D", "junk", "s", "r")], "symbol string, health_score string, key_strength string, key_risk string")
+    got = {r["symbol"]: (r["health_score"], r["origin"]) for r in factors.fundamental_select(scores, other).collect()}
+    assert got == {"A": (100, "fallback"), "B": (50, "factors"), "C": (61, "factors"), "D": (50, "fallback")}
+
+
 def test_news_scan_is_limited_before_dedup(spark):
     rows = [("A", i, "same" if i < 14 else f"h{i}", "x" * 300, None) for i in range(30)]
     out = news.dedup_news(spark.createDataFrame(rows, "symbol string, seq long, headline string, summary string, source string")).collect()
