@@ -51,7 +51,8 @@ def py_round(c, digits: int) -> Column:
     frac = y - low
     up = (frac > 0.5) | ((frac == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))))
     rounded = (low + F.when(up, 1.0).otherwise(0.0)) / p
-    return F.when(F.abs(x) < 1e12, rounded).otherwise(x)
+    # from 2^53 / 10^digits on, neighbouring doubles lie farther apart than the digits
+    return F.when(F.abs(x) < 2.0**53 / 10**digits, rounded).otherwise(x)
 
 
 def sigmoid100(c, center: float, scale: float) -> Column:

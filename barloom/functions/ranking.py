@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+LEAST_RANGES = 16
 
 
-def value_range(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
+def value_range(df: DataFrame, value: str, ranges: int | None = None) -> Column:
     """Range id of ``value`` from approximate quantiles.
 
-    The cut points (at most ``ranges`` numbers) are fetched once, so every use of
+    There are as many ranges as shuffle partitions unless given, so they grow with
+    what the session is set up for. The cut points (at most ``ranges`` numbers) are fetched once, so every use of
     the returned column agrees; how good they are only affects balance, never
     results.
     """
+    ranges = ranges or max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(value, probs, 1000).alias("c")).first()["c"] or []
     edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")

@@ -6,16 +6,16 @@ Every helper returns a Column over the same ``(symbol, date)`` window, so a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import ratio
 
-# Rows per restart block of the exponential mean. Weights older than one whole
-# block are dropped: (1 - alpha)^1000 is below 2e-18, under double precision, for
-# alpha >= 0.04, and (1 - alpha)^-1000 stays below 1e302 for alpha <= 0.5.
-EWM_BLOCK = 1000
-EWM_ALPHA = (0.04, 0.5)
+# Largest exponent of e that a restart block of the exponential mean may reach; doubles end near e^709.
+EWM_REACH = 600.0
 
 
 def series(key: str = "symbol", order: str = "date"):
@@ -74,54 +74,65 @@ def rolling_std(c, n: int, **kw) -> Column:
 
 
 def with_row_index(df: DataFrame, key: str = "symbol", order: str = "date") -> DataFrame:
-    """0-based row number split into a block id and an offset for :func:`with_ewm`."""
-    return split_row_index(df.withColumn("_rn", F.row_number().over(series(key, order)) - 1))
+    """0-based row number ``_rn`` within the series, as :func:`with_ewm` needs it."""
+    return df.withColumn("_rn", F.row_number().over(series(key, order)) - 1)
 
 
-def split_row_index(df: DataFrame) -> DataFrame:
-    """``_blk`` and ``_off`` from an existing ``_rn``."""
-    return df.select("*", F.floor(F.col("_rn") / EWM_BLOCK).cast("int").alias("_blk"), (F.col("_rn") % EWM_BLOCK).alias("_off"))
+def ewm_block(alphas: Iterable[float]) -> int:
+    """Rows per restart block: the most for which every power of 1 - alpha stays a normal double."""
+    return min([max(1, int(EWM_REACH / -math.log1p(-a))) for a in alphas if a < 1], default=1 << 20)
 
 
-def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
+def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date", block: int | None = None) -> DataFrame:
     """Exponential means ``e_i = a*x_i + (1-a)*e_{i-1}``, seeded with the first value.
 
-    ``specs`` maps output name -> (input column, alpha). Inputs may have leading
-    NULLs only. With b = 1-a the recursion unrolls to ``b^i * sum(t_j)``,
-    ``t_j = a*x_j*b^-j``: one running sum, no Python. The sum restarts every
-    ``EWM_BLOCK`` rows and the value at the end of the previous block is carried
-    in, which keeps the powers representable for any series length. Needs the
-    columns of :func:`with_row_index`; all specs share two window nodes.
+    ``specs`` maps output name -> (input column, alpha), 0 < alpha <= 1. Inputs may
+    have leading NULLs only. With b = 1-a the recursion unrolls to
+    ``b^i * sum(t_j)``, ``t_j = a*x_j*b^-j``: one running sum, no Python. The sum
+    restarts every ``block`` rows (by default as many as the alphas allow). The
+    values at the block ends, one per block, are folded by the same recursion, so
+    nothing old is dropped whatever the length or alpha. Needs the column of
+    :func:`with_row_index`; all specs share two window nodes.
     """
     for out, (_, alpha) in specs.items():
-        if not EWM_ALPHA[0] <= alpha <= EWM_ALPHA[1]:
-            raise ValueError(f"{out}: alpha must be within {EWM_ALPHA}")
-    block = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("_blk", order).rowsBetween(Window.unboundedPreceding, -1)
+        if not 0 < alpha <= 1:
+            raise ValueError(f"{out}: alpha must be above 0 and at most 1")
+    size = block or ewm_block(a for _, a in specs.values())
     kept = df.columns
+    rows = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key).orderBy("_blk", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.select("*", F.floor(F.col("_rn") / size).cast("int").alias("_blk"), (F.col("_rn") % size).alias("_off"))
 
     def power(alpha: float, exponent: Column) -> Column:
         return F.pow(F.lit(1.0 - alpha), exponent)
 
-    sums = []
+    sums, local = [], []
     for out, (src, alpha) in specs.items():
-        sums.append(F.sum(F.col(src) * alpha * power(alpha, -F.col("_off"))).over(block).alias(f"_l_{out}"))
-        sums.append(F.first(F.when(F.col(src).isNotNull(), F.struct(F.col("_off").alias("o"), F.col(src).alias("x"))), True).over(block).alias(f"_s_{out}"))
-    local = []
-    for out, (_, alpha) in specs.items():
-        # the first value of a series weighs 1, not alpha
+        term = F.col(src) if alpha == 1 else F.col(src) * alpha * power(alpha, -F.col("_off"))
+        sums.append(F.sum(term).over(rows).alias(f"_t_{out}"))
+        sums.append(F.first(F.when(F.col(src).isNotNull(), F.struct(F.col("_off").alias("o"), F.col(src).alias("x"))), True).over(rows).alias(f"_s_{out}"))
+        # where a series starts, its first value weighs 1, not alpha
         seed = F.col(f"_s_{out}.x") * (1.0 - alpha) * power(alpha, F.col("_off") - F.col(f"_s_{out}.o"))
-        local.append((F.col(f"_l_{out}") * power(alpha, F.col("_off")) + F.when(F.col("_blk") == 0, seed).otherwise(0.0)).alias(f"_e_{out}"))
-    summed = df.select("*", *sums).select(*kept, *local)
-    carry = [F.last(F.when(F.col("_off") == EWM_BLOCK - 1, F.col(f"_e_{out}")), ignorenulls=True).over(before).alias(f"_c_{out}") for out in specs]
-    final = [
-        F.when(
-            F.col(src).isNotNull(),
-            F.col(f"_e_{out}") + F.when(F.col("_blk") > 0, F.col(f"_c_{out}") * power(alpha, F.col("_off") + 1)).otherwise(0.0),
-        ).alias(out)
-        for out, (src, alpha) in specs.items()
-    ]
-    return summed.select("*", *carry).select(*kept, *final)
+        local += [(F.col(f"_t_{out}") * power(alpha, F.col("_off"))).alias(f"_l_{out}"), seed.alias(f"_e_{out}")]
+    summed = df.select("*", *sums).select(*kept, "_blk", "_off", *local)
+    ends = F.struct(*[F.col(f"_{x}_{out}").alias(f"{x}_{out}") for out in specs for x in ("l", "e")])
+    ended = summed.select("*", F.collect_list(F.when(F.col("_off") == size - 1, ends)).over(whole).alias("_ends"))
+
+    def carried(out: str, alpha: float) -> Column:
+        """The mean at the end of the block before; NULL if no value came up to there."""
+
+        def fold(mean: Column, end: Column) -> Column:
+            started = F.coalesce(mean * (1.0 - alpha) ** size, end[f"e_{out}"])
+            return F.coalesce(end[f"l_{out}"] + started, mean)
+
+        return F.aggregate(F.slice("_ends", F.lit(1), F.col("_blk")), F.lit(None).cast("double"), fold)
+
+    final = []
+    for out, (src, alpha) in specs.items():
+        before = F.when(F.col("_blk") > 0, carried(out, alpha))
+        mean = F.col(f"_l_{out}") + F.coalesce(before * power(alpha, F.col("_off") + 1), F.col(f"_e_{out}"))
+        final.append((F.col(src) if alpha == 1 else F.when(F.col(src).isNotNull(), mean)).alias(out))
+    return ended.select(*kept, *final)
 
 
 def span_alpha(span: float) -> float:

@@ -67,18 +67,23 @@ def precision_at_top(scored: DataFrame, k: int = TOP_K) -> DataFrame:
 def topk_backtest(scored: DataFrame, market: DataFrame, k: int = TOP_K) -> DataFrame:
     """Compounded mean forward return of the daily top k against the market's first-to-last return.
 
-    The market series ends before the last scored date, which is exclusive.
+    Growth is summed as ``log_strategy``, which holds where the product leaves the
+    range of doubles (``strategy`` is infinite then); a day that loses everything
+    makes ``strategy`` -1. The market series ends before the last scored date,
+    which is exclusive.
     """
     valid = scored.where(F.col("fwd_ret").isNotNull())
     day = top_per_date(valid, k).groupBy("date").agg(F.avg("fwd_ret").alias("r"))
-    strategy = day.agg((F.product(F.lit(1.0) + F.col("r") / FORWARD_DAYS) - 1).alias("strategy"), F.count("*").alias("n_days"))
+    growth = F.lit(1.0) + F.col("r") / FORWARD_DAYS
+    logs = day.agg(F.sum(F.ln(growth)).alias("log_strategy"), F.min(growth).alias("worst"), F.count("*").alias("n_days"))
+    strategy = logs.withColumn("strategy", F.when(F.col("worst") <= 0, -1.0).otherwise(F.expm1("log_strategy")))
     span = scored.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     bench = market.where((F.col("date") >= lo) & (F.col("date") < hi)).agg(
         F.min_by("close", "date").alias("a"), F.max_by("close", "date").alias("b")
     )
     total = bench.select(F.coalesce(ratio("b", "a") - 1, F.lit(0.0)).alias("m")).scalar()
-    return strategy.select("n_days", "strategy", total.alias("benchmark")).withColumn("alpha", F.col("strategy") - F.col("benchmark"))
+    return strategy.select("n_days", "log_strategy", "strategy", total.alias("benchmark")).withColumn("alpha", F.col("strategy") - F.col("benchmark"))
 
 
 def profile(panel: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from barloom.functions.series import (
     series,
     sma,
     span_alpha,
-    split_row_index,
     with_ewm,
     with_row_index,
 )
@@ -159,7 +158,7 @@ def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix
     """
     placed = with_volume_ratio(bars.repartition("symbol")).where(F.col("close").isNotNull() & (F.col("_have") >= MIN_FEATURE_ROWS))
     legs = with_rsi_inputs(placed, False, *running_sum("close"), (F.row_number().over(series()) - 1).alias("_rn"))
-    windows = split_row_index(with_price_features(legs)).drop("volume", "_have", "_diff")
+    windows = with_price_features(legs).drop("volume", "_have", "_diff")
     means = with_ewm(
         windows,
         {

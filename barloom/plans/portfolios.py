@@ -379,13 +379,6 @@ def _signals_sql(src: str) -> str:
 
 
 cte("pair_signals", _signals_sql("spreads"), "spreads")
-cte(
-    "unit_spreads",
-    "SELECT symbol1, symbol2, 0.01::DOUBLE AS pvalue, date, c1 - 1.0::DOUBLE*c2 AS spread FROM pair_rows WHERE date > DATE '1998-05-15' AND date <= DATE '1998-11-15'",
-    "pair_rows",
-)
-cte("unit_signals", _signals_sql("unit_spreads"), "unit_spreads")
-
 
 def fixed_pairs(t: Tables) -> DataFrame:
     bars = keep(t.baskets())
@@ -409,14 +402,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "d19_pair_weight_deltas",
-    "SELECT long_symbol AS symbol, count(*)*0.05::DOUBLE AS weight FROM unit_signals WHERE signal = 'enter_long_spread' GROUP BY 1",
-    "unit_signals",
+    "SELECT long_symbol AS symbol, count(*)*0.05::DOUBLE AS weight FROM pair_signals WHERE signal = 'enter_long_spread' GROUP BY 1",
+    "pair_signals",
     "weight",
 )
 def _(t: Tables) -> DataFrame:
-    spread_pairs = fixed_pairs(t).withColumn("hedge_ratio", F.lit(1.0))
-    window = t.baskets().where("date > date'1998-05-15' and date <= date'1998-11-15'")
-    return pairs.pair_weight_deltas(pairs.pair_signals(spread_pairs, window))
+    return pairs.pair_weight_deltas(pairs.pair_signals(fixed_pairs(t), recent_baskets(t)))
 
 
 @query("d23_hrp_weights")

@@ -299,7 +299,7 @@ class Tables:
 
     def targets(self) -> DataFrame:
         """(portfolio, symbol, weight)."""
-        part = self._accounts("c_custkey % 2 = 1 and c_nationkey <> 3")
+        part = self._accounts("c_custkey % 2 = 1")
         total = part.groupBy("portfolio").agg(F.sum("v").alias("total"))
         return part.join(total, "portfolio").select(
             "portfolio", "symbol", (F.col("v").cast("double") / F.col("total").cast("double")).alias("weight")

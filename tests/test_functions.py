@@ -74,10 +74,11 @@ def walks(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("alpha", [2 / 13, 2 / 27, 0.2, 1 / 14, 0.05])
-def test_ewm_matches_recursion_over_block_restarts(walks, alpha):
+@pytest.mark.parametrize("block", [None, 7, 100])
+@pytest.mark.parametrize("alpha", [2 / 13, 0.01, 1 / 14, 0.9, 1.0])
+def test_ewm_matches_recursion_over_block_restarts(walks, alpha, block):
     pdf, df = walks
-    got = S.with_ewm(S.with_row_index(df), {"e": ("close", alpha)}).select("symbol", "date", "e").toPandas()
+    got = S.with_ewm(S.with_row_index(df), {"e": ("close", alpha)}, block=block).select("symbol", "date", "e").toPandas()
     want = pdf.assign(e=pdf.groupby("symbol")["close"].transform(lambda s: s.ewm(alpha=alpha, adjust=False).mean()))
     both = want.merge(got, on=["symbol", "date"])
     assert len(both) == len(pdf)
@@ -94,9 +95,29 @@ def test_ewm_with_leading_null_seeds_on_first_value(walks):
     assert np.allclose(both["e_x"], both["e_y"], rtol=1e-12, equal_nan=True)
 
 
-def test_ewm_refuses_alpha_it_cannot_restart(walks):
+def test_ewm_of_mixed_alphas_keeps_old_weight(walks):
+    pdf, df = walks
+    got = S.with_ewm(S.with_row_index(df), {"slow": ("close", 0.002), "fast": ("close", 0.95)}).select("symbol", "date", "slow", "fast").toPandas()
+    both = pdf.merge(got, on=["symbol", "date"])
+    for name, alpha in (("slow", 0.002), ("fast", 0.95)):
+        want = pdf.groupby("symbol")["close"].transform(lambda s: s.ewm(alpha=alpha, adjust=False).mean())
+        assert np.allclose(both[name], want, rtol=1e-11)
+
+
+def test_ewm_starting_after_a_whole_block_of_nulls(walks):
+    pdf, df = walks
+    late = df.withColumn("x", F.when(F.col("date") >= F.lit("2001-01-01").cast("date"), F.col("close")))
+    got = S.with_ewm(S.with_row_index(late), {"e": ("x", 0.1)}, block=20).select("symbol", "date", "e").toPandas()
+    want = pdf.assign(x=pdf["close"].where(pd.to_datetime(pdf["date"]) >= "2001-01-01"))
+    want["e"] = want.groupby("symbol")["x"].transform(lambda s: s.ewm(alpha=0.1, adjust=False).mean())
+    both = want.merge(got, on=["symbol", "date"])
+    assert np.allclose(both["e_x"], both["e_y"], rtol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("alpha", [0.0, -0.1, 1.5])
+def test_ewm_refuses_what_is_no_mean(walks, alpha):
     with pytest.raises(ValueError):
-        S.with_ewm(S.with_row_index(walks[1]), {"e": ("close", 0.01)})
+        S.with_ewm(S.with_row_index(walks[1]), {"e": ("close", alpha)})
 
 
 @pytest.mark.parametrize("n", [20, 200])
