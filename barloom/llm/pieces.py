@@ -101,11 +101,11 @@ class MergeVocabulary:
         kept = {s: self.older[s] for s in new if s in self.older}
         todo = [s for s in new if s not in kept]
         found = {s: self.agenda_ids(s) for s in todo}
-        # the library puts a space before a text; a segment that has none is checked behind a line break
-        asked = [s[1:] if s[0] == SPACE else "\n" + s for s in todo]
+        # the library puts a space before a text that is not empty; what has none is checked behind a line break, a lone space before one
+        asked = [s[1:] or "\n" if s[0] == SPACE else "\n" + s for s in todo]
         lead = self.library.encode("\n")
         for s, ids in zip(todo, self.library.encode(asked, num_threads=1)):
-            want = ids if s[0] == SPACE else ids[len(lead) :]
+            want = lead[:1] if s == SPACE else ids if s[0] == SPACE else ids[len(lead) :]
             if list(found[s]) != want:
                 raise Mismatch(f"{s!r}: agenda {found[s]}, library {want}")
         if len(self.fresh) + len(new) > CACHED:
