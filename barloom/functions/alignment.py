@@ -85,23 +85,13 @@ def asof_backward(
 def fill_on_calendar(small: DataFrame, calendar: DataFrame, key: str, value: str) -> DataFrame:
     """Forward-fill index series on the union calendar from each series' first date.
 
-    ``small`` is calendar-sized per key (benchmarks, sectors). Each key expands
-    its own run of calendar ordinals, so no cross join is needed.
+    ``small`` is calendar-sized per key (benchmarks, sectors). The calendar is one
+    array of days, which each key unrolls from its own start, so no cross join and
+    no numbering is needed.
     """
-    order = Window.orderBy("date")
-    ordinals = calendar.select("date").distinct().withColumn("_k", F.row_number().over(order))
-    last = ordinals.agg(F.max("_k").alias("_last"))
-    known = small.join(ordinals, "date")
-    span = (
-        known.groupBy(key)
-        .agg(F.min("_k").alias("_lo"))
-        .withColumn("_hi", last.select("_last").scalar())
-        .select(key, F.explode(F.sequence("_lo", "_hi")).alias("_k"))
-    )
-    w = Window.partitionBy(key).orderBy("_k")
-    return (
-        span.join(known.select(key, "_k", value), [key, "_k"], "left")
-        .withColumn(value, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(ordinals, "_k")
-        .select(key, "date", value)
-    )
+    days = calendar.agg(F.array_sort(F.collect_set("date")).alias("d")).scalar()
+    starts = small.groupBy(key).agg(F.min("date").alias("_lo")).withColumn("_days", days)
+    grid = starts.select(key, F.explode(F.filter("_days", lambda d: d >= F.col("_lo"))).alias("date"))
+    w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    held = grid.join(small.select(key, "date", value), [key, "date"], "left")
+    return held.select(key, "date", F.last(value, ignorenulls=True).over(w).alias(value))

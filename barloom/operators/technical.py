@@ -21,7 +21,7 @@ from barloom.functions.series import (
     with_row_index,
 )
 from barloom.operators.earnings import earnings_facts, score_pead
-from barloom.session import small_side
+from barloom.session import SMALL_SIDE_ROWS, keep
 from barloom.sources.readers import trailing_bars
 
 # --- fixed values -----------------------------------------------------------
@@ -97,13 +97,10 @@ def rsi(gain: str = "avg_gain", loss: str = "avg_loss", zero_loss: float | None
 def index_panel(indices: DataFrame) -> DataFrame:
     """(index, date, idx_ret_5d, idx_fwd_5d) of the market and every sector.
 
-    Gaps are forward-filled on the union calendar before taking returns. Indices
-    are sectors x days: they are counted and kept once, everything after that
-    works on the kept rows.
+    Gaps are forward-filled on the union calendar before taking returns.
     """
-    kept = small_side(indices.select("index", "date", "close"))
     w = series("index")
-    return fill_on_calendar(kept, kept, "index", "close").select(
+    return fill_on_calendar(indices.select("index", "date", "close"), indices, "index", "close").select(
         "index",
         "date",
         pct_change("close", 5, w).alias("idx_ret_5d"),
@@ -111,6 +108,33 @@ def index_panel(indices: DataFrame) -> DataFrame:
     )
 
 
+def index_calendar(indices: DataFrame, vix: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One row per index and day with all a panel row takes from indices, and the list of indices.
+
+    The calendar (bench, date, sector_ret_5d, spy_ret_5d, _spy_fwd, vix) is hinted
+    for a broadcast only if the counted indices times days are within the bound.
+    The index rows are kept, as they are read for the calendar, its days and the count.
+    """
+    kept = keep(indices.select("index", "date", "close"))
+    size = kept.agg(F.count_distinct("index").alias("n"), F.count_distinct("date").alias("d")).first()
+    days = Window.partitionBy("date")
+    is_market = F.col("index") == "MKT"
+    calendar = index_panel(kept).select(
+        F.col("index").alias("bench"),
+        "date",
+        F.col("idx_ret_5d").alias("sector_ret_5d"),
+        F.max(F.when(is_market, F.col("idx_ret_5d"))).over(days).alias("spy_ret_5d"),
+        F.max(F.when(is_market, F.col("idx_fwd_5d"))).over(days).alias("_spy_fwd"),
+    )
+    if vix is None:
+        calendar = calendar.withColumn("vix", F.lit(DEFAULT_VIX))
+    else:
+        calendar = calendar.join(vix.select("date", F.col("close").alias("vix")), "date")
+    if size["n"] * size["d"] <= SMALL_SIDE_ROWS:
+        calendar = F.broadcast(calendar)
+    return calendar, kept.select(F.col("index").alias("_bench")).distinct()
+
+
 SMA_ROWS = (20, 50, 200)
 RETURN_ROWS = (5, 21, 63, 252)
 
@@ -154,7 +178,7 @@ def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix
 
     The bars are placed by symbol once; every window, including the chained
     exponential means, reuses that placement. Market, sector and VIX series are
-    calendar-sized and joined by a size-checked broadcast.
+    calendar-sized: they become one table that is joined once.
     """
     placed = with_volume_ratio(bars.repartition("symbol")).where(F.col("close").isNotNull() & (F.col("_have") >= MIN_FEATURE_ROWS))
     legs = with_rsi_inputs(placed, False, *running_sum("close"), (F.row_number().over(series()) - 1).alias("_rn"))
@@ -182,27 +206,16 @@ def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix
 
 
 def _attach_indices(panel: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None) -> DataFrame:
-    index = small_side(index_panel(indices))
-    known = index.select(F.col("index").alias("_bench")).distinct()
-    bench = dims.select("symbol", "sector").join(F.broadcast(known), F.col("sector") == F.col("_bench"), "left").select("symbol", "_bench")
-    sector = index.select(F.col("index").alias("bench"), "date", F.col("idx_ret_5d").alias("sector_ret_5d"))
-    spy = index.where("index = 'MKT'").select("date", F.col("idx_ret_5d").alias("spy_ret_5d"), F.col("idx_fwd_5d").alias("_spy_fwd"))
-    out = (
-        panel.join(bench, "symbol", "left")
-        .withColumn("bench", F.coalesce("_bench", F.lit("MKT")))
-        .join(F.broadcast(sector), ["bench", "date"], "left")
-        .join(F.broadcast(spy), "date", "left")
-    )
-    if vix is None:
-        out = out.withColumn("vix", F.lit(DEFAULT_VIX))
-    else:
-        out = out.join(small_side(vix.select("date", F.col("close").alias("vix"))), "date", "left")
+    calendar, known = index_calendar(indices, vix)
+    bench = dims.select("symbol", "sector").join(known, F.col("sector") == F.col("_bench"), "left").select("symbol", "_bench")
+    # a day without sector, market or VIX value makes no complete row
+    complete = calendar.where(" and ".join(f"{c} is not null" for c in BASE_FEATURES[12:]))
+    out = panel.join(bench, "symbol", "left").withColumn("bench", F.coalesce("_bench", F.lit("MKT"))).join(complete, ["bench", "date"])
     rel = F.col("fwd_ret") - F.col("_spy_fwd")
     return (
         out.withColumn("rel_fwd_ret", rel)
         .withColumn("label", F.when(F.col("rel_fwd_ret") > 0, 1).otherwise(0))
         .select("symbol", "date", *BASE_FEATURES, "fwd_ret", "rel_fwd_ret", "label")
-        .where(" and ".join(f"{c} is not null" for c in BASE_FEATURES[12:]))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is only broadcast when a count proves it has at most this many rows.
+# A side is only hinted for a broadcast when a count proves it has at most this many rows.
 SMALL_SIDE_ROWS = 200_000
 
 
@@ -36,26 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barloom-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast ``df`` if, and only if, its counted size is within ``max_rows``.
-
-    Meant for calendar- or sector-sized aggregates. They are persisted so the
-    count is not paid twice; a side that turns out larger is released and left
-    to a shuffled join.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Persist a bounded input that one plan reads several times; spills to disk."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.numeric import finite
 
 
+def _finite_inside(c: Column, kind: T.DataType) -> Column:
+    """``c`` with NaN and infinities as NULL at any depth; map keys stay."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return finite(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: _finite_inside(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite_inside(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        fields = [_finite_inside(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c
+
+
 def sanitise(df: DataFrame) -> DataFrame:
-    """NaN and infinities become NULL in every double column, array and map value."""
-    out = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind in ("double", "float"):
-            c = finite(c)
-        elif kind in ("array<double>", "array<float>"):
-            c = F.transform(c, finite)
-        elif kind.startswith("map<") and kind.endswith((",double>", ",float>")):
-            c = F.transform_values(c, lambda _, v: finite(v))
-        out.append(c.alias(name))
-    return df.select(*out)
+    """NaN and infinities become NULL wherever they stand, in nested values too."""
+    return df.select(*[_finite_inside(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def append_agent_log(entries: DataFrame, path: str) -> None:
