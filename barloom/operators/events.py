@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import pct_text, py_round, to_double
 from barloom.functions.text import is_buy
-from barloom.operators.insider import since
+from barloom.operators.insider import buyers, since
 
 # --- fixed values -----------------------------------------------------------
 BEAT = 0.15
@@ -41,11 +41,14 @@ def pead_trigger(earnings: DataFrame, asof: str) -> DataFrame:
 
 
 def insider_cluster(tx: DataFrame, asof: str) -> DataFrame:
-    """Symbols bought by at least two distinct insiders within 45 days."""
-    buys = since(tx, asof, CLUSTER_DAYS).where(is_buy(F.col("text")))
-    g = buys.groupBy("symbol").agg(
-        F.count_distinct("insider").alias("n_insiders"),
-        F.coalesce(F.sum(F.abs(to_double("value")).cast("decimal(20,4)")), F.lit(0)).cast("double").alias("total"),
+    """Symbols bought by at least two distinct insiders within 45 days; without names each purchase counts, without dates none."""
+    if "tx_date" not in tx.columns or "text" not in tx.columns:
+        tx = tx.where("false")
+    bought = is_buy(F.col("text")) if "text" in tx.columns else F.lit(False)
+    value = F.abs(to_double("value")) if "value" in tx.columns else F.lit(0.0)
+    g = since(tx, asof, CLUSTER_DAYS).where(bought).groupBy("symbol").agg(
+        buyers(tx, F.lit(True)).alias("n_insiders"),
+        F.coalesce(F.sum(value.cast("decimal(20,4)")), F.lit(0)).cast("double").alias("total"),
     )
     return g.where(F.col("n_insiders") >= CLUSTER_BUYERS).select(
         "symbol",

@@ -66,7 +66,7 @@ def daily_run(day: Inputs, asof: str) -> Day:
     run = F.lit(asof).cast("date").alias("run_date")
     events_asof = day.events_asof or asof
     regime = keep(macro.macro_regime(day.macro, asof))
-    chosen = keep(macro.trim_in_risk_off(universe.screen_universe(readers.read_bars(day.bars, until=asof), day.min_dollar_volume), regime))
+    chosen = keep(macro.trim_in_risk_off(universe.screen_universe(readers.read_bars(day.bars, until=asof), day.min_dollar_volume, asof=asof), regime))
     names = chosen.select("symbol")
     bars = keep(readers.trailing_bars(day.bars.join(names, "symbol", "left_semi"), asof, day.lookback_days))
 

@@ -14,6 +14,7 @@ from barloom.sources import readers
 from barloom.sources.dims import watchlist
 from barloom.sources.tables import BARS_ASOF, EVENTS_ASOF, Tables
 
+SCREEN_SINCE = "2000-09-04"  # 14 months before BARS_ASOF, on the raw column
 TURNOVER = 45_000.0  # the screen's dollar-volume floor at the scale of supplier bars
 YEAR_DAYS = 1400  # calendar days that hold about 300 bars of a supplier
 
@@ -61,6 +62,34 @@ def _(t: Tables) -> DataFrame:
     return insider.insider_signal(readers.read_insider_tx(t.insider_tx()), EVENTS_ASOF)
 
 
+@query(
+    "d06_insider_without_columns",
+    f"""SELECT symbol, {pyround('share', 3)} AS purchase_ratio, n_insiders, {pyround('score', 3)} AS insider_score FROM (
+        SELECT *, share*share*0.6::DOUBLE + least(n_insiders/5.0::DOUBLE, 1.0::DOUBLE)*0.4::DOUBLE AS score FROM (
+        SELECT symbol, coalesce(CAST(count(*) FILTER (is_buy) AS DOUBLE)/nullif(count(*) FILTER (is_buy) + count(*) FILTER (is_sell), 0), 0.0) AS share,
+               count(*) FILTER (is_buy) AS n_insiders FROM insider_tx GROUP BY 1))""",
+    "insider_tx",
+    "purchase_ratio insider_score",
+)
+def _(t: Tables) -> DataFrame:
+    bare = t.insider_tx().drop("Value", "Insider", "Start Date")
+    return insider.insider_signal(readers.read_insider_tx(bare), EVENTS_ASOF)
+
+
+@query(
+    "d21_cluster_without_names",
+    f"""SELECT symbol, n_insiders, 0.0::DOUBLE AS total_value FROM (SELECT symbol, count(*) AS n_insiders FROM insider_tx
+        WHERE is_buy AND tx_date BETWEEN DATE '{EVENTS_ASOF}' - 45 AND DATE '{EVENTS_ASOF}' GROUP BY 1) WHERE n_insiders >= 2""",
+    "insider_tx",
+    "total_value",
+)
+def _(t: Tables) -> DataFrame:
+    from barloom.operators import events
+
+    bare = readers.read_insider_tx(t.insider_tx().drop("Value", "Insider"))
+    return events.insider_cluster(bare, EVENTS_ASOF).select("symbol", "n_insiders", "total_value")
+
+
 cte("pit_facts", "SELECT symbol, tx_date, insider, is_buy AND coalesce(value >= 10000, false) AS buy, is_sell AS sell FROM insider_tx", "insider_tx")
 cte("pit_probe", "SELECT DISTINCT 'S' || user_id AS symbol, CAST(ts AS DATE) AS date FROM events")
 cte(
@@ -300,9 +329,10 @@ cte(
     "screen_stats",
     """SELECT symbol, count(*) AS n_rows, max(close) FILTER (back=1) AS last, avg(close) FILTER (back<=200) AS sma200, avg(close*volume) FILTER (back<=63) AS avg_dollar_volume,
        max(close) FILTER (back=21)/max(close) FILTER (back=252) - 1 AS momentum FROM (
-       SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM bars) WHERE back <= 252 GROUP BY 1""",
-    "bars",
+       SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM screen_bars WHERE date > DATE '{start}' AND date <= DATE '{asof}') WHERE back <= 252 GROUP BY 1""".format(start="2000-09-04", asof=BARS_ASOF),
+    "screen_bars",
 )
+cte("screen_bars", "SELECT * FROM baskets UNION ALL SELECT * FROM bars", "baskets", "bars")
 cte("candidates", f"SELECT * FROM screen_stats WHERE n_rows >= 252 AND last >= sma200 AND avg_dollar_volume >= {TURNOVER}", "screen_stats")
 cte(
     "screened",
@@ -319,7 +349,7 @@ cte(
     "sma200:4 avg_dollar_volume:2 momentum",
 )
 def _(t: Tables) -> DataFrame:
-    return universe.screen_stats(t.bars())
+    return universe.screen_stats(t.screen_bars(SCREEN_SINCE), BARS_ASOF)
 
 
 @query(
@@ -329,7 +359,7 @@ def _(t: Tables) -> DataFrame:
     "momentum",
 )
 def _(t: Tables) -> DataFrame:
-    return universe.screen_universe(t.bars(), TURNOVER, fallback=watchlist(t.spark))
+    return universe.screen_universe(t.screen_bars(SCREEN_SINCE), TURNOVER, fallback=watchlist(t.spark), asof=BARS_ASOF)
 
 
 @query(
@@ -338,7 +368,7 @@ def _(t: Tables) -> DataFrame:
     "screened macro_long",
 )
 def _(t: Tables) -> DataFrame:
-    names = universe.screen_universe(t.bars(), TURNOVER)
+    names = universe.screen_universe(t.screen_bars(SCREEN_SINCE), TURNOVER, asof=BARS_ASOF)
     return macro.trim_in_risk_off(names, macro.macro_regime(t.macro(), BARS_ASOF)).select("rank", "symbol")
 
 

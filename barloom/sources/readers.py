@@ -89,7 +89,11 @@ def read_earnings(raw: DataFrame, date: str = "report_date") -> DataFrame:
 
 
 def read_insider_tx(raw: DataFrame) -> DataFrame:
-    """(symbol, tx_date, text, insider, value text): first matching column per role."""
+    """(symbol, tx_date, text, insider, value text): first matching column per role.
+
+    A role without a matching column has no column in the result: what reads it
+    then goes without that filter, instead of taking every row for missing.
+    """
     named = {
         "tx_date": _pick(raw, "date"),
         "text": _pick(raw, "transaction", "text"),
@@ -98,8 +102,9 @@ def read_insider_tx(raw: DataFrame) -> DataFrame:
     }
     cols: list[Column] = [F.col("symbol")]
     for out, src in named.items():
-        text = F.col(f"`{src}`").cast("string") if src else F.lit(None).cast("string")
-        cols.append((text.try_cast("date") if out == "tx_date" else text).alias(out))
+        if src:
+            text = F.col(f"`{src}`").cast("string")
+            cols.append((text.try_cast("date") if out == "tx_date" else text).alias(out))
     return raw.select(*cols)
 
 

@@ -56,14 +56,14 @@ class Tables:
             "l_suppkey", _date("l_shipdate").alias("date"), _units("l_extendedprice", CENTS).alias("cents"), F.col("l_quantity").alias("qty"), *extra
         )
 
-    def _placed(self, *extra: str) -> DataFrame:
+    def _placed(self, *extra: str, since: str | None = None) -> DataFrame:
         """Trades with the sector of their supplier.
 
         Joined ahead of the aggregation: while suppliers fit a broadcast, trades
         collapse to (sector, date) on the map side; beyond that it is a shuffled
         join whose hot suppliers AQE splits.
         """
-        return self._trades(None, *extra).join(self.places, F.col("l_suppkey") == F.col("s_suppkey"))
+        return self._trades(since, *extra).join(self.places, F.col("l_suppkey") == F.col("s_suppkey"))
 
     @staticmethod
     def _bar() -> list[Column]:
@@ -107,9 +107,13 @@ class Tables:
             F.when(F.col("_all") == 1, "MKT").otherwise(F.col("sector")).alias("index"), "date", "close"
         )
 
-    def baskets(self) -> DataFrame:
+    def screen_bars(self, since: str | None = None) -> DataFrame:
+        """Bars of suppliers and baskets, read from ``since`` on: the sparse and the dense series of a screen."""
+        return self.baskets(since).unionByName(self.bars(since))
+
+    def baskets(self, since: str | None = None) -> DataFrame:
         """(symbol, date, close, volume) of ten dense baskets: sector x line status."""
-        return self._placed("l_linestatus").groupBy(F.concat_ws("-", "sector", "l_linestatus").alias("symbol"), "date").agg(*self._bar())
+        return self._placed("l_linestatus", since=since).groupBy(F.concat_ws("-", "sector", "l_linestatus").alias("symbol"), "date").agg(*self._bar())
 
     # -- macro --------------------------------------------------------------
     def vix(self) -> DataFrame:

@@ -101,9 +101,10 @@ def test_model_round_trip(spark, tmp_path):
 
 def test_daily_run(spark):
     t = Tables(spark, "/root/testdata/sf0.01")
-    symbols = [f"S{i}" for i in range(100)]
+    dense = t.baskets().select("symbol", F.split("symbol", "-")[0].alias("sector"), F.lit(None).cast("string").alias("nation")).distinct()
+    symbols = [f"S{i}" for i in range(100)] + [r["symbol"] for r in dense.collect()]
     day = daily.Inputs(
-        bars=t.bars(),
+        bars=t.screen_bars(),
         macro=t.macro(),
         earnings=readers.read_earnings(t.earnings()),
         insider_tx=readers.read_insider_tx(t.insider_tx()),
@@ -111,7 +112,7 @@ def test_daily_run(spark):
         scored_news=t.scored_news(),
         fundamentals=t.fundamentals(),
         proposals=spark.createDataFrame([(s, "0.2") for s in symbols], "symbol string, weight string"),
-        dims=t.dims(),
+        dims=t.dims().unionByName(dense),
         styles=styles(spark),
         directions=spark.createDataFrame([(s, "bullish", 0.8) for s in symbols], "symbol string, direction string, confidence double"),
         positions=t.positions(),

@@ -1,5 +1,6 @@
 """Golden cases and properties of the operators."""
 
+import datetime
 import itertools
 
 import numpy as np
@@ -10,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.operators import evaluation as ev
-from barloom.operators import events, hrp, logs, macro, memory, news, pairs, portfolio, risk, universe
+from barloom.operators import events, hrp, insider, logs, macro, memory, news, pairs, portfolio, risk, universe
 from barloom.operators import technical as tech
+from barloom.sources import readers
 from barloom.sources.dims import SECTORS, WATCHLIST, styles, watchlist
 
 QUIET = settings(max_examples=6, deadline=None, phases=(Phase.explicit, Phase.generate), suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -422,3 +424,39 @@ def test_lsh_finds_the_exact_neighbour(spark, sf_dir):
     assert near["id"] == 3 and near["distance"] == pytest.approx(0, abs=1e-6)
     exact = memory.similar_decisions(store, store.where("id = 3"), 5)
     assert exact.first()["id"] == 3 and exact.count() == min(5, store.count())
+
+
+def test_screen_forgets_dead_names(spark):
+    live = [("LIVE", d.date(), 100.0 + i * 0.1, 1e9) for i, d in enumerate(pd.bdate_range("2000-06-01", periods=300))]
+    dead = [("DEAD", d.date(), 100.0 + i, 1e9) for i, d in enumerate(pd.bdate_range("1996-01-01", periods=300))]
+    bars = spark.createDataFrame(live + dead, "symbol string, date date, close double, volume double")
+    asof = str(live[-1][1])
+    assert [r["symbol"] for r in universe.screen_universe(bars, asof=asof).collect()] == ["LIVE"]
+    assert {r["symbol"] for r in universe.screen_universe(bars).collect()} == {"LIVE", "DEAD"}
+
+
+def test_insider_without_optional_columns(spark):
+    raw = spark.createDataFrame([("A", "Purchase", "2024-01-20", "x", "5"), ("A", "Purchase", "2024-01-21", "x", "5"), ("A", "Sale", "2024-01-22", "y", "5")], "symbol string, transaction string, `start date` string, insider string, value string")
+    score = lambda df: insider.insider_signal(readers.read_insider_tx(df), "2024-01-31").first()
+    assert score(raw)["purchase_ratio"] == 0.0  # two purchases below the least value
+    assert (score(raw.drop("value"))["purchase_ratio"], score(raw.drop("value"))["n_insiders"]) == (0.667, 1)
+    assert score(raw.drop("value", "insider"))["n_insiders"] == 2
+    assert score(raw.drop("value", "start date"))["purchase_ratio"] == 0.667
+    cluster = lambda df: events.insider_cluster(readers.read_insider_tx(df), "2024-01-31").count()
+    assert (cluster(raw), cluster(raw.drop("insider")), cluster(raw.drop("insider", "start date"))) == (0, 1, 0)
+
+
+def test_point_in_time_score_matches_counting(spark):
+    rng = np.random.default_rng(8)
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(int(x)) for x in rng.integers(0, 300, 250)]
+    rows = [(f"S{i % 3}", d, rng.choice(["Purchase", "Sale", "Gift"]), f"I{rng.integers(0, 6)}", rng.choice(["20000", "5"])) for i, d in enumerate(days)]
+    tx = spark.createDataFrame(rows, "symbol string, tx_date date, text string, insider string, value string")
+    panel = spark.createDataFrame([(f"S{k}", datetime.date(2024, 1, 1) + datetime.timedelta(n), n) for k in range(4) for n in range(0, 420, 3)], "symbol string, date date, extra int")
+    got = insider.point_in_time_score(panel, tx).collect()
+    assert len(got) == panel.count()
+    for r in got:
+        seen = [x for x in rows if x[0] == r["symbol"] and datetime.timedelta(0) <= r["date"] - x[1] <= datetime.timedelta(90)]
+        buys = [x for x in seen if x[2] == "Purchase" and x[4] == "20000"]
+        sells = [x for x in seen if x[2] == "Sale"]
+        share = len(buys) / (len(buys) + len(sells)) if buys or sells else 0.0
+        assert r["insider_score"] == round(share * share * 0.6 + min(len({x[3] for x in buys}) / 5, 1) * 0.4, 3)
