@@ -25,14 +25,15 @@ def value_range(df: DataFrame, value: str, ranges: int | None = None) -> Column:
     return F.size(F.filter(edges, lambda e: e < F.col(value)))
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """(*by, value, n, rank, *extra): distinct values with count and average rank.
 
     Ties collapse to one row first (map-side), then ranks are a running count:
     totals per value range give each range its offset, the running count inside a
-    range gives the rest. ``extra`` adds aggregates per distinct value.
+    range gives the rest. ``extra`` adds aggregates per distinct value, ``weight``
+    is how many rows a row stands for.
     """
-    aggs = [F.count("*").alias("n")] + [c.alias(name) for name, c in (extra or {}).items()]
+    aggs = [(F.sum(weight) if weight else F.count("*")).alias("n")] + [c.alias(name) for name, c in (extra or {}).items()]
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
     ranged = counts.withColumn("_range", value_range(df.where(F.col(value).isNotNull()), value))
     offset_w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,15 +39,26 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rank_ic(scored: DataFrame, by: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
-    """Spearman correlation of score and forward return; 0 when undefined or too few rows."""
-    valid = scored.where(F.col("fwd_ret").isNotNull())
-    rp = average_rank(valid, "proba", by).select(*by, "proba", F.col("rank").alias("rp"))
-    rf = average_rank(valid, "fwd_ret", by).select(*by, "fwd_ret", F.col("rank").alias("rf"))
-    ranked = valid.select(*by, "proba", "fwd_ret").join(rp, [*by, "proba"]).join(rf, [*by, "fwd_ret"])
+    """Spearman correlation of score and forward return; 0 when undefined or too few rows.
+
+    Equal (score, return) pairs collapse before anything is ranked or joined.
+    """
+    pairs = scored.where(F.col("fwd_ret").isNotNull()).groupBy(*by, "proba", "fwd_ret").agg(F.count("*").alias("n"))
+    rp = average_rank(pairs, "proba", by, weight="n").select(*by, "proba", F.col("rank").alias("rp"))
+    rf = average_rank(pairs, "fwd_ret", by, weight="n").select(*by, "fwd_ret", F.col("rank").alias("rf"))
+    ranked = pairs.join(rp, [*by, "proba"]).join(rf, [*by, "fwd_ret"])
+
+    def mean(*cols: str) -> Column:
+        product = F.col("n").cast("double")
+        for c in cols:
+            product = product * F.col(c)
+        return F.sum(product) / F.sum("n")
+
     g = _grouped(ranked, by).agg(
-        F.count("*").alias("n"), F.covar_pop("rp", "rf").alias("c"), F.stddev_pop("rp").alias("sp"), F.stddev_pop("rf").alias("sf")
+        F.sum("n").alias("n"), mean("rp").alias("p"), mean("rf").alias("f"), mean("rp", "rf").alias("pf"), mean("rp", "rp").alias("pp"), mean("rf", "rf").alias("ff")
     )
-    ic = F.when(F.col("n") > min_rows, finite(ratio("c", F.col("sp") * F.col("sf"))))
+    spread = F.sqrt(F.greatest(F.col("pp") - F.col("p") * F.col("p"), F.lit(0.0)) * F.greatest(F.col("ff") - F.col("f") * F.col("f"), F.lit(0.0)))
+    ic = F.when(F.col("n") > min_rows, finite(ratio(F.col("pf") - F.col("p") * F.col("f"), spread)))
     return g.select(*by, F.coalesce(ic, F.lit(0.0)).alias("ic"))
 
 
@@ -136,15 +147,20 @@ def tag_splits(panel: DataFrame, splits: DataFrame) -> DataFrame:
     return tagged.where(F.col("split").isNotNull()).drop("_s")
 
 
-def split_metrics(scored: DataFrame) -> DataFrame:
-    """(split, auc, ic, n_test) rounded as reported; single-class splits give 0.5 and 0."""
+def split_metrics(scored: DataFrame, splits: DataFrame) -> DataFrame:
+    """(split, auc, ic, n_train, n_test) rounded as reported; single-class splits give 0.5 and 0.
+
+    ``splits`` (split, n_train) is the handful of splits the rows are tagged with.
+    """
     classes = scored.groupBy("split").agg(F.count("*").alias("n_test"), F.count_distinct("label").alias("k"))
-    out = classes.join(roc_auc(scored, ["split"]), "split", "left").join(rank_ic(scored, ["split"], MIN_IC_ROWS), "split", "left")
+    out = classes.join(splits.select("split", "n_train"), "split", "left")
+    out = out.join(roc_auc(scored, ["split"]), "split", "left").join(rank_ic(scored, ["split"], MIN_IC_ROWS), "split", "left")
     one = F.col("k") < 2
     return out.select(
         "split",
         F.when(one, 0.5).otherwise(py_round("auc", 4)).alias("auc"),
         F.when(one, 0.0).otherwise(py_round(F.coalesce("ic", F.lit(0.0)), 4)).alias("ic"),
+        "n_train",
         "n_test",
     )
 

@@ -86,8 +86,18 @@ def event_signals(pead: DataFrame, clusters: DataFrame, max_weight: float = MAX_
     )
 
 
+EMPTY_EVENTS = "  No event-driven signals today."
+
+
 def summarise_events(signals: DataFrame) -> DataFrame:
-    """One text line per symbol."""
-    return signals.select(
-        "symbol", F.concat(F.col("symbol"), F.lit(": "), pct_text("total_allocation", 1), F.lit(" — "), F.array_join("reasons", " | ")).alias("line")
+    """(symbol, line): a header that counts the symbols (no symbol of its own), then a line per symbol; one line says if there are none."""
+    lines = signals.select(
+        "symbol",
+        F.concat(F.lit("    "), F.col("symbol"), F.lit(": "), pct_text("total_allocation", 1), F.lit(" — "), F.array_join("reasons", " | ")).alias("line"),
+    )
+    n = F.col("n")
+    head = signals.agg(F.count("*").alias("n")).select(
+        F.lit(None).cast("string").alias("symbol"),
+        F.when(n == 0, F.lit(EMPTY_EVENTS)).otherwise(F.concat(F.lit("  Event-driven signals ("), n, F.lit(" stocks):"))).alias("line"),
     )
+    return lines.unionByName(head)

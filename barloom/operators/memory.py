@@ -12,6 +12,7 @@ from barloom.functions.numeric import fixed_text, pct_text, ratio
 # --- fixed values -----------------------------------------------------------
 DOC_CHARS = 200
 EMPTY_NOTICE = "No previous trading history in vector memory."
+HEADER = "Recent similar decisions (RAG):"
 # ----------------------------------------------------------------------------
 
 
@@ -73,8 +74,14 @@ def similar_decisions_lsh(store: DataFrame, probe_vector, k: int = 5, tables: in
 
 
 def memory_lines(hits: DataFrame) -> DataFrame:
-    """Text line per retrieved decision; ``hits`` has id, style, pnl_pct and doc."""
+    """(id, line): a header without id, then a text line per retrieved decision; without any, the notice alone.
+
+    ``hits`` has id, style, pnl_pct and doc.
+    """
     pnl = F.when(F.coalesce("pnl_pct", F.lit(0.0)) != 0, F.concat(F.lit(" | PnL: "), fixed_text("pnl_pct", 2, sign=True), F.lit("%"))).otherwise("")
-    return hits.select(
+    lines = hits.select(
         "id", F.concat(F.lit("  ["), F.col("id").cast("string"), F.lit("] "), F.upper("style"), pnl, F.lit(": "), F.substring("doc", 1, DOC_CHARS)).alias("line")
     )
+    kind = hits.schema["id"].dataType
+    head = hits.agg(F.count("*").alias("n")).select(F.lit(None).cast(kind).alias("id"), F.when(F.col("n") == 0, EMPTY_NOTICE).otherwise(HEADER).alias("line"))
+    return lines.unionByName(head)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,6 +17,8 @@ from barloom.operators import evaluation as ev
 from barloom.operators.technical import FEATURES, direction_from_prob
 from barloom.session import cut_lineage
 
+ROWS_PER_TASK = 50_000
+
 
 @dataclass(frozen=True)
 class Boosting:
@@ -50,6 +53,22 @@ def estimator(cfg: Boosting) -> Pipeline:
     )
 
 
+def fit(cfg: Boosting, rows: DataFrame) -> PipelineModel:
+    """All rounds over ``rows``; missing inputs count as 0.
+
+    Boosting makes several small jobs a round, so the rows are put into as few
+    tasks as ROWS_PER_TASK allows: a small panel is not spread over many tasks,
+    a large one keeps its partitions. The kept rows are released afterwards.
+    """
+    ready = rows.na.fill(0.0, subset=FEATURES).select(*FEATURES, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tasks = max(1, -(-ready.count() // ROWS_PER_TASK))
+        few = ready.coalesce(tasks) if tasks < ready.rdd.getNumPartitions() else ready
+        return estimator(cfg).fit(few)
+    finally:
+        ready.unpersist()
+
+
 def score(model: PipelineModel, panel: DataFrame) -> DataFrame:
     """(symbol, date, proba, pred, label, fwd_ret); missing inputs count as 0."""
     ready = panel.na.fill(0.0, subset=FEATURES)
@@ -64,11 +83,11 @@ def score(model: PipelineModel, panel: DataFrame) -> DataFrame:
 def train_eval(panel: DataFrame, cfg: Boosting = Boosting(), train_share: float = 0.8) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Fit on the first 80 % of rows by date; (model, scored test rows, quality row).
 
-    The split panel is checkpointed: boosting passes over it many times and must
-    not recompute the feature windows when an executor is lost.
+    The panel is checkpointed before it is split (the split reads it three times)
+    and after, as boosting must not recompute the features when an executor is lost.
     """
-    rows = cut_lineage(positional_split(panel, train_share))
-    model = estimator(cfg).fit(rows.where("is_train").na.fill(0.0, subset=FEATURES))
+    rows = cut_lineage(positional_split(cut_lineage(panel), train_share))
+    model = fit(cfg, rows.where("is_train"))
     scored = cut_lineage(score(model, rows.where("not is_train")))
     quality = ev.quality_gate(ev.accuracy(scored), ev.roc_auc(scored), ev.rank_ic(scored))
     return model, scored, quality
@@ -80,19 +99,19 @@ def walk_forward(panel: DataFrame, cfg: Boosting = Boosting(rounds=300, step=0.0
     The loop runs over the years covered, each fit is a distributed job.
     """
     rows = cut_lineage(panel)
-    scored = None
-    for s in ev.walk_forward_splits(rows).orderBy("test_start").collect():
+    scored, splits = None, ev.walk_forward_splits(rows)
+    for s in splits.orderBy("test_start").collect():
         train = rows.where(F.col("date") < F.lit(s["test_start"]))
         test = rows.where((F.col("date") >= F.lit(s["test_start"])) & (F.col("date") < F.lit(s["test_end"])))
         if train.select("label").distinct().count() < 2:
             part = test.select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret")
         else:
-            part = score(estimator(cfg).fit(train.na.fill(0.0, subset=FEATURES)), test)
+            part = score(fit(cfg, train), test)
         part = part.withColumn("split", F.lit(s["split"]))
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         scored = rows.where(F.lit(False)).select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret", F.lit("").alias("split"))
-    metrics = cut_lineage(ev.split_metrics(cut_lineage(scored)))
+    metrics = cut_lineage(ev.split_metrics(cut_lineage(scored), splits))
     return metrics, ev.summarise_splits(metrics)
 
 
@@ -101,7 +120,7 @@ def train_final(panel: DataFrame, metrics: DataFrame, cfg: Boosting = Boosting()
     mean_ic = metrics.agg(F.avg("ic").alias("ic")).first()["ic"]
     if mean_ic is None or mean_ic <= 0:
         return None
-    return estimator(cfg).fit(cut_lineage(panel).na.fill(0.0, subset=FEATURES))
+    return fit(cfg, cut_lineage(panel))
 
 
 def importances(model: PipelineModel) -> DataFrame:

@@ -87,6 +87,29 @@ def override_weights(weights: DataFrame, actions: DataFrame) -> DataFrame:
     return weights.where(F.col("weight") > 0).join(out, "symbol", "left_anti")
 
 
+EMPTY_RISK = "  No positions to monitor."
+
+
 def risk_summary(actions: DataFrame) -> DataFrame:
-    """(forced, action, n): how many positions each action hits; the names stay in ``actions``."""
-    return actions.groupBy(F.col("action").startswith("FORCE_SELL").alias("forced"), "action").agg(F.count("*").alias("n"))
+    """(part, symbol, line): the text of a risk check, forced sales first; a header counts each part.
+
+    Lines stay rows, in the order of (part, symbol); a header has no symbol. An
+    empty check is one line that says so.
+    """
+    part = F.when(F.col("action").startswith("FORCE_SELL"), 1).when(F.col("action") == "HOLD", 2)
+    told = actions.withColumn("part", part).where("part is not null")
+    lines = told.select(
+        "part",
+        "symbol",
+        F.when(F.col("part") == 1, F.concat(F.lit("    ["), "action", F.lit("] "), "symbol", F.lit(": "), "reason"))
+        .otherwise(F.concat(F.lit("    "), "symbol", F.lit(": "), "reason"))
+        .alias("line"),
+    )
+    n = F.col("n")
+    heads = told.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part",
+        F.lit(None).cast("string").alias("symbol"),
+        F.when(F.col("part") == 1, F.concat(F.lit("  [!] "), n, F.lit(" RISK OVERRIDE(S):"))).otherwise(F.concat(F.lit("  [OK] "), n, F.lit(" position(s) within risk bounds"))).alias("line"),
+    )
+    none = told.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("symbol"), F.lit(EMPTY_RISK).alias("line"))
+    return lines.unionByName(heads).unionByName(none)

@@ -15,7 +15,8 @@ from barloom.plans.signals import full_panel
 from barloom.session import keep
 from barloom.sources.tables import BARS_ASOF, Tables
 
-QUICK = modeling.Boosting(rounds=5, step=0.05)
+# the settings of the research process, all rounds of them
+TRAIN, WALK = modeling.Boosting(), modeling.Boosting(rounds=300, step=0.05)
 
 # -- splits and profile -----------------------------------------------------------
 
@@ -55,14 +56,15 @@ def _(t: Tables) -> DataFrame:
     return ev.walk_forward_splits(t.scored_panel())
 
 
-def split_rows(t: Tables) -> DataFrame:
+def split_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     panel = keep(t.scored_panel())
-    return ev.tag_splits(panel, ev.walk_forward_splits(panel))
+    splits = ev.walk_forward_splits(panel)
+    return ev.tag_splits(panel, splits), splits
 
 
 @query("d26_tag_splits", "SELECT split, date, symbol, proba FROM split_rows", "split_rows")
 def _(t: Tables) -> DataFrame:
-    return split_rows(t).select("split", "date", "symbol", "proba")
+    return split_rows(t)[0].select("split", "date", "symbol", "proba")
 
 
 # -- metrics --------------------------------------------------------------------------
@@ -146,7 +148,7 @@ cte("split_auc", _AUC.format(k="split,", p="PARTITION BY split", src="split_rows
 cte("split_ic", "SELECT split, CASE WHEN count(*) > 10 THEN covar_pop(rp, rf)/(stddev_pop(rp)*stddev_pop(rf)) ELSE 0 END AS ic FROM split_ranked GROUP BY 1", "split_ranked")
 cte(
     "split_metrics",
-    f"SELECT split, {pyround('auc', 4)} AS auc, {pyround('ic', 4)} AS ic, n_test FROM (SELECT a.split, auc, ic, n_test FROM split_auc a JOIN split_ic USING (split) JOIN splits USING (split))",
+    f"SELECT split, {pyround('auc', 4)} AS auc, {pyround('ic', 4)} AS ic, n_train, n_test FROM (SELECT a.split, auc, ic, n_train, n_test FROM split_auc a JOIN split_ic USING (split) JOIN splits USING (split))",
     "split_auc",
     "split_ic",
     "splits",
@@ -155,7 +157,8 @@ cte(
 
 @query("a22_split_metrics", "SELECT * FROM split_metrics", "split_metrics", "auc ic")
 def _(t: Tables) -> DataFrame:
-    return ev.split_metrics(keep(split_rows(t)))
+    rows, splits = split_rows(t)
+    return ev.split_metrics(keep(rows), splits)
 
 
 @query(
@@ -167,7 +170,8 @@ def _(t: Tables) -> DataFrame:
     "mean_auc std_auc min_auc max_auc mean_ic std_ic min_ic max_ic",
 )
 def _(t: Tables) -> DataFrame:
-    return ev.summarise_splits(ev.split_metrics(keep(split_rows(t))))
+    rows, splits = split_rows(t)
+    return ev.summarise_splits(ev.split_metrics(keep(rows), splits))
 
 
 @query(
@@ -188,17 +192,17 @@ def _(t: Tables) -> DataFrame:
 
 @query("d24_train_eval")
 def _(t: Tables) -> DataFrame:
-    return modeling.train_eval(full_panel(t), QUICK)[2]
+    return modeling.train_eval(full_panel(t), TRAIN)[2]
 
 
 @query("d26_walk_forward")
 def _(t: Tables) -> DataFrame:
-    return modeling.walk_forward(full_panel(t), QUICK)[0]
+    return modeling.walk_forward(full_panel(t), WALK)[0]
 
 
 @query("a21_importances")
 def _(t: Tables) -> DataFrame:
-    return modeling.importances(modeling.train_eval(full_panel(t), QUICK)[0])
+    return modeling.importances(modeling.train_eval(full_panel(t), TRAIN)[0])
 
 
 # -- decision memory ------------------------------------------------------------------------
@@ -219,7 +223,8 @@ def _(t: Tables) -> DataFrame:
 @query(
     "d41_memory_lines",
     """SELECT id, '  [' || id || '] ' || upper(['aggressive','balanced','conservative'][id % 3 + 1]) || CASE WHEN label <> 4 THEN ' | PnL: ' || printf('%+.2f', (label-4)/4.0::DOUBLE) || '%' ELSE '' END || ': ' || 'decision ' || id AS line
-       FROM cosine JOIN embeddings e ON e.vec_id = id WHERE id IN (SELECT id FROM cosine ORDER BY distance, id LIMIT 20)""",
+       FROM cosine JOIN embeddings e ON e.vec_id = id WHERE id IN (SELECT id FROM cosine ORDER BY distance, id LIMIT 20)
+       UNION ALL SELECT NULL, 'Recent similar decisions (RAG):'""",
     "cosine",
 )
 def _(t: Tables) -> DataFrame:

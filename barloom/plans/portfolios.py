@@ -303,7 +303,14 @@ def _(t: Tables) -> DataFrame:
     return risk.override_weights(w, actions(t))
 
 
-@query("d39_risk_summary", "SELECT action LIKE 'FORCE_SELL%' AS forced, action, count(*) AS n FROM actions GROUP BY 1, 2", "actions")
+@query(
+    "d39_risk_summary",
+    """SELECT CASE WHEN action LIKE 'FORCE_SELL%' THEN 1 ELSE 2 END AS part, symbol, CASE WHEN action LIKE 'FORCE_SELL%' THEN '    [' || action || '] ' || symbol || ': ' || reason
+              ELSE '    ' || symbol || ': ' || reason END AS line FROM actions
+       UNION ALL SELECT 1, NULL, '  [!] ' || count(*) || ' RISK OVERRIDE(S):' FROM actions WHERE action LIKE 'FORCE_SELL%' HAVING count(*) > 0
+       UNION ALL SELECT 2, NULL, '  [OK] ' || count(*) || ' position(s) within risk bounds' FROM actions WHERE action = 'HOLD' HAVING count(*) > 0""",
+    "actions",
+)
 def _(t: Tables) -> DataFrame:
     return risk.risk_summary(actions(t))
 

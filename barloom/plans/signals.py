@@ -531,7 +531,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "d22_event_summary",
-    "SELECT symbol, symbol || ': ' || printf('%.1f', total_allocation*100) || '% — ' || replace(reasons, '|', ' | ') AS line FROM event_signals",
+    """SELECT symbol, '    ' || symbol || ': ' || printf('%.1f', total_allocation*100) || '% — ' || replace(reasons, '|', ' | ') AS line FROM event_signals
+       UNION ALL SELECT NULL, '  Event-driven signals (' || count(*) || ' stocks):' FROM event_signals""",
     "event_signals",
 )
 def _(t: Tables) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +28,14 @@ def read_entries(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(ENTRY_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def status_stream(entries: DataFrame, watermark: str = "2 days") -> DataFrame:
+def status_stream(entries: DataFrame) -> DataFrame:
     """Phase flags and counts per log, updated as entries arrive.
 
-    The state is one small row per log; logs older than the watermark are dropped
-    from state. Event time is cast to a zoned timestamp, which watermarks need.
+    The state is one small row per log and is kept, so that every entry counts,
+    however late it comes and whether or not its time can be read, as in the
+    batch form.
     """
-    timed = entries.withColumn("event_time", F.col("ts").try_cast("timestamp")).withWatermark("event_time", watermark)
-    day = F.window("event_time", "1 day")
-    g = timed.groupBy(*KEYS, day).agg(
+    g = entries.groupBy(*KEYS).agg(
         F.count("*").alias("total_entries"),
         F.max_by("ts", "seq").alias("last_updated"),
         F.count_if(F.col("agent").isin(*PER_STOCK)).alias("per_stock"),
@@ -47,7 +46,6 @@ def status_stream(entries: DataFrame, watermark: str = "2 days") -> DataFrame:
     )
     return g.select(
         *KEYS,
-        F.col("window.start").cast("date").alias("day"),
         (F.col("per_stock") > 0).alias("phase1_complete"),
         (F.col("decisions") > 0).alias("phase2_complete"),
         (F.col("risk_checks") > 0).alias("phase3_complete"),
@@ -69,6 +67,6 @@ def upsert_to(path: str) -> Callable[[DataFrame, int], None]:
 
 def latest_status(spark: SparkSession, path: str) -> DataFrame:
     """Newest version of every status row written by :func:`upsert_to`."""
-    w = Window.partitionBy(*KEYS, "day").orderBy(F.desc("batch"))
     rows = spark.read.parquet(path)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n", "batch")
+    cols = [c for c in rows.columns if c not in (*KEYS, "batch")]
+    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*KEYS, "r.*")

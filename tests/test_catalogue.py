@@ -7,11 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barloom.operators import modeling
+from barloom.plans import catalogue, evaluations
 from tests.conftest import TABLES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-# model fits are covered by test_modeling on the same tables
-FITS = {"d24_train_eval", "d26_walk_forward", "a21_importances"}
+QUERIES, ORACLE = catalogue(), {name: q.oracle() for name, q in catalogue().items() if q.sql is not None}
+# here the fits are run for their plumbing, with few rounds
+FEW = modeling.Boosting(rounds=2)
 
 
 def plain(v):
@@ -31,10 +33,10 @@ def duck(sf_dir):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(name, spark, duck, sf_dir):
-    if name in FITS:
-        pytest.skip("fitted in test_modeling")
-    df = QUERIES[name](spark, sf_dir)
+def test_query(name, spark, duck, sf_dir, monkeypatch):
+    monkeypatch.setattr(evaluations, "TRAIN", FEW)
+    monkeypatch.setattr(evaluations, "WALK", FEW)
+    df = QUERIES[name].run(spark, sf_dir)
     cols = sorted(df.columns)
     rows = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
     spark.catalog.clearCache()
@@ -50,4 +52,4 @@ def test_query(name, spark, duck, sf_dir):
 
 
 def test_every_twin_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

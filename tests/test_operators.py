@@ -51,7 +51,10 @@ def test_override_and_summary(spark):
     actions = risk.check_positions(spark.createDataFrame(POSITIONS, POSITION), 50_000.0, 50_000.0)
     w = spark.createDataFrame([("AAPL", 0.1), ("JPM", 0.2), ("V", 0.0)], "symbol string, weight double")
     assert [r["symbol"] for r in risk.override_weights(w, actions).collect()] == ["JPM"]
-    assert {(r["action"], r["n"]) for r in risk.risk_summary(actions).collect()} == {("FORCE_SELL_SL", 1), ("FORCE_SELL_TP", 1), ("HOLD", 1)}
+    text = [r["line"] for r in risk.risk_summary(actions).orderBy("part", F.col("symbol").asc_nulls_first()).collect()]
+    assert text[0] == "  [!] 2 RISK OVERRIDE(S):" and text[1].startswith("    [FORCE_SELL_SL] AAPL: ") and text[2].startswith("    [FORCE_SELL_TP] NVDA: ")
+    assert text[3] == "  [OK] 1 position(s) within risk bounds" and text[4].startswith("    JPM: Within bounds")
+    assert [r["line"] for r in risk.risk_summary(actions.where("false")).collect()] == ["  No positions to monitor."]
 
 
 def test_volatility_floor_and_default(spark):
@@ -404,7 +407,7 @@ def test_metrics_against_direct_formulas(spark):
     top = pdf.sort_values(["proba", "symbol"], ascending=[False, True]).groupby("date").head(5).groupby("date")["label"].agg(["mean", "size"])
     assert ev.precision_at_top(df).first()["p_at_k"] == pytest.approx(top[top["size"] >= 2]["mean"].mean())
     one = df.withColumn("label", F.lit(1)).withColumn("split", F.lit("x"))
-    r = ev.split_metrics(one).first()
+    r = ev.split_metrics(one, spark.createDataFrame([("s", 7)], "split string, n_train long")).first()
     assert (r["auc"], r["ic"], r["n_test"]) == (0.5, 0.0, n)
 
 
