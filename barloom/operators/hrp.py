@@ -20,6 +20,9 @@ MIN_FILLED_SHARE = 0.8
 MIN_RETURNS = 30
 # ----------------------------------------------------------------------------
 
+# one run date is clustered in one task; the screen keeps at most 80 names
+MAX_NAMES = 1_000
+
 
 def lookback_windows(bars: DataFrame, runs: DataFrame, rows: int = LOOKBACK_ROWS) -> DataFrame:
     """(run_date, symbol, date, close) of the last ``rows`` calendar rows before each run.
@@ -102,25 +105,34 @@ def risk_parity(returns: np.ndarray) -> np.ndarray:
     return out
 
 
-def hrp_weights(windows: DataFrame, lookback: int = LOOKBACK_ROWS) -> DataFrame:
+def hrp_weights(windows: DataFrame, lookback: int = LOOKBACK_ROWS, names: DataFrame | None = None) -> DataFrame:
     """(run_date, symbol, weight) from (run_date, symbol, date, close) lookback windows.
 
-    Names present on fewer than 80 % of the lookback rows get 0. With fewer than
-    two usable names or 30 common returns the weights are equal.
+    ``names`` (run_date, symbol) is the universe; one of its names without closes
+    counts like one with too few. Names present on fewer than 80 % of the lookback
+    rows get 0. With fewer than two usable names or 30 common returns the weights
+    of all names are equal. One run date is one task: a universe above MAX_NAMES
+    is refused.
     """
     floor = int(lookback * MIN_FILLED_SHARE)
+    if names is not None:
+        empty = names.select("run_date", "symbol", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("close"))
+        windows = windows.select("run_date", "symbol", "date", "close").unionByName(empty)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["symbol"].unique())
-        wide = pdf.pivot(index="date", columns="symbol", values="close").sort_index()
-        weights = pd.Series(1.0 / len(names), index=names)
-        usable = [s for s in names if wide[s].notna().sum() >= floor]
+        members = sorted(pdf["symbol"].unique())
+        if len(members) > MAX_NAMES:
+            raise ValueError(f"{len(members)} names on one run date; screen them to {MAX_NAMES} or fewer first")
+        known = pdf[pdf["close"].notna()]
+        wide = known.pivot(index="date", columns="symbol", values="close").sort_index()
+        weights = pd.Series(1.0 / len(members), index=members)
+        usable = [s for s in wide.columns if wide[s].notna().sum() >= floor]
         if len(usable) >= 2:
             held = wide[usable].ffill()
             ret = (held / held.shift(1) - 1).dropna().to_numpy()
             if len(ret) >= MIN_RETURNS and (w := risk_parity(ret)) is not None and np.isfinite(w).all():
                 weights[:] = 0.0
                 weights[usable] = w
-        return pd.DataFrame({"run_date": pdf["run_date"].iloc[0], "symbol": names, "weight": weights.to_numpy()})
+        return pd.DataFrame({"run_date": pdf["run_date"].iloc[0], "symbol": members, "weight": weights.to_numpy()})
 
     return windows.groupBy("run_date").applyInPandas(run, "run_date date, symbol string, weight double")

@@ -86,7 +86,7 @@ def daily_run(day: Inputs, asof: str) -> Day:
     blocks = pairs.block_count(names)
     found = keep(pairs.cointegrated_pairs(bars, blocks))
     signals = pairs.pair_signals(found, readers.trailing_bars(bars, asof, day.lookback_days // 2))
-    base = hrp.hrp_weights(hrp.lookback_windows(bars, bars.select(run).limit(1)))
+    base = hrp.hrp_weights(hrp.lookback_windows(bars, bars.select(run).limit(1)), names=names.select(run, "symbol"))
 
     capped = portfolio.apply_constraints(day.proposals.select(run, "symbol", "weight"), day.dims.join(names, "symbol", "left_semi"))
     weights = portfolio.merge_weights(

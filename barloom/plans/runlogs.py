@@ -271,9 +271,9 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "d43_parse_agent_response",
-    """SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN (conv_id % 21 - 10)/10.0::DOUBLE ELSE 0.0 END AS sentiment_score, 0.5::DOUBLE AS confidence, CASE WHEN turn % 4 < 3 THEN text ELSE '' END AS key_theme FROM conversations""",
+    """SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN (conv_id % 21 - 10)/10.0::DOUBLE ELSE 0.0 END AS sentiment_score, CASE WHEN turn % 4 < 3 THEN (conv_id % 11)/10.0::DOUBLE ELSE 0.5 END AS confidence, CASE WHEN turn % 4 < 3 THEN text ELSE '' END AS key_theme FROM conversations""",
     "",
-    "sentiment_score",
+    "sentiment_score confidence",
 )
 def _(t: Tables) -> DataFrame:
     return answers.parse_agent_response(t.responses(), "News-Sentiment")
@@ -285,3 +285,40 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return answers.parse_agent_response(t.responses(), "Fundamentals")
+
+
+_TOLD = "turn % 4 < 3"
+
+
+@query(
+    "d43_parse_technical",
+    f"""SELECT conv_id, turn, CASE WHEN {_TOLD} THEN ['up','down','sideways'][conv_id % 3 + 1] ELSE 'sideways' END AS direction,
+       CASE WHEN {_TOLD} THEN (conv_id % 11)/10.0::DOUBLE ELSE 0.5 END AS confidence, CASE WHEN {_TOLD} THEN coalesce(role, '') ELSE '' END AS reasoning FROM conversations""",
+    "",
+    "confidence",
+)
+def _(t: Tables) -> DataFrame:
+    return answers.parse_agent_response(t.responses(), "Technical-Forecaster")
+
+
+@query(
+    "d43_parse_risk_style",
+    f"""SELECT conv_id, turn, CASE WHEN {_TOLD} THEN ['aggressive','conservative','balanced'][conv_id % 3 + 1] ELSE 'balanced' END AS style,
+       CASE WHEN {_TOLD} THEN (conv_id % 11)/10.0::DOUBLE ELSE 0.5 END AS confidence, CASE WHEN {_TOLD} THEN coalesce(role, '') ELSE '' END AS reasoning FROM conversations""",
+    "",
+    "confidence",
+)
+def _(t: Tables) -> DataFrame:
+    return answers.parse_agent_response(t.responses(), "Risk-Style")
+
+
+@query(
+    "d43_parse_decision",
+    f"""SELECT conv_id, turn, CASE WHEN {_TOLD} THEN coalesce(role, '') ELSE '' END AS rationale, CASE WHEN {_TOLD} THEN (conv_id % 7)/10.0::DOUBLE END AS aapl, CASE WHEN {_TOLD} THEN 2 END AS n
+       FROM conversations""",
+    "",
+    "aapl",
+)
+def _(t: Tables) -> DataFrame:
+    parsed = answers.parse_agent_response(t.responses(), "Portfolio-Decision")
+    return parsed.select("conv_id", "turn", "rationale", F.col("weights")["AAPL"].try_cast("double").alias("aapl"), F.when(F.col("weights").isNotNull(), F.size("weights")).alias("n"))

@@ -34,9 +34,17 @@ def append_agent_log(entries: DataFrame, path: str) -> None:
     sanitise(entries).write.mode("append").partitionBy("run_date").json(path)
 
 
-def write_portfolio_state(positions: DataFrame, path: str, run_date: str) -> None:
-    """Overwrite the snapshot of one run date."""
-    positions.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_date={run_date}")
+def write_portfolio_state(positions: DataFrame, account: DataFrame, path: str, run_date: str) -> None:
+    """Overwrite the snapshot of one run date: the positions, and the account (equity, starting_equity, last_update)."""
+    root = path.rstrip("/")
+    positions.write.mode("overwrite").parquet(f"{root}/positions/run_date={run_date}")
+    account.select("equity", "starting_equity", "last_update").write.mode("overwrite").parquet(f"{root}/account/run_date={run_date}")
+
+
+def read_portfolio_snapshot(spark: SparkSession, path: str, run_date: str) -> tuple[DataFrame, DataFrame]:
+    """(positions, account) of one run date, as written by :func:`write_portfolio_state`."""
+    root = path.rstrip("/")
+    return tuple(spark.read.parquet(f"{root}/{part}/run_date={run_date}") for part in ("positions", "account"))
 
 
 def save_model(model: PipelineModel, quality: DataFrame, path: str) -> None:

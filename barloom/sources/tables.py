@@ -367,6 +367,12 @@ class Tables:
                 ((F.col("conv_id") % 21 - 10) / 10.0).alias("sentiment_score"),
                 F.col("text").alias("key_theme"),
                 F.concat(F.lit(""), F.col("conv_id") % 140).alias("health_score"),
+                F.get(F.array(F.lit("up"), F.lit("down"), F.lit("sideways")), (F.col("conv_id") % 3).cast("int")).alias("direction"),
+                ((F.col("conv_id") % 11) / 10.0).alias("confidence"),
+                F.col("role").alias("reasoning"),
+                F.get(F.array(F.lit("Aggressive"), F.lit("conservative"), F.lit("wild")), (F.col("conv_id") % 3).cast("int")).alias("style"),
+                F.create_map(F.lit("AAPL"), (F.col("conv_id") % 7) / 10.0, F.lit("MSFT"), F.lit(0.25)).alias("weights"),
+                F.col("role").alias("rationale"),
             )
         )
         raw = (

@@ -31,6 +31,8 @@ def test_append_log_and_sanitise(spark, tmp_path):
     df = spark.createDataFrame(rows, "run_date string, agent string, score double, v array<double>, m map<string,double>")
     for _ in range(2):
         sinks.append_agent_log(df, str(tmp_path / "log"))
+    nested = spark.createDataFrame([(1, ((float("nan"), [(float("inf"), 2.0)]), [float("-inf"), None]))], "i int, s struct<a:struct<x:double,l:array<struct<p:double,q:double>>>,v:array<double>>")
+    assert sinks.sanitise(nested).first().asDict(True) == {"i": 1, "s": {"a": {"x": None, "l": [{"p": None, "q": 2.0}]}, "v": [None, None]}}
     back = spark.read.schema("run_date string, agent string, score double, v array<double>, m map<string,double>").json(str(tmp_path / "log"))
     r = back.first()
     assert back.count() == 2 and r["score"] is None and list(r["v"]) == [1.0, None] and r["m"] == {"w": None}
@@ -42,9 +44,11 @@ def test_portfolio_state(spark, tmp_path):
     pos, account = readers.read_portfolio_state(spark, str(tmp_path / "state.json"))
     assert [tuple(r) for r in pos.collect()] == [("A", 10.0, 2.0, "2024-01-01")]
     assert (account.first()["equity"], account.first()["starting_equity"]) == (5.0, 100_000.0)
-    sinks.write_portfolio_state(pos, str(tmp_path / "snap"), "2024-01-02")
-    sinks.write_portfolio_state(pos, str(tmp_path / "snap"), "2024-01-02")
-    assert spark.read.parquet(str(tmp_path / "snap")).count() == 1
+    for _ in range(2):
+        sinks.write_portfolio_state(pos, account, str(tmp_path / "snap"), "2024-01-02")
+    again, money = sinks.read_portfolio_snapshot(spark, str(tmp_path / "snap"), "2024-01-02")
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in pos.collect()]
+    assert tuple(money.first()) == tuple(account.first())
 
 
 def test_fuzzy_columns(spark):

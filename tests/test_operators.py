@@ -463,3 +463,17 @@ def test_point_in_time_score_matches_counting(spark):
         sells = [x for x in seen if x[2] == "Sale"]
         share = len(buys) / (len(buys) + len(sells)) if buys or sells else 0.0
         assert r["insider_score"] == round(share * share * 0.6 + min(len({x[3] for x in buys}) / 5, 1) * 0.4, 3)
+
+
+def test_hrp_counts_names_without_closes(spark):
+    days = pd.bdate_range("2020-01-01", periods=260)
+    rng = np.random.default_rng(4)
+    rows = [(s, d.date(), float(p)) for s in ("A", "B", "C") for d, p in zip(days, 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 260))))]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    run = days[-1].date()
+    windows = hrp.lookback_windows(bars, spark.createDataFrame([(run,)], "run_date date"))
+    names = spark.createDataFrame([(run, s) for s in ("A", "B", "C", "GONE")], "run_date date, symbol string")
+    got = {r["symbol"]: r["weight"] for r in hrp.hrp_weights(windows, names=names).collect()}
+    assert got["GONE"] == 0.0 and sum(got.values()) == pytest.approx(1) and min(got[s] for s in "ABC") > 0
+    few = {r["symbol"]: r["weight"] for r in hrp.hrp_weights(windows.where("symbol = 'A'"), names=names).collect()}
+    assert few == dict.fromkeys(["A", "B", "C", "GONE"], 0.25)
