@@ -63,7 +63,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goals = stored(goals.select("source", "source_size", "target", whole.alias("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    edge = goals.select("source", "budget", F.lit(0).cast("long").alias("start"))
+    edge = goals.select("source", "budget")
     shift, inside = HASH_BITS, sizes.select("source", "size", "place")
     while True:
         shift -= LEVEL_BITS
@@ -73,7 +73,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         sums = sums.withColumn("upto", F.sum("size").over(running)).withColumnRenamed("source", "_source")
         # the first bucket that passes the budget; without one, everything is taken
         passed = (
-            edge.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("upto") > F.col("budget")))
+            edge.select("source", "budget").join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("upto") > F.col("budget")))
             .groupBy("source", "budget").agg(F.min_by(F.struct("bucket", "size", "lo", "hi", "upto"), "bucket").alias("b"))
             .select("source", (F.col("budget") - F.col("b.upto") + F.col("b.size")).alias("budget"), "b.bucket", "b.size", "b.lo", "b.hi")
         )

@@ -20,7 +20,9 @@ def by_sql(pdf):
     return con.sql(mixing.SQL).df()
 
 
-def test_mix_equals_sql_on_hard_rows(spark):
+@pytest.mark.parametrize("bits", [12, 4])
+def test_mix_equals_sql_on_hard_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(mixing, "LEVEL_BITS", bits)  # few bits a level: the budget's bucket is split several times
     docs = docs_frame(spark, ROWS)
     got = mixing.mix(docs).toPandas()
     pdf = docs.select("doc_id", "text", "source").toPandas()
