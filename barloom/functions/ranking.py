@@ -51,6 +51,21 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[
     )
 
 
+def with_median(counts: DataFrame, by: Sequence[str], value: str, n: str, out: str = "median") -> DataFrame:
+    """Add the median of ``value`` within ``by``, a row standing for ``n`` values; NULL values and n = 0 do not count.
+
+    The window sorts and spills, where an exact median aggregate keeps every
+    distinct value of a key in memory.
+    """
+    live = F.when(F.col(value).isNotNull(), F.col(n)).otherwise(0)
+    w = Window.partitionBy(*by)
+    upto = F.sum(live).over(w.orderBy(F.col(value).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0))
+    marked = counts.select("*", upto.alias("_upto"), F.sum(live).over(w).alias("_all"))
+    low = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col(value))).over(w)
+    high = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col(value))).over(w)
+    return marked.select("*", F.when(F.col("_all") > 0, (low + high) / 2).alias(out)).drop("_upto", "_all")
+
+
 def positional_split(df: DataFrame, train_share: float = 0.8, order: str = "date", tie: str = "symbol") -> DataFrame:
     """Add ``is_train``: exactly the first ``floor(share * n)`` rows by (order, tie).
 

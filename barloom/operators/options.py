@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip, py_round
-from barloom.sources.readers import nearest_expiries
+from barloom.functions.ranking import with_median
 
 # --- fixed values -----------------------------------------------------------
 MIN_OPEN_INTEREST = 10
@@ -23,33 +23,46 @@ def liquid(options: DataFrame) -> DataFrame:
     return options.where(is_liquid())
 
 
-def options_signal(options: DataFrame, decimals: bool = True) -> DataFrame:
-    """One row per (symbol, snapshot); neutral when calls or puts have no liquid contract.
+def iv_counts(options: DataFrame, n: int = 2) -> DataFrame:
+    """Liquid contracts of the ``n`` nearest expiries as (symbol, snapshot_date, side, iv, contracts, vol, oi).
 
-    Volumes, open interest and both medians come out of a single groupBy whose
-    partial phase already collapses a hot symbol on the map side.
+    Contracts collapse on the map side before expiries are ranked, so the table is
+    read once and a hot symbol sorts its distinct (expiry, side, iv) only. A zero
+    volatility counts as missing.
     """
-    near = nearest_expiries(options).select(
-        "symbol",
-        "snapshot_date",
-        (is_liquid() & (F.col("side") == "C")).alias("_call"),
-        (is_liquid() & (F.col("side") == "P")).alias("_put"),
-        "open_interest",
-        F.coalesce("volume", F.lit(0.0)).alias("_vol"),
-        F.nullif(F.col("iv"), F.lit(0.0)).alias("_iv"),
+    keys = ["symbol", "snapshot_date", "expiry", "side", "iv"]
+    liquid_ = is_liquid()
+    counts = options.select("*", F.nullif(F.col("iv"), F.lit(0.0)).alias("_iv")).drop("iv").withColumnRenamed("_iv", "iv").groupBy(*keys).agg(
+        F.count_if(liquid_).alias("contracts"),
+        F.sum(F.when(liquid_, F.coalesce("volume", F.lit(0.0)))).alias("vol"),
+        F.sum(F.when(liquid_, F.col("open_interest"))).alias("oi"),
     )
+    order = Window.partitionBy("symbol", "snapshot_date").orderBy("expiry")
+    return counts.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= n).drop("_rank", "expiry")
+
+
+def median_iv(options: DataFrame) -> DataFrame:
+    """(symbol, snapshot_date, side, iv): median volatility of all contracts, zeros left out."""
+    keys = ["symbol", "snapshot_date", "side"]
+    counts = options.groupBy(*keys, F.nullif(F.col("iv"), F.lit(0.0)).alias("_iv")).agg(F.count("*").alias("_n"))
+    return with_median(counts, keys, "_iv", "_n", "iv").groupBy(*keys).agg(F.first("iv").alias("iv"))
+
+
+def options_signal(options: DataFrame, decimals: bool = True) -> DataFrame:
+    """One row per (symbol, snapshot); neutral when calls or puts have no liquid contract."""
+    near = with_median(iv_counts(options), ["symbol", "snapshot_date", "side"], "iv", "contracts")
 
     def on(side: str, c: str) -> Column:
-        return F.when(F.col(side), F.col(c))
+        return F.when(F.col("side") == side, F.col(c))
 
     g = near.groupBy("symbol", "snapshot_date").agg(
-        F.count_if("_call").alias("n_call"),
-        F.count_if("_put").alias("n_put"),
-        F.coalesce(F.sum(on("_call", "_vol")), F.lit(0.0)).alias("call_vol"),
-        F.coalesce(F.sum(on("_put", "_vol")), F.lit(0.0)).alias("put_vol"),
-        F.sum(on("_call", "open_interest")).alias("call_oi"),
-        F.median(on("_call", "_iv")).alias("call_iv"),
-        F.median(on("_put", "_iv")).alias("put_iv"),
+        F.coalesce(F.sum(on("C", "contracts")), F.lit(0)).alias("n_call"),
+        F.coalesce(F.sum(on("P", "contracts")), F.lit(0)).alias("n_put"),
+        F.coalesce(F.sum(on("C", "vol")), F.lit(0.0)).alias("call_vol"),
+        F.coalesce(F.sum(on("P", "vol")), F.lit(0.0)).alias("put_vol"),
+        F.sum(on("C", "oi")).alias("call_oi"),
+        F.max(on("C", "median")).alias("call_iv"),
+        F.max(on("P", "median")).alias("put_iv"),
     )
     pc = F.coalesce(F.try_divide(F.col("put_vol"), F.col("call_vol")), F.lit(1.0))
     skew = F.coalesce(F.col("put_iv") - F.col("call_iv"), F.lit(0.0))

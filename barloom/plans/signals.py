@@ -222,7 +222,7 @@ def _(t: Tables) -> DataFrame:
     "iv",
 )
 def _(t: Tables) -> DataFrame:
-    return t.options().groupBy("symbol", "snapshot_date", "side").agg(F.median(F.nullif(F.col("iv"), F.lit(0.0))).alias("iv"))
+    return options.median_iv(t.options())
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import numeric as N
 from barloom.functions import series as S
 from barloom.functions.alignment import asof_backward, fill_on_calendar
-from barloom.functions.ranking import average_rank, positional_split
+from barloom.functions.ranking import average_rank, positional_split, with_median
 from barloom.functions.text import is_buy, is_sell, json_body
 
 QUIET = settings(max_examples=8, deadline=None, phases=(Phase.explicit, Phase.generate), suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -173,3 +173,20 @@ def test_positional_split_is_exact(spark, n):
     order = pdf.sort_values(["date", "symbol"]).reset_index(drop=True)
     train = set(order["symbol"][: int(np.floor(n * 0.8))])
     assert set(got.loc[got["is_train"], "symbol"]) == train and len(got) == n
+
+
+def test_median_from_counts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"k{i % 5}", float(v) if v < 9 else None, int(n)) for i, (v, n) in enumerate(zip(rng.integers(0, 10, 200), rng.integers(0, 6, 200)))] + [("none", None, 3), ("zero", 1.0, 0)]
+    counts = spark.createDataFrame(rows, "k string, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    got = {r["k"]: r["median"] for r in with_median(counts, ["k"], "v", "n").collect()}
+    for k in got:
+        values = [v for a, v, n in rows if a == k and v is not None for _ in range(n)]
+        assert got[k] == (np.median(values) if values else None)
+
+
+def test_rounding_of_large_values(spark):
+    values = [1e12 + 0.125, 1234567890123.4567, 9007199254740993.0, -7.5e14 - 0.5, 1e300, 2.0**53, 4503599627370495.5]
+    for d in range(5):
+        got = [r[0] for r in column(spark, values).orderBy("i").select(N.py_round("x", d)).collect()]
+        assert got == [round(x, d) for x in values]
