@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,11 @@ from pyspark.sql.functions import pandas_udf
 from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"  # how the vocabulary writes a space
-CACHED = 150_000  # segments that a worker remembers, twice
+CACHED = 400_000  # segments that a worker remembers, twice
+JOINED = 100  # segments that are checked as one text
 CHUNK = 1 << 20  # characters encoded at a time
+SHORT = 48  # symbols up to which a list is the faster agenda
+NEVER = float("inf")  # score of a pair that is no piece
 
 
 class Mismatch(ValueError):
@@ -41,16 +46,40 @@ class MergeVocabulary:
         self.scores = {p.piece: -p.score for p in model.pieces if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = self.library.eos_id()
+        self.names = [str(i) for i in range(len(model.pieces))]
         # no merge crosses a place before a space, nor one beside a character that no longer piece holds
         self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids if len(p) > 1))
         self.alone = alone
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")) if self.cuts_at_spaces else re.compile(".+", re.S)
-        self.fresh: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self.fresh: dict[str, bytes] = {}  # ids of segments, packed
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Symbols after all merges: the best-scored adjacent pair first, the leftmost of equals."""
+        return self.merged_short(text) if len(text) <= SHORT else self.merged_long(text)
+
+    def merged_short(self, text: str) -> list[str]:
+        """Few symbols: the agenda is the list of the pairs' scores by place, searched for its least."""
+        score = self.scores.get
+        symbols = list(text)
+        agenda = [score(a + b, NEVER) for a, b in zip(symbols, text[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            whole = symbols[i] + symbols[i + 1]
+            symbols[i] = whole
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(whole + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + whole, NEVER)
+        return symbols
+
+    def merged_long(self, text: str) -> list[str]:
+        """Many symbols: the agenda is a heap, and pairs that a merge has broken up are passed over."""
         scores = self.scores
         symbols: list[str] = list(text)
         last = len(symbols) - 1
@@ -81,40 +110,46 @@ class MergeVocabulary:
                     heapq.heappush(agenda, (score, h, i, len(symbols[h]) + len(whole)))
         return [s for s in symbols if s]
 
-    def agenda_ids(self, text: str) -> tuple[int, ...]:
+    def agenda_ids(self, text: str) -> list[int]:
         """Ids of an escaped text, byte by byte where a symbol is not in the vocabulary."""
-        out: list[int] = []
-        for s in self.merged(text):
-            known = self.ids.get(s)
-            if known is not None:
-                out.append(known)
-            else:
-                out += [self.bytes[b] for b in s.encode()]
-        return tuple(out)
+        symbols = self.merged(text)
+        out = list(map(self.ids.get, symbols))
+        if None in out:
+            out = list(chain.from_iterable((i,) if i is not None else [self.bytes[b] for b in s.encode()] for i, s in zip(out, symbols)))
+        return out
 
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, segments: set[str]) -> None:
         """Encode segments by the agenda, check them all against the library, and remember them."""
-        new = [s for s in segments if s not in self.fresh]
-        kept = {s: self.older[s] for s in new if s in self.older}
-        todo = [s for s in new if s not in kept]
-        found = {s: self.agenda_ids(s) for s in todo}
-        # the library puts a space before a text that is not empty; what has none is checked behind a line break, a lone space before one
-        asked = [s[1:] or "\n" if s[0] == SPACE else "\n" + s for s in todo]
-        lead = self.library.encode("\n")
-        for s, ids in zip(todo, self.library.encode(asked, num_threads=1)):
-            want = lead[:1] if s == SPACE else ids if s[0] == SPACE else ids[len(lead) :]
-            if list(found[s]) != want:
-                raise Mismatch(f"{s!r}: agenda {found[s]}, library {want}")
-        if len(self.fresh) + len(new) > CACHED:
+        kept = {s: self.older[s] for s in segments if s in self.older}
+        found = {s: self.agenda_ids(s) for s in segments if s not in kept}
+        self.check(found)
+        if len(self.fresh) + len(segments) > CACHED:
             self.older, self.fresh = self.fresh, {}
         self.fresh.update(kept)
-        self.fresh.update((s, (len(i), " ".join(map(str, i)), i)) for s, i in found.items())
-
-    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[list[tuple[int, str, tuple[int, ...]]], str]]:
-        """For every text the encoded segments, in chunks of texts so that few segments are held at once."""
+        self.fresh.update((s, array("I", ids).tobytes()) for s, ids in found.items())
+
+    def check(self, found: dict[str, list[int]]) -> None:
+        """Hold the ids of segments against what the library gives for texts made of many segments each."""
+        lead = self.library.encode("\n")  # the space before every text, and the line break
+        asked: list[tuple[str, list[int]]] = []
+        joined: list[tuple[str, list[int]]] = []
+        for s, ids in found.items():
+            if s.strip(SPACE) == "":  # would merge with the next one's space
+                asked.append(("\n" + s.replace(SPACE, " "), lead + ids))
+            else:
+                joined.append((s.replace(SPACE, " "), ids) if s[0] == SPACE else ("\n" + s, lead[1:] + ids))
+        for i in range(0, len(joined), JOINED):
+            part = joined[i : i + JOINED]
+            asked.append(("\n" + "".join(t for t, _ in part), lead + list(chain.from_iterable(i for _, i in part))))
+        for (text, ids), want in zip(asked, self.library.encode([t for t, _ in asked], num_threads=1)):
+            if ids != want:
+                raise Mismatch(f"{text!r}: agenda {ids}, library {want}")
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of every text, without the end id; texts go in chunks, so that few segments are held at once."""
         chunk, size = [], 0
         for text in texts:
             chunk.append(text)
@@ -124,18 +159,23 @@ class MergeVocabulary:
                 chunk, size = [], 0
         yield from self.encode_chunk(chunk)
 
-    def encode_chunk(self, texts: list[str]) -> Iterator[tuple[list[tuple[int, str, tuple[int, ...]]], str]]:
+    def encode_chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         parts = [self.segments(t) for t in texts]
-        wanted = set(chain.from_iterable(parts))
-        self.learn(wanted)
-        known = self.fresh if len(self.fresh) >= len(wanted) and all(s in self.fresh for s in wanted) else {**self.older, **self.fresh}
-        for part, text in zip(parts, texts):
-            yield list(map(known.__getitem__, part)), text
+        flat = list(chain.from_iterable(parts))
+        packed = list(map(self.fresh.get, flat))
+        missing = {s for s, p in zip(flat, packed) if p is None}
+        if missing:
+            self.learn(missing)
+            packed = [self.fresh[s] if p is None else p for s, p in zip(flat, packed)]
+        at = 0
+        for part in parts:
+            yield np.frombuffer(b"".join(packed[at : at + len(part)]), np.uint32)
+            at += len(part)
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, with the end id."""
-        (found, _), = self.encode_chunk([text])
-        return [*chain.from_iterable(f[2] for f in found), self.end]
+        (ids,) = self.encode_chunk([text])
+        return [*ids.tolist(), self.end]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, by the library."""
@@ -154,7 +194,7 @@ def encoded(text: Column, model_file: str) -> Column:
     @pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         v = vocabulary(model_file)
-        return pd.Series([[*chain.from_iterable(f[2] for f in found), v.end] for found, _ in v.encode_all(t or "" for t in texts)])
+        return pd.Series([[*ids.tolist(), v.end] for ids in v.encode_all(t or "" for t in texts)])
 
     return ids(text)
 
@@ -183,11 +223,10 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
     def digest(texts: pd.Series) -> pd.DataFrame:
         v = vocabulary(model_file)
         out = []
-        for found, _ in v.encode_all(t or "" for t in texts):
-            names = " ".join(f[1] for f in found)
-            end = f" {v.end}" if found else str(v.end)
-            text = v.decode([*chain.from_iterable(f[2] for f in found), v.end])
-            out.append((sum(f[0] for f in found) + 1, hashlib.sha256((names + end).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        for packed in v.encode_all(t or "" for t in texts):
+            ids = [*packed.tolist(), v.end]
+            names = " ".join(map(v.names.__getitem__, ids))
+            out.append((len(ids), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(v.decode(ids).encode()).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digest(F.col("text")).alias("_d")).select("doc_id", "_d.*")

@@ -37,13 +37,17 @@ def test_agenda_on_whole_texts_equals_segments_and_library(ours, library):
     for _ in range(300):
         text = "".join(rng.choice("  \n▁abcdetheinon.,éß日🙂") for _ in range(rng.randint(1, 80)))
         whole = ours.agenda_ids(pieces.SPACE + text.replace(" ", pieces.SPACE))
-        assert list(whole) == library.encode(text) == ours.encode(text)[:-1]
+        assert whole == library.encode(text) == ours.encode(text)[:-1]
+        escaped = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        assert ours.merged_short(escaped) == ours.merged_long(escaped)
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "CACHED", 20)
+    monkeypatch.setattr(pieces, "CHUNK", 50)
     small = pieces.MergeVocabulary(MODEL)
     texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(30)]
+    assert [i.tolist() for i in small.encode_all(texts)] == library.encode(texts)
     assert [small.encode(t)[:-1] for t in texts] == library.encode(texts)
     assert len(small.fresh) + len(small.older) <= 120
 
