@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from barloom.llm.common import WORD
+from barloom.llm.common import WORD, stored
 
 MIN_WORDS = 5  # a common block of fewer words is left alone
 BLANK = " \t\r\v\f"
@@ -91,7 +91,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.transform(line_array(F.col("text")), lambda x: F.trim(x, F.lit(BLANK)))).alias("at", "line"))
     marks = lines.select("doc", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    first = (
+    # written out, so that both sides of the join are plain shuffles and the rows of a hot line can be split
+    first = stored(
         marks.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
         .where("first.doc < last").select("h", "g", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"))
     )
