@@ -2,8 +2,8 @@
 
 All pairs of a universe are needed, but never as rows of a join: symbols are
 hashed into blocks, each pair of blocks becomes one task that holds two blocks of
-calendar-sized series, and pairs are formed inside it with NumPy. A series is
-shuffled once per block instead of once per partner.
+calendar-sized series, and pairs are formed inside it with NumPy. A series is one
+row of arrays, and is shuffled once per block instead of once per partner.
 """
 
 from __future__ import annotations
@@ -54,25 +54,25 @@ def block_count(universe: DataFrame, block: int = BLOCK_SYMBOLS) -> int:
 
 
 def _by_block_pair(values: DataFrame, value: str, blocks: int) -> DataFrame:
+    """(symbol, days, xs, blk, lo, hi): a series is packed into one row before it is copied to its block pairs."""
     b = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(b, j).alias("lo"), F.greatest(b, j).alias("hi")))
-    return values.select("symbol", "date", F.col(value).cast("double").alias("x"), b.alias("blk"), F.explode(pairs).alias("bp")).select(
-        "symbol", "date", "x", "blk", "bp.lo", "bp.hi"
+    point = F.struct(F.unix_date("date").alias("day"), F.col(value).cast("double").alias("x"))
+    packed = values.where(F.col(value).isNotNull()).groupBy("symbol").agg(F.array_sort(F.collect_list(point)).alias("s"))  # calendar-sized
+    return packed.select("symbol", F.col("s.day").alias("days"), F.col("s.x").alias("xs"), b.alias("blk"), F.explode(pairs).alias("bp")).select(
+        "symbol", "days", "xs", "blk", "bp.lo", "bp.hi"
     )
 
 
 def _pairs_in(pdf: pd.DataFrame) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
     """Every pair this block pair is responsible for, on the dates both have."""
-    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    wide = pdf.pivot(index="date", columns="symbol", values="x").sort_index()
-    home = pdf.drop_duplicates("symbol").set_index("symbol")["blk"].to_dict()
-    names, grid = sorted(wide.columns), {s: wide[s].to_numpy() for s in wide.columns}
-    for i, s in enumerate(names):
-        for t in names[i + 1 :]:
-            if {home[s], home[t]} != {lo, hi}:
-                continue
-            both = ~(np.isnan(grid[s]) | np.isnan(grid[t]))
-            yield s, t, grid[s][both], grid[t][both]
+    both = {int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])}
+    series_ = sorted(zip(pdf["symbol"], pdf["blk"], map(np.asarray, pdf["days"]), map(np.asarray, pdf["xs"])), key=lambda r: r[0])
+    for i, (s, home, days, x) in enumerate(series_):
+        for t, other, days2, y in series_[i + 1 :]:
+            if {home, other} == both:
+                _, at, at2 = np.intersect1d(days, days2, assume_unique=True, return_indices=True)
+                yield s, t, x[at], y[at2]
 
 
 def pair_moments(values: DataFrame, value: str, blocks: int) -> DataFrame:
