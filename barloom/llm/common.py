@@ -41,6 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` hinted for a broadcast if its counted rows are at most ``most``; otherwise as it is, for a shuffled join.
+
+    Without the hint a join with a handful of rows may shuffle the large side
+    before Spark learns how small the other is.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fold(key: str, folds: int) -> Column:
     """Fold of a row: crc32 of the id as text."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, numbered, stored
+from barloom.llm.common import WORD, numbered, small_side, stored
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -98,8 +98,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     texts have size 0; rows with one doc_id are taken together. Reruns agree.
     """
     sizes = stored(sized(docs))
-    bounds = thresholds(sizes, targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
-    return sizes.join(bounds, F.col("source").eqNullSafe(F.col("_source"))).select(
+    bounds = stored(thresholds(sizes, targets(sizes, weights, share, most)).withColumnRenamed("source", "_source"))
+    return sizes.join(small_side(bounds), F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"),
     )
 
@@ -109,13 +109,13 @@ def copies() -> Column:
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its columns. Texts are not shuffled."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns. Texts are not shuffled while the sources fit a broadcast."""
     sizes = stored(sized(docs))
-    bounds = thresholds(sizes, targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), "whole", "below")
+    bounds = stored(thresholds(sizes, targets(sizes, weights, share, most)).select(F.col("source").alias("_source"), "whole", "below"))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     wide = docs.toDF(*names)
     source, doc_id = names[docs.columns.index("source")], names[docs.columns.index("doc_id")]
-    held = wide.withColumn("place", place(F.col(doc_id))).join(bounds, F.col(source).cast("string").eqNullSafe(F.col("_source")))
+    held = wide.withColumn("place", place(F.col(doc_id))).join(small_side(bounds), F.col(source).cast("string").eqNullSafe(F.col("_source")))
     return held.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select(*names).toDF(*docs.columns)
 
 
