@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from barloom.llm.common import small_side, stored
 from barloom.llm.features import PLAIN
 
 DIMS_BITS = 13
@@ -87,8 +88,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE)
     """Learn from ``docs`` (doc_id, text, lang) where ``learn`` holds, lang is not null and the text has a letter; None without such rows.
 
     Document frequencies count all these rows. Each language is clustered in a task
-    of its own from at most ``per_language`` rows, picked by a hash of doc_id and
-    limited on the map side. The driver gets the centroids, a few per language.
+    of its own from at most ``per_language`` rows, picked by a hash of doc_id: only
+    about twice as many are shuffled, whatever the size of the language. The driver gets the centroids, a few per language.
     """
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(learn & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     known = known.select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
@@ -120,8 +121,12 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE)
         least = float(np.quantile(cosine, 0.001)) / 4
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.tolist() for c in centres], "least": least})
 
-    picked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("_rank", F.row_number().over(picked)).where(F.col("_rank") <= per_language).drop("_rank")
+    # a share of each language that holds about twice the wanted rows goes on, so a large language costs its task no more
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    sizes = docs.where(learn & F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("_n"))
+    near = known.join(small_side(stored(sizes)), "lang").where(place < F.lit(2.0 * per_language * (1 << 40)) / F.col("_n"))
+    picked = Window.partitionBy("lang").orderBy(place, "doc_id")
+    sample = near.withColumn("_rank", F.row_number().over(picked)).where(F.col("_rank") <= per_language).drop("_rank", "_n")
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, least double").toPandas()
     if not len(found):
         return None
