@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"  # how the vocabulary writes a space
-CACHED = 400_000  # segments that a worker remembers, twice
+CACHED = 200_000  # segments that a worker remembers, twice
 JOINED = 100  # segments that are checked as one text
 CHUNK = 1 << 20  # characters encoded at a time
 SHORT = 48  # symbols up to which a list is the faster agenda
