@@ -2,20 +2,20 @@
 
 Of all documents that hold a line, the one with the smallest doc_id introduces
 it. A later document is aligned with every document that introduced some of its
-lines, on those lines. So a line that a third of all documents hold gives one
-row per occurrence, never a pair per two documents, and nothing is capped: any
-line a document shares with an earlier one is looked at in the alignment with
-the document that had it first.
+lines, on every place of all lines that the two share. So a line that a third of
+all documents hold gives one row per occurrence, never a pair per two documents,
+and nothing is capped.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from barloom.llm.common import WORD, stored
 
@@ -38,42 +38,98 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Aligned (own, other) positions: lines that are unique in both first, the gaps between them again."""
-    out, todo = [], [pairs]
-    while todo:
-        part = todo.pop()
-        times: dict[int, int] = {}
-        for _, y in part:
-            times[y] = times.get(y, 0) + 1
-        anchors = rising([p for p in part if times[p[1]] == 1])
-        if not anchors:
-            out += rising(part)
+def common(own: list, other: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by rows of bits: repeated lines cost no pairs."""
+    at: dict = {}
+    for j, y in enumerate(other):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(other)) - 1
+    v, rows = full, []
+    for x in own:
+        u = v & at.get(x, 0)
+        v = (v + u | v - u) & full
+        rows.append(v)
+    out, i, j = [], len(own), len(other)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
             continue
-        out += anchors
-        if len(anchors) == len(part):
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def alignment(own: list, other: list) -> list[tuple[int, int]]:
+    """Aligned places of two lists of lines: equal ends, then lines that are unique in both, the gaps between them again."""
+    out, todo = [], [(0, len(own), 0, len(other))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and own[a] == other[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and own[b - 1] == other[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
             continue
-        edges = [(-1, -1), *anchors, (float("inf"), float("inf"))]
-        k, gaps = 0, [[] for _ in anchors] + [[]]
-        for p in part:
-            while p[0] > edges[k + 1][0]:
-                k += 1
-            if edges[k][0] < p[0] < edges[k + 1][0] and edges[k][1] < p[1] < edges[k + 1][1]:
-                gaps[k].append(p)
-        todo += [g for g in gaps if g]
+        mine, theirs = Counter(own[a:b]), Counter(other[c:d])
+        place = {other[j]: j for j in range(c, d) if theirs[other[j]] == 1}
+        anchors = rising([(i, place[own[i]]) for i in range(a, b) if mine[own[i]] == 1 and own[i] in place])
+        if anchors:
+            out += anchors
+            for (i, k), (j, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
+                todo.append((i + 1, j, k + 1, m))
+        elif mine.keys() & theirs.keys():
+            out += [(a + i, c + j) for i, j in common(own[a:b], other[c:d])]
     return sorted(out)
 
 
-def blocks(pairs: list[tuple[int, int]], words: dict[int, int], min_words: int) -> list[int]:
-    """Own positions of the aligned blocks, unbroken in both documents, that hold ``min_words`` words or more."""
-    out, run = [], []
-    for p in [*patience(pairs), (-9, -9)]:
+def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The alignment of own places that have one partner each, given as (own, other)."""
+    theirs = sorted({y for _, y in pairs})
+    return [(pairs[i][0], theirs[j]) for i, j in alignment([y for _, y in pairs], theirs)]
+
+
+def windows(words: list[int], least: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs from each place on, and up to each place, that hold ``least`` words; they cover every longer run."""
+    out, a, n = set(), 0, 0
+    for b, w in enumerate(words, 1):
+        n += w
+        while n - words[a] >= least and a + 1 < b:
+            if n - words[b - 1] < least:
+                out.add((a, b))
+            n, a = n - words[a], a + 1
+        if n >= least:
+            out.add((a, b))
+    return out
+
+
+def blocks(own: list, other: list, words: list[int], min_words: int) -> list[int]:
+    """Own places of the common blocks, unbroken in both documents, that hold ``min_words`` words or more.
+
+    The alignment gives them but for passages that stand in another order or more
+    often than in the other document, or that it splits; these are found by their runs.
+    """
+    out, run = set(), []
+    for p in [*alignment(own, other), (-9, -9)]:
         if run and p != (run[-1][0] + 1, run[-1][1] + 1):
             if sum(words[x] for x, _ in run) >= min_words:
-                out += [x for x, _ in run]
+                out.update(x for x, _ in run)
             run = []
         run.append(p)
-    return out
+    theirs = set(other)
+    left = [i not in out and x in theirs for i, x in enumerate(own)]
+    if any(left):
+        runs: dict[int, set] = {}
+        for a, b in windows(words, min_words):
+            if any(left[a:b]):
+                if b - a not in runs:
+                    runs[b - a] = set(zip(*(other[i:] for i in range(b - a))))
+                if tuple(own[a:b]) in runs[b - a]:
+                    out.update(range(a, b))
+    return sorted(out)
 
 
 def line_array(text: Column) -> Column:
@@ -89,29 +145,25 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     either of them shares with an earlier document. Rows without doc_id or text
     take no part.
     """
-    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.transform(line_array(F.col("text")), lambda x: F.trim(x, F.lit(BLANK)))).alias("at", "line"))
-    marks = lines.select("doc", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    # written out, so that both sides of the join are plain shuffles and the rows of a hot line can be split
-    first = stored(
-        marks.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
-        .where("first.doc < last").select("h", "g", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at"))
+    units = F.transform(line_array(F.col("text")), lambda x: F.trim(x, F.lit(BLANK)))
+    # written out, so that the sides of the joins are plain shuffles and the rows of a hot line or document can be split
+    held = stored(
+        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), units.alias("u"))
+        .select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("ids"), F.transform("u", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
+        .where(F.size("ids") > 0)
     )
-    counted = lines.select("doc", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.regexp_count("line", F.lit(WORD)).alias("words"))
-    shared = counted.join(first, ["h", "g"]).where("doc > other")
-    held = shared.groupBy("doc").agg(F.collect_list(F.struct("other", "at", "other_at", "words")).alias("s"))  # at most the lines of a document
-
-    @pandas_udf("array<int>")
-    def aligned(other: pd.Series, at: pd.Series, other_at: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for o, a, b, w in zip(other, at, other_at, words):
-            size, pairs = dict(zip(a.tolist(), w.tolist())), {}
-            for x, y, z in zip(o.tolist(), a.tolist(), b.tolist()):
-                pairs.setdefault(x, set()).add((y, z))
-            out.append(sorted({p for found in pairs.values() for p in blocks(sorted(found), size, min_words)}))
-        return pd.Series(out)
-
-    found = held.select("doc", aligned("s.other", "s.at", "s.other_at", "s.words").alias("removed"))
-    return found.where(F.size("removed") > 0).select(F.col("doc").alias("doc_id"), "removed")
+    keys = held.select("doc", F.explode(F.array_distinct("ids")).alias("key"))
+    first = stored(keys.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).where("other < last").select("key", "other"))
+    pairs = stored(keys.join(first, "key").where("doc > other").select("doc", "other").distinct())
+    both = pairs.join(held, "doc").join(held.select(F.col("doc").alias("other"), F.col("ids").alias("other_ids")), "other")
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            gone = [blocks(own.tolist(), other.tolist(), words, min_words) for own, other, words in zip(b["ids"], b["other_ids"], b["words"])]
+            yield pd.DataFrame({"doc": b["doc"], "gone": gone})
+
+    found = both.select("doc", "ids", "words", "other_ids").mapInPandas(aligned, "doc long, gone array<int>").where(F.size("gone") > 0)
+    return found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed")).withColumnRenamed("doc", "doc_id")
 
 
 def kept_text(text: Column, removed: Column) -> Column:

@@ -1,0 +1,64 @@
+"""Line dedup against brute force that knows every place of a line."""
+
+import random
+
+from barloom.llm import lines
+from tests.llm.helpers import docs_frame
+
+
+def kept(spark, docs):
+    return {r["doc_id"]: r["text"] for r in lines.deduplicated(docs_frame(spark, list(docs.items()))).collect()}
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_is_a_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 20))] for _ in range(2))
+        got = lines.common(a, b)
+        assert len(got) == longest_common(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        whole = lines.alignment(a, b)
+        assert all(a[i] == b[j] for i, j in whole) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(whole, whole[1:]))
+        assert len(lines.alignment(a, a)) == len(a)
+
+
+def test_copy_of_repeated_lines_goes_whole(spark):
+    song = "\n".join(["a chorus that comes back often", "first verse with several words here", "a chorus that comes back often", "x", "second verse with several words here", "a chorus that comes back often", "x"])
+    framed = "its own title of the song\n" + song + "\nits own end of the song"
+    got = kept(spark, {1: song, 2: song, 3: framed})
+    assert got == {1: song, 2: "", 3: "its own title of the song\nits own end of the song"}
+
+
+def test_many_equal_lines_cost_no_pairs():
+    own, other = ["own", *["same"] * 6000, "tail"], [*["same"] * 5000, "other"]
+    assert lines.blocks(own, other, [1] * len(own), 5) == list(range(1, 6001))
+
+
+def common_runs(own, other, words, least):
+    """Places of ``own`` in a run that is unbroken in ``other`` and holds ``least`` words, by all pairs of places."""
+    out = set()
+    for i in range(len(own)):
+        for j in range(len(other)):
+            n = 0
+            while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                n += 1
+            if sum(words[i : i + n]) >= least:
+                out.update(range(i, i + n))
+    return sorted(out)
+
+
+def test_blocks_are_all_common_runs():
+    rng = random.Random(1)
+    for _ in range(1000):
+        kinds = rng.choice([2, 5, 12])
+        own, other = ([rng.randint(0, kinds) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        words = [1 + x % 6 for x in own]
+        assert lines.blocks(own, other, words, 5) == common_runs(own, other, words, 5)
