@@ -1,10 +1,12 @@
-"""Line dedup by pairwise alignment: shared lines find the pairs, patience diff aligns them, the later document loses common blocks.
-
-Of all documents that hold a line, the one with the smallest doc_id introduces
-it. A later document is aligned with every document that introduced some of its
-lines, on every place of all lines that the two share. So a line that a third of
-all documents hold gives one row per occurrence, never a pair per two documents,
-and nothing is capped.
+"""Line dedup by pairwise alignment: shared runs find the pairs, patience diff aligns them, the later document loses common blocks.
+
+A run is the least number of neighbouring lines that holds MIN_WORDS words; of
+all documents that hold a run, the one with the smallest doc_id introduces it. A
+later document is aligned with every document that introduced one of its runs, on
+all places of all lines. Each block that it shares with any earlier document is
+covered by such runs, so nothing is lost by leaving the other pairs out: a run
+that a third of all documents hold gives one row per occurrence, never a pair per
+two documents, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +156,18 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("ids"), F.transform("u", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
         .where(F.size("ids") > 0)
     )
-    keys = held.select("doc", F.explode(F.array_distinct("ids")).alias("key"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            docs_of, keys_of = [], []
+            for doc, ids, words in zip(b["doc"], b["ids"], b["words"]):
+                ids = np.asarray(ids, np.int64)
+                found = {xxhash.xxh64_intdigest(ids[x:y].tobytes()) for x, y in windows(words.tolist(), min_words)}
+                keys_of += found
+                docs_of += [doc] * len(found)
+            yield pd.DataFrame({"doc": np.array(docs_of, np.int64), "key": np.array(keys_of, np.uint64).view(np.int64)})
+
+    keys = held.mapInPandas(runs, "doc long, key long")
     first = stored(keys.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).where("other < last").select("key", "other"))
     pairs = stored(keys.join(first, "key").where("doc > other").select("doc", "other").distinct())
     both = pairs.join(held, "doc").join(held.select(F.col("doc").alias("other"), F.col("ids").alias("other_ids")), "other")

@@ -62,3 +62,46 @@ def test_blocks_are_all_common_runs():
         own, other = ([rng.randint(0, kinds) for _ in range(rng.randint(0, 25))] for _ in range(2))
         words = [1 + x % 6 for x in own]
         assert lines.blocks(own, other, words, 5) == common_runs(own, other, words, 5)
+
+
+def plain_gone(docs, min_words=lines.MIN_WORDS):
+    """Every document against all earlier ones."""
+    split = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in docs.items()}
+    out = {}
+    for d, own in split.items():
+        words = [len(x.split()) for x in own]
+        gone = {i for e in split if e < d for i in common_runs(own, split[e], words, min_words)}
+        if gone:
+            out[d] = sorted(gone)
+    return out
+
+
+def test_blocks_of_any_earlier_document_go(spark):
+    common = [f"c{i}" for i in range(6)]
+    verse = [x for i in range(6) for x in (f"v{i}", f"c{i}")]
+    one = ["a line of the first document", "another line of the first document", "a third line of the first document"]
+    turned = [one[2], one[0], one[1]]
+    docs = {1: common, 2: verse, 3: ["own head"] + verse + ["own tail"], 4: one, 5: turned, 6: turned}
+    docs = {d: "\n".join(x) for d, x in docs.items()}
+    got = kept(spark, docs)
+    assert got[2] == docs[2] and got[3] == "own head\nown tail"
+    assert got[4] == docs[4] and got[5] == got[6] == ""
+
+
+def test_documents_match_all_pairs(spark):
+    rng = random.Random(8)
+    pool = [f"line number {i} of the pool" for i in range(15)] + [f"w{i}" for i in range(6)] + ["two words", "now three words", ""]
+    docs = {}
+    for i in range(150):
+        own = [rng.choice(pool) if rng.random() < 0.5 else f"own {i} {j}" for j in range(rng.randint(0, 20))]
+        old = docs[rng.choice(list(docs))].split("\n") if docs else []
+        at = rng.randint(0, len(old))
+        docs[i] = "\n".join(own + old[at : at + rng.randint(0, 12)] + [f"end {i}"])
+    got = {r["doc_id"]: list(r["removed"]) for r in lines.removals(docs_frame(spark, list(docs.items()))).collect()}
+    assert got == plain_gone(docs) and len(got) > 100
+
+
+def test_whole_table_matches_all_pairs(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: list(r["removed"]) for r in lines.removals(df).collect()}
+    assert got == plain_gone({r["doc_id"]: r["text"] or "" for r in df.collect()})
