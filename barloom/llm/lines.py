@@ -1,6 +1,7 @@
 """Line dedup by pairwise alignment: shared runs find the pairs, patience diff aligns them, the later document loses common blocks.
 
-A run is the least number of neighbouring lines that holds MIN_WORDS words; of
+Lines are cut further into sentences, so that a passage inside a line goes too;
+these are the lines meant below. A run is the least number of neighbouring lines that holds MIN_WORDS words; of
 all documents that hold a run, the one with the smallest doc_id introduces it. A
 later document is aligned with every document that introduced one of its runs, on
 all places of all lines. Each block that it shares with any earlier document is
@@ -25,6 +26,7 @@ from barloom.llm.common import WORD, stored
 
 MIN_WORDS = 5  # a common block of fewer words is left alone
 BLANK = " \t\r\v\f"
+SENTENCE = r"(?<=[.!?\u2026][\"')\]\u201d\u2019]?)(?=[ \t]+\S)|(?<=[\u3002\uff01\uff1f])(?=\S)"  # where a line is cut into sentences
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -141,15 +143,20 @@ def line_array(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")
 
 
+def unit_array(text: Column) -> Column:
+    """array<struct(line, part, raw)>: the sentences of the non-blank lines of a text, the space before each included."""
+    return F.flatten(F.transform(line_array(text), lambda x, i: F.transform(F.split(x, SENTENCE), lambda s, j: F.struct(i.alias("line"), j.alias("part"), s.alias("raw")))))
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): places among the non-blank lines of ``docs`` (doc_id, text) that an alignment deletes.
+    """(doc_id, removed): places among the sentences of the non-blank lines of ``docs`` (doc_id, text) that an alignment deletes.
 
-    One row per doc_id that loses a line. Lines are compared without the white
-    space around them. Rows with one doc_id are one document: they lose what
+    One row per doc_id that loses a sentence. Sentences are compared without the
+    white space around them. Rows with one doc_id are one document: they lose what
     either of them shares with an earlier document. Rows without doc_id or text
     take no part.
     """
-    units = F.transform(line_array(F.col("text")), lambda x: F.trim(x, F.lit(BLANK)))
+    units = F.transform(unit_array(F.col("text")), lambda x: F.trim(x["raw"], F.lit(BLANK)))
     # written out, so that the sides of the joins are plain shuffles and the rows of a hot line or document can be split
     held = stored(
         docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), units.alias("u"))
@@ -182,13 +189,21 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def kept_text(text: Column, removed: Column) -> Column:
-    """The text without the removed lines; a text that loses none is untouched, one that loses some loses its blank lines too."""
+    """The text without the removed sentences; a text that loses none is untouched, one that loses some loses its blank lines too."""
     gone = F.map_from_arrays(removed, removed)
-    left = F.transform(F.array(F.struct(line_array(text).alias("lines"), gone.alias("gone"))), lambda s: F.array_join(F.filter(s["lines"], lambda x, i: ~F.map_contains_key(s["gone"], i)), "\n"))[0]
-    return F.when(removed.isNull(), text).otherwise(left)
+    left = F.transform(F.array(F.struct(unit_array(text).alias("units"), gone.alias("gone"))), lambda s: F.filter(s["units"], lambda x, i: ~F.map_contains_key(s["gone"], i)))
+
+    def joined(units: Column) -> Column:
+        def told(x: Column, i: Column) -> Column:
+            raw = F.when(x["part"] > 0, F.ltrim(x["raw"])).otherwise(x["raw"])
+            return F.when(i == 0, raw).when(F.get(units, i - 1)["line"] != x["line"], F.concat(F.lit("\n"), raw)).otherwise(x["raw"])
+
+        return F.array_join(F.transform(units, told), "")
+
+    return F.when(removed.isNull(), text).otherwise(F.transform(left, joined)[0])
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text) with the kept text, and ``_removed``: the places of the lines that went (null: none)."""
+    """The columns of ``docs`` (doc_id, text) with the kept text, and ``_removed``: the places of the sentences that went (null: none)."""
     gone = removals(docs, min_words).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc").withColumn("text", kept_text(F.col("text"), F.col("_removed")))

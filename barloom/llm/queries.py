@@ -40,7 +40,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_removed, n_words, kept_sha256): the deleted lines, and the text that is left, its words and digest."""
+    """(doc_id, n_removed, n_words, kept_sha256): the deleted sentences (a line without sentence ends is one), and the text that is left, its words and digest."""
     found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.greatest(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), mixing.size_of(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("kept_sha256"))
 

@@ -1,6 +1,7 @@
 """Line dedup against brute force that knows every place of a line."""
 
 import random
+import re
 
 from barloom.llm import lines
 from tests.llm.helpers import docs_frame
@@ -66,7 +67,7 @@ def test_blocks_are_all_common_runs():
 
 def plain_gone(docs, min_words=lines.MIN_WORDS):
     """Every document against all earlier ones."""
-    split = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in docs.items()}
+    split = {d: [s.strip() for x in t.split("\n") if x.strip() for s in re.split(r"(?<=[.!?…])(?=[ \t]+\S)|(?<=[.!?…][\"')\]”’])(?=[ \t]+\S)|(?<=[。！？])(?=\S)", x)] for d, t in docs.items()}
     out = {}
     for d, own in split.items():
         words = [len(x.split()) for x in own]
@@ -105,3 +106,10 @@ def test_whole_table_matches_all_pairs(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: list(r["removed"]) for r in lines.removals(df).collect()}
     assert got == plain_gone({r["doc_id"]: r["text"] or "" for r in df.collect()})
+
+
+def test_passage_inside_a_line_goes(spark):
+    passage = "It was said by all of them. Nobody knew who had said it first! Was it so?"
+    docs = {1: passage, 2: f"An own beginning. {passage} An own end.\n\n  Its own line stays.", 3: f"Other words here.\n{passage} The end of it."}
+    got = kept(spark, docs)
+    assert got == {1: passage, 2: "An own beginning. An own end.\n  Its own line stays.", 3: "Other words here.\nThe end of it."}
