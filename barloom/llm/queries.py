@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import embeddings, language, lines, mixing, pieces, quality, simhash, syncmers, toxicity, urls
+from barloom.llm import divergence, embeddings, language, lines, mixing, negatives, packing, pieces, quality, simhash, syncmers, toxicity, urls
 from barloom.llm.common import fold, table
 
 
@@ -53,8 +53,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh vec_id has its label moved on, as the query's contract says."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_embedding_near_dedup, op3_toxicity, op4_mixing, op5_sentencepiece,
     op6_quality, op7_language, op8_line_dedup, op9_syncmer_fingerprints, op10_url_filter,
+    op11_best_fit_packing, op12_source_divergence, op13_hard_negatives,
 )}
-ORACLE = {"op4_mixing": mixing.SQL}
+ORACLE = {"op4_mixing": mixing.SQL, "op12_source_divergence": divergence.SQL, "op13_hard_negatives": negatives.SQL}
