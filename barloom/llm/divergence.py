@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import small_side, stored
 
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
-HELD_TERMS, HELD_BYTES = 400_000, 1 << 27  # a task passes its counters on at so many, or after so much text
+HELD_TERMS, HELD_BYTES = 500_000, 1 << 27  # a task passes its counters on at so many, or after so much text
 BUCKET_ROWS = 200_000  # counts in a bucket of terms
 PAIRS = 1 << 20  # pairs of counts evaluated at a time
 PART = 1 << 20  # bytes of a text that are split at a time
@@ -42,53 +42,60 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """(lang, text, held): every text of a language once, with the sources that hold it and how often."""
+    """(lang, text, held): every text of a language once, with the sources that hold it and how often.
+
+    Multiplicities are counted by digest. While the digests of repeated texts are
+    few enough for a broadcast, only repeated texts are shuffled; else all are.
+    """
     named = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("digest", F.sha2("text", 256))
+    ).withColumn("digest", F.unhex(F.sha2("text", 256)))
     held = named.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
-    held = held.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("held"))  # a row per source, not per document
-    texts = named.groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    return texts.join(held, ["lang", "digest"]).select("lang", "text", "held")
+    held = held.groupBy("lang", "digest").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("held"), F.sum("n").alias("copies"))  # a row per source, not per document
+    held = stored(held.where("copies > 1").drop("copies"))
+    repeated = small_side(held.select("lang", "digest"))
+    once = named.join(repeated, ["lang", "digest"], "left_anti")
+    copies = named.join(repeated, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.first("text").alias("text")).join(held, ["lang", "digest"])
+    return once.select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("held")).unionByName(copies.select("lang", "text", "held"))
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(lang, term, source, n) of ``texts`` (lang, text, held): occurrences by source; without a source, the documents that hold the term."""
+    """(lang, term, source, n, docs) of ``texts`` (lang, text, held): occurrences in a source, and documents that hold the term."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple, Counter] = defaultdict(Counter)
-
+        found: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
         size = 0
 
         def told() -> pd.DataFrame:
-            rows = [(lang, term.decode(), source, n) for (lang, source), c in found.items() for term, n in c.items()]
+            rows = [(lang, term.decode(), source, n, docs[term]) for (lang, source), (times, docs) in found.items() for term, n in times.items()]
             found.clear()
-            return pd.DataFrame(rows, columns=["lang", "term", "source", "n"])
+            return pd.DataFrame(rows, columns=["lang", "term", "source", "n", "docs"])
 
         for b in batches:
             for lang, text, held in zip(b["lang"], b["text"], b["held"]):
                 own: Counter = Counter()
                 for words in terms(text):
                     own.update(words)
-                docs = found[lang, None]
-                total = sum(h["n"] for h in held)
-                for term in own:
-                    docs[term] += total
                 for h in held:
-                    mine, n = found[lang, h["source"]], h["n"]
-                    for term, times in own.items():
-                        mine[term] += n * times
+                    (times, docs), n = found[lang, h["source"]], h["n"]
+                    if n == 1:
+                        times.update(own)
+                        docs.update(own.keys())
+                    else:
+                        for term, k in own.items():
+                            times[term] += n * k
+                            docs[term] += n
                 size += len(text)
-                if size > HELD_BYTES or len(held) > 1 and sum(map(len, found.values())) > HELD_TERMS:
+                if size > HELD_BYTES or len(held) > 1 and sum(len(t) for t, _ in found.values()) > HELD_TERMS:
                     yield told()
                     size = 0
-            if sum(map(len, found.values())) > HELD_TERMS:
+            if sum(len(t) for t, _ in found.values()) > HELD_TERMS:
                 yield told()
                 size = 0
         yield told()
 
-    parts = texts.select("lang", F.col("text").cast("binary").alias("text"), "held").mapInPandas(count, "lang string, term string, source string, n long")
-    return parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    parts = texts.select("lang", F.col("text").cast("binary").alias("text"), "held").mapInPandas(count, "lang string, term string, source string, n long, docs long")
+    return parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -167,11 +174,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     the item's bytes, a language without kept terms has pairs of value 0, an empty table gives no row.
     """
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    counts = stored(counted(collapsed(docs)))
-    # one placement by (lang, term): the kept terms and their counts
-    kept = counts.groupBy("lang", "term").agg(F.max(F.when(F.col("source").isNull(), F.col("n"))).alias("docs"), F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).alias("whole"))
-    kept = kept.where(F.col("docs") >= least_docs).select("lang", "term", "whole")
-    sparse = stored(counts.where("source is not null").join(kept, ["lang", "term"]))
+    term = Window.partitionBy("lang", "term")  # a row per source
+    counts = counted(collapsed(docs)).withColumn("docs", F.sum("docs").over(term)).withColumn("whole", F.sum("n").over(term))
+    sparse = stored(counts.where(F.col("docs") >= least_docs).drop("docs"))
+    kept = sparse.groupBy("lang", "term").agg(F.first("whole").alias("whole"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("whole").alias("lang_total"))
     sizes = sparse.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     groups = groups.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
