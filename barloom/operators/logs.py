@@ -93,8 +93,13 @@ def run_status(log: DataFrame, blocks: DataFrame, dims: DataFrame, by: Sequence[
         F.count_if(F.col("agent").isin(*ERRORS) & F.get_json_object("data", "$.ticker").isNotNull()).alias("error_count"),
     )
     stocks = block_analyses(blocks, dims, by).groupBy(*by).agg(F.count("*").alias("stocks_analyzed"), F.count_if("complete").alias("stocks_complete"))
+    return status_columns(entries.join(stocks, list(by), "left"), by)
+
+
+def status_columns(parts: DataFrame, by: Sequence[str] = LOG_KEYS, *more: str) -> DataFrame:
+    """Status rows from counts and first answers per log; ``more`` columns are passed on."""
     zero = F.lit(0).cast("long")
-    return entries.join(stocks, list(by), "left").select(
+    return parts.select(
         *by,
         "phase1_complete",
         F.col("portfolio_data").isNotNull().alias("phase2_complete"),
@@ -111,6 +116,7 @@ def run_status(log: DataFrame, blocks: DataFrame, dims: DataFrame, by: Sequence[
         F.get_json_object("portfolio_data", "$.rationale").alias("rationale"),
         F.get_json_object("portfolio_data", "$.weights").alias("weights_json"),
         F.get_json_object("risk_data", "$.actions").alias("risk_actions_json"),
+        *more,
     )
 
 

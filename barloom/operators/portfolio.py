@@ -97,26 +97,33 @@ def merge_weights(
     return w
 
 
-def snapshot_positions(weights: DataFrame, prices: DataFrame, equity: float, run_date: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def snapshot_positions(
+    weights: DataFrame, prices: DataFrame, equity: float | DataFrame, run_date: str, previous: DataFrame | None = None, by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(positions, account) to be checked on the next run.
 
     Non-positive weights and names without a price are dropped; the first
-    starting equity is kept so that drawdown is measured from it.
+    starting equity is kept so that drawdown is measured from it. With ``by``,
+    ``equity`` is a table (*by, equity) and ``previous`` one of (*by, starting_equity):
+    all accounts are written in one go, those without positions too.
     """
-    price = F.col("close")
-    positions = (
-        weights.where(F.col("weight") > 0)
-        .join(prices.select("symbol", "close"), "symbol")
-        .select(
-            "symbol",
-            price.alias("entry_price"),
-            py_round(ratio(F.lit(equity) * F.col("weight"), price), 2).alias("shares"),
-            F.lit(run_date).cast("date").alias("entry_date"),
-        )
+    price, day, keys = F.col("close"), F.lit(run_date).cast("date"), list(by)
+    if isinstance(equity, DataFrame):
+        accounts = equity.select(*keys, F.col("equity").cast("double").alias("equity"))
+    else:
+        accounts = weights.sparkSession.range(1).select(F.lit(float(equity)).alias("equity"))
+    held = weights.where(F.col("weight") > 0).join(prices.select("symbol", "close"), "symbol")
+    held = held.join(accounts, keys) if keys else held.withColumn("equity", F.lit(float(equity)))
+    positions = held.select(
+        *keys, "symbol", price.alias("entry_price"), py_round(ratio(F.col("equity") * F.col("weight"), price), 2).alias("shares"), day.alias("entry_date"),
     )
-    account = weights.sparkSession.range(1).select(F.lit(equity).alias("equity"), F.lit(run_date).cast("date").alias("last_update"))
-    kept = previous.agg(F.first("starting_equity", ignorenulls=True).alias("s")).scalar() if previous is not None else F.lit(None)
-    return positions, account.withColumn("starting_equity", F.coalesce(kept.cast("double"), F.lit(equity)))
+    if previous is None:
+        accounts = accounts.withColumn("_kept", F.lit(None).cast("double"))
+    elif keys:
+        accounts = accounts.join(previous.groupBy(*keys).agg(F.min("starting_equity").cast("double").alias("_kept")), keys, "left")
+    else:
+        accounts = accounts.withColumn("_kept", previous.agg(F.first("starting_equity", ignorenulls=True).alias("s")).scalar().cast("double"))
+    return positions, accounts.select(*keys, "equity", day.alias("last_update"), F.coalesce("_kept", "equity").alias("starting_equity"))
 
 
 def rebalance_orders(targets: DataFrame, holdings: DataFrame, equity: DataFrame, by: Sequence[str] = ("portfolio",)) -> DataFrame:
@@ -141,13 +148,18 @@ def rebalance_orders(targets: DataFrame, holdings: DataFrame, equity: DataFrame,
     return orders.select(*by, "side", "symbol", py_round("amount", 2).alias("notional"), seq.alias("seq"))
 
 
-def current_holdings(positions: DataFrame, account: DataFrame) -> DataFrame:
-    """(symbol, weight, cash_pct) from entry prices; weights to four, cash to one digit."""
-    equity = account.agg(F.first("equity").alias("e")).scalar()
+def current_holdings(positions: DataFrame, account: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, symbol, weight, cash_pct) from entry prices; weights to four, cash to one digit."""
     value = F.col("entry_price") * F.col("shares")
-    invested = positions.agg(F.sum(value).alias("v")).scalar()
+    if by:
+        sums = positions.groupBy(*by).agg(F.sum(value).alias("_invested"))
+        held = positions.join(account.select(*by, F.col("equity").alias("_equity")), list(by)).join(sums, list(by))
+        equity, invested = F.col("_equity"), F.col("_invested")
+    else:
+        held, equity = positions, account.agg(F.first("equity").alias("e")).scalar()
+        invested = positions.agg(F.sum(value).alias("v")).scalar()
     cash = F.greatest(F.lit(0.0), py_round((equity - invested) / equity * 100, 1))
-    return positions.select("symbol", py_round(value / equity, 4).alias("weight"), cash.alias("cash_pct"))
+    return held.select(*by, "symbol", py_round(value / equity, 4).alias("weight"), cash.alias("cash_pct"))
 
 
 def mark_positions(positions: DataFrame, latest: DataFrame) -> DataFrame:

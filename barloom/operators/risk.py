@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import fixed_text, py_round, ratio
@@ -50,29 +52,33 @@ def risk_thresholds(symbols: DataFrame, vol: DataFrame, styles: DataFrame) -> Da
     )
 
 
-def check_positions(positions: DataFrame, equity: float, starting_equity: float) -> DataFrame:
-    """(symbol, action, reason, pnl_pct, threshold_pct) from positions with sl_pct and tp_pct.
+def check_positions(positions: DataFrame, equity: float | Column, starting_equity: float | Column, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, symbol, action, reason, pnl_pct, threshold_pct) from positions with sl_pct and tp_pct.
 
     A portfolio drawdown of 5 % forces everything out; otherwise each position
     worth at least 50 is tested against the hard loss limit, its stop and its target.
+    ``equity`` and ``starting_equity`` are numbers for one account, or columns of
+    ``positions``, so that one call checks any number of accounts (``by``).
     """
-    drawdown = (equity - starting_equity) / starting_equity * 100 if starting_equity > 0 else None
-    circuit = F.lit(drawdown is not None and drawdown <= -MAX_DRAWDOWN_PCT)
+    now, start = (F.lit(float(x)) if isinstance(x, int | float) else x for x in (equity, starting_equity))
+    p = positions.withColumn("_drawdown", F.when(start > 0, (now - start) / start * 100))
+    circuit = F.coalesce(F.col("_drawdown") <= -MAX_DRAWDOWN_PCT, F.lit(False))
     entry = F.col("entry_price")
     pnl = F.when(entry <= 0, 0.0).otherwise(ratio(F.col("current_price") - entry, entry) * 100)
-    p = positions.withColumn("pnl_pct", pnl).where(circuit | (F.col("current_price") * F.col("shares") >= MIN_POSITION_VALUE))
+    p = p.withColumn("pnl_pct", pnl).where(circuit | (F.col("current_price") * F.col("shares") >= MIN_POSITION_VALUE))
     hard = F.col("pnl_pct") <= -MAX_SINGLE_LOSS_PCT
     stop = F.col("pnl_pct") <= -F.col("sl_pct")
     target = F.col("pnl_pct") >= F.col("tp_pct")
     t = {"pnl": fixed_text("pnl_pct", 1), "spnl": fixed_text("pnl_pct", 1, sign=True), "sl": fixed_text("sl_pct", 1), "tp": fixed_text("tp_pct", 1)}
     reason = (
-        F.when(circuit, F.lit(f"CIRCUIT BREAKER: Portfolio down {drawdown or 0.0:.1f}% exceeds {MAX_DRAWDOWN_PCT}% daily limit. LIQUIDATING ALL."))
+        F.when(circuit, F.concat(F.lit("CIRCUIT BREAKER: Portfolio down "), fixed_text("_drawdown", 1), F.lit(f"% exceeds {MAX_DRAWDOWN_PCT}% daily limit. LIQUIDATING ALL.")))
         .when(hard, F.concat(F.lit("HARD LIMIT: Position down "), t["pnl"], F.lit(f"% exceeds max loss {MAX_SINGLE_LOSS_PCT}%")))
         .when(stop, F.concat(F.lit("STOP-LOSS: PnL "), t["spnl"], F.lit("% breached dynamic SL threshold -"), t["sl"], F.lit("%")))
         .when(target, F.concat(F.lit("TAKE-PROFIT: PnL "), t["spnl"], F.lit("% exceeded TP threshold +"), t["tp"], F.lit("%")))
         .otherwise(F.concat(F.lit("Within bounds: PnL "), t["spnl"], F.lit("% | SL=-"), t["sl"], F.lit("% | TP=+"), t["tp"], F.lit("%")))
     )
     return p.select(
+        *by,
         "symbol",
         F.when(circuit, "FORCE_SELL_CIRCUIT").when(hard | stop, "FORCE_SELL_SL").when(target, "FORCE_SELL_TP").otherwise("HOLD").alias("action"),
         reason.alias("reason"),
@@ -81,10 +87,17 @@ def check_positions(positions: DataFrame, equity: float, starting_equity: float)
     )
 
 
-def override_weights(weights: DataFrame, actions: DataFrame) -> DataFrame:
+def check_accounts(positions: DataFrame, accounts: DataFrame, by: Sequence[str] = ("account",)) -> DataFrame:
+    """:func:`check_positions` for every account: ``accounts`` holds (*by, equity, starting_equity)."""
+    held = positions.join(accounts.select(*by, "equity", "starting_equity"), list(by))
+    return check_positions(held, F.col("equity"), F.col("starting_equity"), by)
+
+
+def override_weights(weights: DataFrame, actions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weights without the forced exits and without empty positions."""
-    out = actions.where(F.col("action").startswith("FORCE_SELL")).select("symbol")
-    return weights.where(F.col("weight") > 0).join(out, "symbol", "left_anti")
+    keys = [*by, "symbol"]
+    out = actions.where(F.col("action").startswith("FORCE_SELL")).select(*keys)
+    return weights.where(F.col("weight") > 0).join(out, keys, "left_anti")
 
 
 EMPTY_RISK = "  No positions to monitor."
