@@ -315,6 +315,108 @@ def _(t: Tables) -> DataFrame:
     return risk.risk_summary(actions(t))
 
 
+# -- several accounts ---------------------------------------------------------------
+
+cte(
+    "account_positions",
+    "SELECT nation AS account, p.* FROM positions p JOIN dims USING (symbol)",
+    "positions",
+    "dims",
+)
+cte(
+    "accounts",
+    """SELECT nation AS account, equity, CASE WHEN length(nation) = 8 THEN equity/0.9::DOUBLE ELSE equity*0.97::DOUBLE END AS starting_equity FROM (
+        SELECT nation, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) + 90000.0::DOUBLE AS equity FROM dims JOIN supplier ON symbol = 'S' || s_suppkey GROUP BY 1)""",
+    "dims",
+)
+_DOWN = "(equity-starting_equity)/starting_equity*100"
+cte(
+    "account_risk",
+    f"""SELECT a.account, r.*, CASE WHEN starting_equity > 0 THEN {_DOWN} END AS drawdown FROM risk_pos r JOIN dims USING (symbol) JOIN accounts a ON a.account = nation""",
+    "risk_pos",
+    "dims",
+    "accounts",
+)
+cte(
+    "account_actions",
+    f"""SELECT account, symbol, CASE WHEN drawdown <= -5 THEN 'FORCE_SELL_CIRCUIT' WHEN pnl_pct <= -8 OR pnl_pct <= -sl_pct THEN 'FORCE_SELL_SL' WHEN pnl_pct >= tp_pct THEN 'FORCE_SELL_TP' ELSE 'HOLD' END AS action,
+        CASE WHEN drawdown <= -5 THEN 'CIRCUIT BREAKER: Portfolio down ' || printf('%.1f', drawdown) || '% exceeds 5.0% daily limit. LIQUIDATING ALL.'
+             WHEN pnl_pct <= -8 THEN 'HARD LIMIT: Position down ' || {_PNL} || '% exceeds max loss 8.0%'
+             WHEN pnl_pct <= -sl_pct THEN 'STOP-LOSS: PnL ' || {_SPNL} || '% breached dynamic SL threshold -' || {_SL} || '%'
+             WHEN pnl_pct >= tp_pct THEN 'TAKE-PROFIT: PnL ' || {_SPNL} || '% exceeded TP threshold +' || {_TP} || '%'
+             ELSE 'Within bounds: PnL ' || {_SPNL} || '% | SL=-' || {_SL} || '% | TP=+' || {_TP} || '%' END AS reason, pnl_pct,
+        CASE WHEN drawdown <= -5 THEN 5.0 WHEN pnl_pct <= -8 THEN 8.0 WHEN pnl_pct <= -sl_pct THEN sl_pct WHEN pnl_pct >= tp_pct THEN tp_pct ELSE 0.0 END AS threshold_pct
+        FROM account_risk WHERE coalesce(drawdown <= -5, false) OR current_price*shares >= 50""",
+    "account_risk",
+)
+cte(
+    "account_weights",
+    "SELECT nation AS account, symbol, CAST(s_suppkey % 9 AS DOUBLE)/100 AS weight FROM dims JOIN supplier ON symbol = 'S' || s_suppkey",
+    "dims",
+)
+
+
+def account_positions(t: Tables) -> DataFrame:
+    return t.positions().join(t.dims().select("symbol", F.col("nation").alias("account")), "symbol")
+
+
+def accounts(t: Tables) -> DataFrame:
+    """An account per nation: its suppliers' balances on top of a base; those with the shortest names are down by a tenth."""
+    money = t.raw("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), F.col("s_acctbal").cast("decimal(18,2)").alias("balance"))
+    equity = t.dims().join(money, "symbol").groupBy(F.col("nation").alias("account")).agg((F.sum("balance").cast("double") + 90_000.0).alias("equity"))
+    return equity.withColumn("starting_equity", F.when(F.length("account") == 8, F.col("equity") / 0.9).otherwise(F.col("equity") * 0.97))
+
+
+def account_actions(t: Tables) -> DataFrame:
+    return risk.check_accounts(account_positions(t).join(thresholds(t), "symbol"), accounts(t))
+
+
+def account_weights(t: Tables) -> DataFrame:
+    key = t.raw("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), ((F.col("s_suppkey") % 9) / 100).alias("weight"))
+    return key.join(t.dims().select("symbol", F.col("nation").alias("account")), "symbol")
+
+
+@query("d37_check_accounts", "SELECT * FROM account_actions", "account_actions", "pnl_pct threshold_pct")
+def _(t: Tables) -> DataFrame:
+    return account_actions(t)
+
+
+@query(
+    "d38_override_account_weights",
+    "SELECT account, symbol, weight FROM account_weights w WHERE weight > 0 AND NOT EXISTS (SELECT 1 FROM account_actions a WHERE a.account = w.account AND a.symbol = w.symbol AND action LIKE 'FORCE_SELL%')",
+    "account_weights account_actions",
+    "weight",
+)
+def _(t: Tables) -> DataFrame:
+    return risk.override_weights(account_weights(t), account_actions(t), ["account"]).select("account", "symbol", "weight")
+
+
+@query(
+    "d28_snapshot_accounts",
+    f"""SELECT account, symbol, close AS entry_price, {pyround('sh', 2)} AS shares, DATE '{BARS_ASOF}' AS entry_date, equity, coalesce(kept, equity) AS starting_equity FROM (
+        SELECT account, symbol, close, equity*weight/close AS sh, equity, CASE WHEN account < 'NATION_2' THEN starting_equity END AS kept
+        FROM account_weights JOIN (SELECT symbol, arg_max(close, date) AS close FROM bars GROUP BY 1) USING (symbol) JOIN accounts USING (account) WHERE weight > 0)""",
+    "account_weights accounts bars",
+    "shares equity:4 starting_equity:4",
+)
+def _(t: Tables) -> DataFrame:
+    """Accounts below NATION_2 were there before and keep their starting equity."""
+    money = accounts(t)
+    rows, state = portfolio.snapshot_positions(account_weights(t), tech.latest_per_symbol(t.bars()), money, BARS_ASOF, money.where("account < 'NATION_2'"), ["account"])
+    return rows.join(state.select("account", "equity", "starting_equity"), "account")
+
+
+@query(
+    "d40_account_holdings",
+    f"""SELECT account, symbol, {pyround('w', 4)} AS weight, greatest(0.0::DOUBLE, {pyround('c', 1)}) AS cash_pct FROM (
+        SELECT account, symbol, entry_price*shares/(equity*100) AS w, (equity*100 - sum(entry_price*shares) OVER (PARTITION BY account))/(equity*100)*100 AS c FROM account_positions JOIN accounts USING (account))""",
+    "account_positions accounts",
+    "weight cash_pct",
+)
+def _(t: Tables) -> DataFrame:
+    return portfolio.current_holdings(account_positions(t), accounts(t).withColumn("equity", F.col("equity") * 100), ["account"])
+
+
 # -- pairs -------------------------------------------------------------------------
 
 cte(
