@@ -7,22 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_RANGES = 16
+from barloom.session import cut_lineage
 
+LEAST_RANGES = 16
 
-def value_range(df: DataFrame, value: str, ranges: int | None = None) -> Column:
-    """Range id of ``value`` from approximate quantiles.
 
-    There are as many ranges as shuffle partitions unless given, so they grow with
-    what the session is set up for. The cut points (at most ``ranges`` numbers) are fetched once, so every use of
-    the returned column agrees; how good they are only affects balance, never
-    results.
-    """
+def cut_points(df: DataFrame, *values: str, ranges: int | None = None) -> dict[str, tuple[list[float], list[float]]]:
+    """Cut points of each column and, of them, the heavy values (those that fill a range by themselves), from one pass."""
     ranges = ranges or max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(value, probs, 1000).alias("c")).first()["c"] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(edges, lambda e: e < F.col(value)))
+    found = df.agg(*[F.percentile_approx(v, probs, 1000).alias(v) for v in values]).first()
+    cuts = {v: [float(c) for c in (found[v] or [])] for v in values}
+    return {v: (sorted(set(c)), sorted({x for x in c if c.count(x) > 1})) for v, c in cuts.items()}
+
+
+def slots(df: DataFrame, value: str, cuts: tuple[list[float], list[float]]) -> DataFrame:
+    """Add ``_slot``, which rises with ``value``: twice the range, and one more for a heavy value, which is the last of its range."""
+    edges, heavy = (F.array(*[F.lit(c) for c in x]) if x else F.array().cast("array<double>") for x in cuts)
+    v = F.col(value).cast("double")
+    return df.withColumn("_slot", 2 * F.size(F.filter(edges, lambda e: e < v)) + F.array_contains(heavy, v).cast("int"))
+
+
+def slot_offsets(slotted: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
+    """(*by, _slot, _off, _in, _all): rows before the slot, in it, and in all; at most two rows a range and group."""
+    sums = slotted.groupBy(*by, "_slot").agg(F.sum(weight).alias("_in"))
+    w = Window.partitionBy(*by)
+    before = w.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*by, "_slot", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_off"), "_in", F.sum("_in").over(w).alias("_all"))
+
+
+def row_ranks(df: DataFrame, value: str, by: Sequence[str] = (), cuts: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """Rows of ``df`` with a ``value``, their average ``rank`` within ``by`` and the number ``total`` of rows that are ranked there.
+
+    One exchange: rows are dealt by range and ranked inside, offsets come from
+    counts. All rows of a heavy value have one rank, which the counts give, so they are not
+    moved at all.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    rows = slots(rows, value, cuts or cut_points(rows, value)[value])
+    told = rows.join(F.broadcast(slot_offsets(rows, by, F.lit(1))), [*by, "_slot"])
+    heavy = told.where("_slot % 2 = 1").withColumn("rank", F.col("_off") + (F.col("_in") + 1) / 2.0)
+    inside = Window.partitionBy(*by, "_slot").orderBy(value)
+    ties = F.count("*").over(inside.rangeBetween(0, 0))
+    light = told.where("_slot % 2 = 0").withColumn("rank", F.col("_off") + F.rank().over(inside) + (ties - 1) / 2.0)
+    return light.unionByName(heavy).select(*df.columns, "rank", F.col("_all").alias("total"))
+
+
+def value_ranks(counts: DataFrame, value: str, n: str, by: Sequence[str] = (), cuts: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """``counts`` (one row per *by and value, standing for ``n`` rows) with the average ``rank`` of each value; one exchange, besides that of the counts."""
+    ranged = slots(counts, value, cuts or cut_points(counts, value)[value])
+    inside = Window.partitionBy(*by, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_cum", F.sum(n).over(inside))
+        .join(F.broadcast(slot_offsets(ranged, by, F.col(n))), [*by, "_slot"])
+        .withColumn("rank", F.col("_off") + F.col("_cum") - (F.col(n) - 1) / 2.0)
+        .select(*counts.columns, "rank")
+    )
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
@@ -34,21 +74,9 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[
     is how many rows a row stands for.
     """
     aggs = [(F.sum(weight) if weight else F.count("*")).alias("n")] + [c.alias(name) for name, c in (extra or {}).items()]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
-    ranged = counts.withColumn("_range", value_range(df.where(F.col(value).isNotNull()), value))
-    offset_w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_t"))
-        .withColumn("_off", F.coalesce(F.sum("_t").over(offset_w), F.lit(0)))
-        .drop("_t")
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ranged.withColumn("_cum", F.sum("n").over(inside))
-        .join(offsets, [*by, "_range"])
-        .withColumn("rank", F.col("_off") + F.col("_cum") - (F.col("n") - 1) / 2.0)
-        .select(*by, value, "n", "rank", *(extra or {}))
-    )
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*by, value).agg(*aggs)
+    return value_ranks(counts, value, "n", by, cut_points(rows, value)[value]).select(*by, value, "n", "rank", *(extra or {}))
 
 
 def with_median(counts: DataFrame, by: Sequence[str], value: str, n: str, out: str = "median") -> DataFrame:
@@ -69,16 +97,25 @@ def with_median(counts: DataFrame, by: Sequence[str], value: str, n: str, out: s
 def positional_split(df: DataFrame, train_share: float = 0.8, order: str = "date", tie: str = "symbol") -> DataFrame:
     """Add ``is_train``: exactly the first ``floor(share * n)`` rows by (order, tie).
 
-    Row counts per date decide every date but the one the boundary falls on;
-    only that date's rows are numbered.
+    Row counts per date decide every date but the one the boundary falls on. That
+    date's rows are dealt by ranges of ``tie``; counts per range decide all but one range,
+    whose rows alone are numbered.
     """
     counts = df.groupBy(order).agg(F.count("*").alias("_n"))
-    cum = counts.withColumn("_cum", F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
-    quota = F.floor(total * F.lit(train_share))
-    tagged = cum.select(order, (quota - (F.col("_cum") - F.col("_n"))).alias("_room"), "_n")
-    marked = df.join(tagged, order)
-    on_edge = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
-    sure = marked.where(~on_edge).withColumn("is_train", F.col("_room") >= F.col("_n"))
-    edge = marked.where(on_edge).withColumn("is_train", F.row_number().over(Window.partitionBy(order).orderBy(tie)) <= F.col("_room"))
-    return sure.unionByName(edge).drop("_room", "_n")
+    cum = counts.withColumn("_cum", F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))  # a row per date
+    cum = cum.withColumn("_quota", F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(train_share)))
+    edge = cum.where("_cum > _quota").orderBy(order).select(order, (F.col("_quota") - F.col("_cum") + F.col("_n")).alias("room")).first()
+    if edge is None:
+        return df.withColumn("is_train", F.lit(True))
+    day, room = F.lit(edge[order]), edge["room"]
+    sure = df.where(F.col(order) != day).withColumn("is_train", F.col(order) < day)
+    rows = df.where(F.col(order) == day)
+    if room == 0:
+        return sure.unionByName(rows.withColumn("is_train", F.lit(False)))
+    rows = cut_lineage(rows.repartitionByRange(tie)).withColumn("_part", F.spark_partition_id())
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    parts = parts.select("_part", (room - F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_room"), "_n")
+    told = rows.join(F.broadcast(parts), "_part")
+    whole = told.where("_room <= 0 or _room >= _n").withColumn("is_train", F.col("_room") > 0)
+    split = told.where("_room > 0 and _room < _n").withColumn("is_train", F.row_number().over(Window.partitionBy("_part").orderBy(tie)) <= F.col("_room"))
+    return sure.unionByName(whole.unionByName(split).drop("_part", "_room", "_n"))

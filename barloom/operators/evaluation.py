@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import finite, py_round, ratio
-from barloom.functions.ranking import average_rank
+from barloom.functions.ranking import average_rank, cut_points, row_ranks, value_ranks
 
 # --- fixed values -----------------------------------------------------------
 TOP_K = 5
@@ -41,24 +41,21 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def rank_ic(scored: DataFrame, by: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
     """Spearman correlation of score and forward return; 0 when undefined or too few rows.
 
-    Equal (score, return) pairs collapse before anything is ranked or joined.
+    Returns are ranked row by row, in one exchange. Rows of one score then collapse, so
+    that scores are ranked once each and nothing is joined back. Both rankings
+    have the mean (n + 1) / 2, from which the moments are taken.
     """
-    pairs = scored.where(F.col("fwd_ret").isNotNull()).groupBy(*by, "proba", "fwd_ret").agg(F.count("*").alias("n"))
-    rp = average_rank(pairs, "proba", by, weight="n").select(*by, "proba", F.col("rank").alias("rp"))
-    rf = average_rank(pairs, "fwd_ret", by, weight="n").select(*by, "fwd_ret", F.col("rank").alias("rf"))
-    ranked = pairs.join(rp, [*by, "proba"]).join(rf, [*by, "fwd_ret"])
-
-    def mean(*cols: str) -> Column:
-        product = F.col("n").cast("double")
-        for c in cols:
-            product = product * F.col(c)
-        return F.sum(product) / F.sum("n")
-
+    valid = scored.where(F.col("fwd_ret").isNotNull() & F.col("proba").isNotNull()).select(*by, "proba", "fwd_ret")
+    cuts = cut_points(valid, "proba", "fwd_ret")
+    off = F.col("rank") - (F.col("total") + 1) / 2.0
+    per_score = row_ranks(valid, "fwd_ret", by, cuts["fwd_ret"]).groupBy(*by, "proba").agg(
+        F.count("*").alias("n"), F.first("total").alias("total"), F.sum(off).alias("f"), F.sum(off * off).alias("ff")
+    )
+    ranked = value_ranks(per_score, "proba", "n", by, cuts["proba"])
     g = _grouped(ranked, by).agg(
-        F.sum("n").alias("n"), mean("rp").alias("p"), mean("rf").alias("f"), mean("rp", "rf").alias("pf"), mean("rp", "rp").alias("pp"), mean("rf", "rf").alias("ff")
+        F.sum("n").alias("n"), F.sum(off * F.col("f")).alias("pf"), F.sum(F.col("n") * off * off).alias("pp"), F.sum("ff").alias("ff")
     )
-    spread = F.sqrt(F.greatest(F.col("pp") - F.col("p") * F.col("p"), F.lit(0.0)) * F.greatest(F.col("ff") - F.col("f") * F.col("f"), F.lit(0.0)))
-    ic = F.when(F.col("n") > min_rows, finite(ratio(F.col("pf") - F.col("p") * F.col("f"), spread)))
+    ic = F.when(F.col("n") > min_rows, finite(ratio(F.col("pf"), F.sqrt(F.col("pp") * F.col("ff")))))
     return g.select(*by, F.coalesce(ic, F.lit(0.0)).alias("ic"))
 
 
