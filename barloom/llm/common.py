@@ -50,6 +50,13 @@ def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores in front as make it a column that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def fold(key: str, folds: int) -> Column:
     """Fold of a row: crc32 of the id as text."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))

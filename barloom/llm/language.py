@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from barloom.llm.common import small_side, stored
+from barloom.llm.common import small_side, stored, unused
 from barloom.llm.features import PLAIN
 
 DIMS_BITS = 13
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE)
 
     # a share of each language that holds about twice the wanted rows goes on, so a large language costs its task no more
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    sizes = docs.where(learn & F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("_n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
     near = known.join(small_side(stored(sizes)), "lang").where(place < F.lit(2.0 * per_language * (1 << 40)) / F.col("_n"))
     picked = Window.partitionBy("lang").orderBy(place, "doc_id")
     sample = near.withColumn("_rank", F.row_number().over(picked)).where(F.col("_rank") <= per_language).drop("_rank", "_n")
@@ -135,8 +135,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE)
     return Model(idf, list(found["lang"]), np.array(list(found["centroid"]), np.float32), found["least"].to_numpy())
 
 
-def identify(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text, lang) and ``_language``: struct(held_out, lang_pred, score, accepted).
+def identify(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[DataFrame, str]:
+    """``docs`` (doc_id, text, lang) with one more column, and its name (new to ``docs``): struct(held_out, lang_pred, score, accepted).
 
     ``lang_pred`` is the language of the nearest centroid and ``score`` its cosine;
     a text that is null or has no letter is ``und`` with score 0 and not accepted.
@@ -148,9 +148,10 @@ def identify(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_L
     model = fit(docs, ~held_out, per_language)
     has_letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    found = unused("language", docs)
     none = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted")]
     if model is None:
-        return docs.withColumn("_language", F.struct(held, *none))
+        return docs.withColumn(found, F.struct(held, *none)), found
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double, accepted boolean")
@@ -158,5 +159,6 @@ def identify(docs: DataFrame, held_out: Column, per_language: int = SAMPLE_PER_L
         names, best, accepted = shared.value.predict(list(texts))
         return pd.DataFrame({"lang_pred": names, "score": best, "accepted": accepted})
 
-    guess = docs.withColumn("_guess", predicted(F.col("text").cast("binary")))
-    return guess.withColumn("_language", F.when(has_letter, F.struct(held, "_guess.lang_pred", "_guess.score", "_guess.accepted")).otherwise(F.struct(held, *none))).drop("_guess")
+    guess = docs.withColumn(found, predicted(F.col("text").cast("binary")))
+    fields = [F.col(found)[c].alias(c) for c in ("lang_pred", "score", "accepted")]
+    return guess.withColumn(found, F.when(has_letter, F.struct(held, *fields)).otherwise(F.struct(held, *none))), found

@@ -1,19 +1,20 @@
-"""Line dedup by pairwise alignment: shared runs find the pairs, patience diff aligns them, the later document loses common blocks.
+"""Line dedup by pairwise alignment: rare shared runs of lines find the pairs, patience diff aligns them, the later document loses the aligned blocks.
 
 Lines are cut further into sentences, so that a passage inside a line goes too;
-these are the lines meant below. A run is the least number of neighbouring lines that holds MIN_WORDS words; of
-all documents that hold a run, the one with the smallest doc_id introduces it. A
-later document is aligned with every document that introduced one of its runs, on
-all places of all lines. Each block that it shares with any earlier document is
-covered by such runs, so nothing is lost by leaving the other pairs out: a run
-that a third of all documents hold gives one row per occurrence, never a pair per
-two documents, and nothing is capped.
+these are the lines meant below. A run is the least number of neighbouring lines
+that holds MIN_WORDS words; runs are what is hashed and aligned, so every aligned
+block is long enough. Of all documents that hold a run, the one with the smallest doc_id
+introduces it, and a later document is aligned with the introducers of its runs, those of
+its rarest runs first. What a diff leaves over (passages in another order,
+or more often than in the other document) is aligned again, passage by passage,
+until nothing is left. A run that a third of all documents hold gives one row per
+occurrence, never a pair per two documents, and nothing is capped.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, stored
+from barloom.llm.common import stored, unused
 
 MIN_WORDS = 5  # a common block of fewer words is left alone
-BLANK = " \t\r\v\f"
-SENTENCE = r"(?<=[.!?\u2026][\"')\]\u201d\u2019]?)(?=[ \t]+\S)|(?<=[\u3002\uff01\uff1f])(?=\S)"  # where a line is cut into sentences
+CUT = re.compile(r"\n|[.!?…][\"')\]”’]?(?=[ \t]+\S)|[。！？](?=\S)")  # where a text is cut into lines, and these into sentences
+BLANK = b" \t\r\v\f\n"
+RUN_ROWS = 100_000  # runs passed on at a time
 
 
-def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest run of pairs (ordered by the first number) that rises strictly in the second, by patience sorting."""
+def rising(pairs: list[tuple[int, int]]) -> list[int]:
+    """Places of a longest stretch of ``pairs`` (ordered by the first number) that rises strictly in the second, by patience sorting."""
     tops, at, back = [], [], []
     for i, (_, y) in enumerate(pairs):
         k = bisect_left(tops, y)
@@ -39,63 +41,41 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         back.append(at[k - 1] if k else -1)
     out, i = [], at[-1] if at else -1
     while i >= 0:
-        out.append(pairs[i])
+        out.append(i)
         i = back[i]
     return out[::-1]
 
 
-def common(own: list, other: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, by rows of bits: repeated lines cost no pairs."""
-    at: dict = {}
-    for j, y in enumerate(other):
-        at[y] = at.get(y, 0) | 1 << j
-    full = (1 << len(other)) - 1
-    v, rows = full, []
-    for x in own:
-        u = v & at.get(x, 0)
-        v = (v + u | v - u) & full
-        rows.append(v)
-    out, i, j = [], len(own), len(other)
-    while i and j:
-        if rows[i - 1] >> j - 1 & 1:
-            j -= 1
-            continue
-        i -= 1
-        if not i or rows[i - 1] >> j - 1 & 1:
-            j -= 1
-            out.append((i, j))
-    return out[::-1]
-
+def alignment(own: list[int]) -> list[int]:
+    """Patience diff of a document with another one: places in ``own`` that are aligned.
 
-def alignment(own: list, other: list) -> list[tuple[int, int]]:
-    """Aligned places of two lists of lines: equal ends, then lines that are unique in both, the gaps between them again."""
-    out, todo = [], [(0, len(own), 0, len(other))]
-    while todo:
-        a, b, c, d = todo.pop()
-        while a < b and c < d and own[a] == other[c]:
-            out.append((a, c))
-            a, c = a + 1, c + 1
-        while a < b and c < d and own[b - 1] == other[d - 1]:
-            b, d = b - 1, d - 1
-            out.append((b, d))
-        if a == b or c == d:
-            continue
-        mine, theirs = Counter(own[a:b]), Counter(other[c:d])
-        place = {other[j]: j for j in range(c, d) if theirs[other[j]] == 1}
-        anchors = rising([(i, place[own[i]]) for i in range(a, b) if mine[own[i]] == 1 and own[i] in place])
-        if anchors:
-            out += anchors
-            for (i, k), (j, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
-                todo.append((i + 1, j, k + 1, m))
-        elif mine.keys() & theirs.keys():
-            out += [(a + i, c + j) for i, j in common(own[a:b], other[c:d])]
+    ``own`` gives, for the shared runs of the document in order, the place of each
+    in the other document. Runs that occur once are the anchors; between two anchors, whatever
+    still rises is aligned too.
+    """
+    times: dict[int, int] = {}
+    for y in own:
+        times[y] = times.get(y, 0) + 1
+    once = [(i, y) for i, y in enumerate(own) if times[y] == 1]
+    anchors = [once[k] for k in rising(once)]
+    out = [i for i, _ in anchors]
+    for (i, low), (j, high) in zip([(-1, -1), *anchors], [*anchors, (len(own), float("inf"))]):
+        gap = [(k, own[k]) for k in range(i + 1, j) if low < own[k] < high]
+        out += [gap[k][0] for k in rising(gap)]
     return sorted(out)
 
 
-def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The alignment of own places that have one partner each, given as (own, other)."""
-    theirs = sorted({y for _, y in pairs})
-    return [(pairs[i][0], theirs[j]) for i, j in alignment([y for _, y in pairs], theirs)]
+def aligned(own: list[int]) -> list[int]:
+    """Places in ``own`` that fall in a first diff and, passage by passage, in those of what it leaves."""
+    out = alignment(own)
+    taken = set(out)
+    passage: list[int] = []
+    for i in [i for i in range(len(own)) if i not in taken] + [-1]:
+        if i < 0 or passage and own[i] <= own[passage[-1]]:
+            out += [passage[k] for k in alignment([own[p] for p in passage])]
+            passage = []
+        passage.append(i)
+    return sorted(out)
 
 
 def windows(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -112,98 +92,120 @@ def windows(words: list[int], least: int) -> set[tuple[int, int]]:
     return out
 
 
-def blocks(own: list, other: list, words: list[int], min_words: int) -> list[int]:
-    """Own places of the common blocks, unbroken in both documents, that hold ``min_words`` words or more.
-
-    The alignment gives them but for passages that stand in another order or more
-    often than in the other document, or that it splits; these are found by their runs.
-    """
-    out, run = set(), []
-    for p in [*alignment(own, other), (-9, -9)]:
-        if run and p != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(words[x] for x, _ in run) >= min_words:
-                out.update(x for x, _ in run)
-            run = []
-        run.append(p)
-    theirs = set(other)
-    left = [i not in out and x in theirs for i, x in enumerate(own)]
-    if any(left):
-        runs: dict[int, set] = {}
-        for a, b in windows(words, min_words):
-            if any(left[a:b]):
-                if b - a not in runs:
-                    runs[b - a] = set(zip(*(other[i:] for i in range(b - a))))
-                if tuple(own[a:b]) in runs[b - a]:
-                    out.update(range(a, b))
-    return sorted(out)
+def sentences(text: str) -> Iterator[tuple[bytes, int]]:
+    """(sentence without the space around it, byte at which it ends in the UTF-8 text) of the sentences that are not blank."""
+    at = end = 0
+    for cut in CUT.finditer(text):
+        raw = text[at : cut.end()].encode()
+        at, end = cut.end(), end + len(raw)
+        if bare := raw.strip(BLANK):
+            yield bare, end - (len(raw) - len(raw.rstrip(BLANK)))
+    raw = text[at:].encode()
+    if bare := raw.strip(BLANK):
+        yield bare, end + len(raw.rstrip(BLANK))
 
 
-def line_array(text: Column) -> Column:
-    """The non-blank lines of a text."""
-    return F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")
+def runs(text: str, min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of the runs of a text in order: hash of their sentences, and the bytes they take, with the space before them."""
+    found = list(sentences(text))
+    ids = [xxhash.xxh64_digest(s) for s, _ in found]
+    ends = [0, *(e for _, e in found)]
+    for a, b in sorted(windows([len(s.split()) for s, _ in found], min_words)):
+        key = ids[a] if b - a == 1 else xxhash.xxh64_digest(b"".join(ids[a:b]))
+        yield int.from_bytes(key, "big", signed=True), ends[a], ends[b]
 
 
-def unit_array(text: Column) -> Column:
-    """array<struct(line, part, raw)>: the sentences of the non-blank lines of a text, the space before each included."""
-    return F.flatten(F.transform(line_array(text), lambda x, i: F.transform(F.split(x, SENTENCE), lambda s, j: F.struct(i.alias("line"), j.alias("part"), s.alias("raw")))))
+def row_key() -> Column:
+    """Tells rows with one doc_id apart by their text."""
+    return F.xxhash64("text")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): places among the sentences of the non-blank lines of ``docs`` (doc_id, text) that an alignment deletes.
+    """(doc, row, spans): bytes (begin, end) of the UTF-8 text that an alignment deletes, for each row of ``docs`` (doc_id, text) that loses some.
 
-    One row per doc_id that loses a sentence. Sentences are compared without the
-    white space around them. Rows with one doc_id are one document: they lose what
-    either of them shares with an earlier document. Rows without doc_id or text
-    take no part.
+    ``row`` is the hash of the text: rows with one doc_id and different texts each
+    lose what they share with documents of smaller ids, never with each other.
+    Sentences are compared without the white space around them. Rows without
+    doc_id or text take no part; repeated rows lose the same.
     """
-    units = F.transform(unit_array(F.col("text")), lambda x: F.trim(x["raw"], F.lit(BLANK)))
-    # written out, so that the sides of the joins are plain shuffles and the rows of a hot line or document can be split
-    held = stored(
-        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), units.alias("u"))
-        .select("doc", F.transform("u", lambda x: F.xxhash64(x)).alias("ids"), F.transform("u", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
-        .where(F.size("ids") > 0)
-    )
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", "row", "key", "begin", "end"]
         for b in batches:
-            docs_of, keys_of = [], []
-            for doc, ids, words in zip(b["doc"], b["ids"], b["words"]):
-                ids = np.asarray(ids, np.int64)
-                found = {xxhash.xxh64_intdigest(ids[x:y].tobytes()) for x, y in windows(words.tolist(), min_words)}
-                keys_of += found
-                docs_of += [doc] * len(found)
-            yield pd.DataFrame({"doc": np.array(docs_of, np.int64), "key": np.array(keys_of, np.uint64).view(np.int64)})
-
-    keys = held.mapInPandas(runs, "doc long, key long")
-    first = stored(keys.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).where("other < last").select("key", "other"))
-    pairs = stored(keys.join(first, "key").where("doc > other").select("doc", "other").distinct())
-    both = pairs.join(held, "doc").join(held.select(F.col("doc").alias("other"), F.col("ids").alias("other_ids")), "other")
-
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out: list[tuple] = []
+            for doc, row, text in zip(b["doc"].tolist(), b["row"].tolist(), b["text"]):
+                out += [(doc, row, *r) for r in runs(text, min_words)]
+                if len(out) > RUN_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    wide = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), row_key().alias("row"), "text")
+    # written out, so that the sides of the join are plain shuffles and the rows of a hot run can be split
+    held = stored(wide.mapInPandas(cut, "doc long, row long, key long, begin int, end int"))
+    first = held.groupBy("key").agg(F.min(F.struct("doc", "begin")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("often"))
+    first = stored(first.where("first.doc < last").select("key", F.col("first.doc").alias("other"), F.col("first.begin").alias("place"), "often"))
+    shared = held.join(first, "key").where("doc > other").select("doc", "row", F.struct("other", "begin", "end", "place", "often").alias("run"))
+    gathered = shared.groupBy("doc", "row").agg(F.sort_array(F.collect_list("run")).alias("r"))  # the runs of one text
+    gathered = gathered.select("doc", "row", *(F.col(f"r.{c}").alias(c) for c in ("other", "begin", "end", "place", "often")))
+
+    def diffed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gone = [blocks(own.tolist(), other.tolist(), words, min_words) for own, other, words in zip(b["ids"], b["other_ids"], b["words"])]
-            yield pd.DataFrame({"doc": b["doc"], "gone": gone})
-
-    found = both.select("doc", "ids", "words", "other_ids").mapInPandas(aligned, "doc long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed")).withColumnRenamed("doc", "doc_id")
-
-
-def kept_text(text: Column, removed: Column) -> Column:
-    """The text without the removed sentences; a text that loses none is untouched, one that loses some loses its blank lines too."""
-    gone = F.map_from_arrays(removed, removed)
-    left = F.transform(F.array(F.struct(unit_array(text).alias("units"), gone.alias("gone"))), lambda s: F.filter(s["units"], lambda x, i: ~F.map_contains_key(s["gone"], i)))
-
-    def joined(units: Column) -> Column:
-        def told(x: Column, i: Column) -> Column:
-            raw = F.when(x["part"] > 0, F.ltrim(x["raw"])).otherwise(x["raw"])
-            return F.when(i == 0, raw).when(F.get(units, i - 1)["line"] != x["line"], F.concat(F.lit("\n"), raw)).otherwise(x["raw"])
-
-        return F.array_join(F.transform(units, told), "")
-
-    return F.when(removed.isNull(), text).otherwise(F.transform(left, joined)[0])
-
-
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text) with the kept text, and ``_removed``: the places of the sentences that went (null: none)."""
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc").withColumn("text", kept_text(F.col("text"), F.col("_removed")))
+            yield pd.DataFrame({"doc": b["doc"], "row": b["row"], "spans": [blocks(*found) for found in zip(*(b[c] for c in ("other", "begin", "end", "place", "often")))]})
+
+    return gathered.mapInPandas(diffed, "doc long, row long, spans array<struct<begin:int,end:int>>").where(F.size("spans") > 0)
+
+
+def blocks(other: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, often: np.ndarray) -> list[dict]:
+    """Deleted spans of a text, given its runs by the document that introduced them (ordered by it, then by place)."""
+    starts = np.flatnonzero(np.r_[True, other[1:] != other[:-1]])
+    pairs = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(other)])]
+    gone: list[tuple[int, int]] = []
+    for pair in sorted(pairs, key=lambda s: int(often[s].min())):
+        own = place[pair].tolist()
+        gone += [(int(begin[pair][i]), int(end[pair][i])) for i in aligned(own)]
+    spans: list[dict] = []
+    for a, b in sorted(gone):
+        if spans and a <= spans[-1]["end"]:
+            spans[-1]["end"] = max(spans[-1]["end"], b)
+        else:
+            spans.append({"begin": a, "end": b})
+    return spans
+
+
+def kept_text(text: Column, spans: Column) -> Column:
+    """The text without the spans; white space alone counts as nothing left. What is left of a line whose beginning went stays a line of its own."""
+    raw, blank = text.cast("binary"), F.lit(BLANK.decode())
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    upto = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(F.length(raw)))
+
+    def part(begin: Column, end: Column) -> Column:
+        return F.decode(F.substring(raw, begin + 1, end - begin), "utf-8")
+
+    def piece(a: Column, i: Column) -> Column:
+        kept, span = part(a, F.get(upto, i)), F.get(spans, i - 1)
+        bare = F.ltrim(kept, F.lit(BLANK.decode().replace("\n", "")))
+        broken = (i > 0) & part(span["begin"], span["end"]).contains("\n") & (bare != "") & ~bare.startswith("\n")
+        return F.when(broken, F.concat(F.lit("\n"), bare)).otherwise(kept)
+
+    left = F.array_join(F.transform(ends, piece), "")
+    left = F.when(F.get(spans, F.lit(0))["begin"] == 0, F.ltrim(left, blank)).otherwise(left)
+    return F.when(spans.isNull(), text).when(F.trim(left, blank) == "", "").otherwise(left)
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Column]:
+    """``docs`` (doc_id, text) with the kept text, and a column of it that holds the deleted spans (null: none).
+
+    The frame has the columns of ``docs`` under their own names and that of the
+    spans, whose name none of them has. Rows without doc_id or text stay as they
+    are, empty tables give none.
+    """
+    spans = unused("spans", docs)
+    gone = removals(docs, min_words).toDF("_doc", "_row", "_spans")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    wide = docs.select("*", row_key()).toDF(*names, "_key")
+    doc_id, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    held = wide.join(gone, (F.col(doc_id).cast("long") == F.col("_doc")) & (F.col("_key") == F.col("_row")), "left")
+    held = held.withColumn(text, kept_text(F.col(text), F.col("_spans"))).select(*names, "_spans").toDF(*docs.columns, spans)
+    return held, F.col(spans)

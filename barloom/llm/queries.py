@@ -35,14 +35,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold("doc_id", 4) == 2)
-    return found.select("doc_id", "_language.held_out", "_language.lang_pred", "_language.score", "_language.accepted")
+    found, name = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold("doc_id", 4) == 2)
+    return found.select("doc_id", f"{name}.held_out", f"{name}.lang_pred", f"{name}.score", f"{name}.accepted")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_removed, n_words, kept_sha256): the deleted sentences (a line without sentence ends is one), and the text that is left, its words and digest."""
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.greatest(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), mixing.size_of(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("kept_sha256"))
+    """(doc_id, n_removed, n_words, kept_sha256): the deleted spans, and the text that is left, its words and digest."""
+    found, spans = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.greatest(F.size(spans), F.lit(0)).cast("long").alias("n_removed"), mixing.size_of(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

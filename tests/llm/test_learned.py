@@ -71,25 +71,10 @@ def test_ftrl_keeps_few_weights():
     assert max(weight, key=lambda k: abs(weight[k])) in (7, 8)
 
 
-def test_dual_coordinate_descent_meets_its_optimum_conditions():
-    rng = np.random.default_rng(2)
-    rows = Sparse()
-    for i in range(200):
-        y = i % 2
-        rows.add(np.unique(np.append(rng.integers(10, 60, 6), [1] if y else [2])).astype(np.int32), y, 100, i)
-    ratio = rng.normal(size=1 << quality.BITS)
-    ratio[[1, 2]] = 2, -2
-    w, b = quality.descend(rows, ratio, rows.shuffled(0))
-    margins = []
-    for ids, y in zip(rows.ids, rows.y):
-        v = ratio[ids]
-        margins.append((2 * y - 1) * (w[ids] @ (v / np.sqrt((v * v).sum())) + b))
-    assert np.mean(np.array(margins) > 0) > 0.99
-
-
 def test_language_on_held_out_rows(tables):
     docs, _ = tables
-    got = language.identify(docs.select("doc_id", "text", "lang"), fold("doc_id", 4) == 2).select("doc_id", "lang", "_language.*").toPandas()
+    found, name = language.identify(docs.select("doc_id", "text", "lang"), fold("doc_id", 4) == 2)
+    got = found.select("doc_id", "lang", f"{name}.*").toPandas()
     held = got[got["held_out"]]
     assert (held["lang"] == held["lang_pred"]).mean() > 0.98
     assert got["score"].between(0, 1).all() and got["accepted"].mean() > 0.995
@@ -97,16 +82,17 @@ def test_language_on_held_out_rows(tables):
 
 def test_language_of_odd_rows(spark):
     known = [(100 + i, f"the words and of this {i} that were", "en") for i in range(30)] + [(200 + i, f"les mots et de la {i} que nous", "fr") for i in range(30)]
-    docs = docs_frame(spark, [*ODD, *known, (300, "unlabelled the words", None), (301, "日本語の文章です", None)])
-    got = language.identify(docs, fold("doc_id", 4) == 2)
-    assert got.columns == [*docs.columns, "_language"]
-    rows = {r["doc_id"]: r["_language"] for r in got.collect()}
+    docs = docs_frame(spark, [*ODD, *known, (300, "unlabelled the words", None), (301, "日本語の文章です", None)]).withColumnsRenamed({"size": "language", "place": "_guess"})
+    got, name = language.identify(docs, fold("doc_id", 4) == 2)
+    assert got.columns == [*docs.columns, name] and name not in docs.columns
+    rows = {r["doc_id"]: r[name] for r in got.collect()}
     assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 and not rows[i]["accepted"] for i in (1, 2, 3, 4, 5))
     assert rows[300]["lang_pred"] == "en" and rows[6]["lang_pred"] in ("en", "fr") and rows[301]["lang_pred"] in ("en", "fr")
     assert got.count() == len(ODD) + 62
-    nothing = language.identify(docs_frame(spark, ODD), fold("doc_id", 4) == 2).select("_language.*").toPandas()
+    found, name = language.identify(docs_frame(spark, ODD), fold("doc_id", 4) == 2)
+    nothing = found.select(f"{name}.*").toPandas()
     assert (nothing["lang_pred"] == "und").all() and not nothing["accepted"].any()
-    assert language.identify(docs_frame(spark, []), fold("doc_id", 4) == 2).count() == 0
+    assert language.identify(docs_frame(spark, []), fold("doc_id", 4) == 2)[0].count() == 0
 
 
 def test_noise_is_rejected():
