@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from typing import TypeVar
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.ranking import positional_split
@@ -18,6 +22,8 @@ from barloom.operators.technical import FEATURES, direction_from_prob
 from barloom.session import cut_lineage
 
 ROWS_PER_TASK = 50_000
+AT_ONCE, POOL = 4, "fits"
+T = TypeVar("T")
 
 
 @dataclass(frozen=True)
@@ -93,25 +99,52 @@ def train_eval(panel: DataFrame, cfg: Boosting = Boosting(), train_share: float
     return model, scored, quality
 
 
-def walk_forward(panel: DataFrame, cfg: Boosting = Boosting(rounds=300, step=0.05)) -> tuple[DataFrame, DataFrame]:
-    """(metrics per split, summary with verdict); one fit per test year.
+def in_parallel(tasks: Sequence[Callable[[], T]], at_once: int) -> list[T]:
+    """Results of ``tasks``, each a driver-side caller of Spark jobs, run ``at_once`` at a time in scheduler pools of their own.
 
-    The loop runs over the years covered, each fit is a distributed job.
+    A fit is a long row of short jobs that leave most cores idle; several of them
+    fill a cluster. The first failure is raised.
     """
-    rows = cut_lineage(panel)
-    scored, splits = None, ev.walk_forward_splits(rows)
-    for s in splits.orderBy("test_start").collect():
-        train = rows.where(F.col("date") < F.lit(s["test_start"]))
-        test = rows.where((F.col("date") >= F.lit(s["test_start"])) & (F.col("date") < F.lit(s["test_end"])))
-        if train.select("label").distinct().count() < 2:
-            part = test.select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret")
-        else:
-            part = score(fit(cfg, train), test)
-        part = part.withColumn("split", F.lit(s["split"]))
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        scored = rows.where(F.lit(False)).select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret", F.lit("").alias("split"))
-    metrics = cut_lineage(ev.split_metrics(cut_lineage(scored), splits))
+    session = SparkSession.active()
+
+    def pooled(k: int) -> Callable[[], T]:
+        def run() -> T:
+            session.sparkContext.setLocalProperty("spark.scheduler.pool", f"{POOL}-{k % at_once}")
+            return tasks[k]()
+
+        return inheritable_thread_target(session)(run)
+
+    if at_once <= 1:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(pooled(k)) for k in range(len(tasks))]]
+
+
+def scored_splits(rows: DataFrame, cfg: Boosting, at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """(scored test rows with their split, splits) of checkpointed ``rows``; the fits of all test years are independent and run together."""
+    splits = ev.walk_forward_splits(rows)
+
+    def fitted(split: Row) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            train = rows.where(F.col("date") < F.lit(split["test_start"]))
+            test = rows.where((F.col("date") >= F.lit(split["test_start"])) & (F.col("date") < F.lit(split["test_end"])))
+            if train.select("label").distinct().count() < 2:
+                part = test.select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret")
+            else:
+                part = score(fit(cfg, train), test)
+            return part.withColumn("split", F.lit(split["split"]))
+
+        return run
+
+    parts = in_parallel([fitted(s) for s in splits.orderBy("test_start").collect()], at_once)  # a split per year
+    if not parts:
+        parts = [rows.where(F.lit(False)).select("symbol", "date", F.lit(0.5).alias("proba"), F.lit(0).alias("pred"), "label", "fwd_ret", F.lit("").alias("split"))]
+    return cut_lineage(reduce(DataFrame.unionByName, parts)), splits
+
+
+def walk_forward(panel: DataFrame, cfg: Boosting = Boosting(rounds=300, step=0.05), at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame]:
+    """(metrics per split, summary with verdict); one fit per test year, ``at_once`` of them at a time."""
+    metrics = cut_lineage(ev.split_metrics(*scored_splits(cut_lineage(panel), cfg, at_once)))
     return metrics, ev.summarise_splits(metrics)
 
 
@@ -123,6 +156,20 @@ def train_final(panel: DataFrame, metrics: DataFrame, cfg: Boosting = Boosting()
     return fit(cfg, cut_lineage(panel))
 
 
+def walk_forward_run(panel: DataFrame, walk: Boosting = Boosting(rounds=300, step=0.05), final: Boosting = Boosting(), at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame, PipelineModel | None]:
+    """(metrics, summary, final model or None): features are stored once, the final fit is gated on the same run's rank correlation."""
+    rows = cut_lineage(panel)
+    metrics, summary = walk_forward(rows, walk, at_once)
+    return metrics, summary, train_final(rows, metrics, final)
+
+
+def run_record(panel: DataFrame, summary: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """One row: (mean_ic, verdict, fitted, n_rows, n_trees) of a run and what its final fit saw."""
+    trees = model.stages[-1].getNumTrees if model is not None else 0
+    size = panel.agg(F.count("*").alias("n")).scalar()
+    return summary.select("mean_ic", "verdict", F.lit(model is not None).alias("fitted"), F.when(F.lit(model is not None), size).otherwise(0).cast("long").alias("n_rows"), F.lit(trees).alias("n_trees"))
+
+
 def importances(model: PipelineModel) -> DataFrame:
     """(feature, importance), largest first."""
     values = model.stages[-1].featureImportances.toArray()

@@ -200,6 +200,13 @@ def _(t: Tables) -> DataFrame:
     return modeling.walk_forward(full_panel(t), WALK)[0]
 
 
+@query("d27_train_final")
+def _(t: Tables) -> DataFrame:
+    panel = full_panel(t)
+    _, summary, model = modeling.walk_forward_run(panel, WALK, TRAIN)
+    return modeling.run_record(panel, summary, model)
+
+
 @query("a21_importances")
 def _(t: Tables) -> DataFrame:
     return modeling.importances(modeling.train_eval(full_panel(t), TRAIN)[0])

@@ -9,8 +9,8 @@ from barloom.operators import hrp, pairs, portfolio, risk
 from barloom.operators import technical as tech
 from barloom.plans.cte import cte, pyround
 from barloom.plans.registry import query
-from barloom.session import keep
-from barloom.sources import readers
+from barloom.session import keep, shared_folder
+from barloom.sources import readers, sinks
 from barloom.sources.dims import styles, watchlist
 from barloom.sources.tables import BARS_ASOF, Tables
 
@@ -406,6 +406,24 @@ def _(t: Tables) -> DataFrame:
     return rows.join(state.select("account", "equity", "starting_equity"), "account")
 
 
+@query(
+    "s13_portfolio_state",
+    f"""SELECT symbol, close AS entry_price, {pyround('sh', 2)} AS shares, 100000.0::DOUBLE AS equity, 120000.0::DOUBLE AS starting_equity FROM (
+        SELECT symbol, close, 100000.0::DOUBLE*w/close AS sh FROM (SELECT symbol, arg_max(close, date) AS close, CAST(arg_max(volume, date) % 9 AS DOUBLE)/100 AS w FROM bars GROUP BY 1) WHERE w > 0)""",
+    "bars",
+    "shares",
+)
+def _(t: Tables) -> DataFrame:
+    """A day's snapshot written twice (the second replaces the first) and read again."""
+    folder, latest = shared_folder(t.spark), tech.latest_per_symbol(t.bars())
+    before = t.spark.range(1).select(F.lit(120_000.0).alias("starting_equity"))
+    for scale in (50, 100):
+        weights = latest.select("symbol", ((F.col("volume") % 9) / scale).alias("weight"))
+        sinks.write_portfolio_state(*portfolio.snapshot_positions(weights, latest, 100_000.0, BARS_ASOF, before), folder, BARS_ASOF)
+    rows, account = sinks.read_portfolio_snapshot(t.spark, folder, BARS_ASOF)
+    return rows.select("symbol", "entry_price", "shares").crossJoin(F.broadcast(account.select("equity", "starting_equity")))  # one account
+
+
 @query(
     "d40_account_holdings",
     f"""SELECT account, symbol, {pyround('w', 4)} AS weight, greatest(0.0::DOUBLE, {pyround('c', 1)}) AS cash_pct FROM (

@@ -9,7 +9,10 @@ from barloom.operators import answers, logs, portfolio, rollup
 from barloom.plans.cte import cte, pyround
 from barloom.plans.portfolios import merged
 from barloom.plans.registry import query
+from barloom.session import shared_folder
+from barloom.sources import readers, sinks
 from barloom.sources.dims import watchlist
+from barloom.sources.snapshots import SnapshotStore
 from barloom.sources.tables import Tables
 
 _STOCK = "agent IN ('News-Sentiment','Technical-Forecaster','Fundamentals')"
@@ -186,6 +189,52 @@ def _(t: Tables) -> DataFrame:
     return logs.violations(final, watchlist(t.spark), ["run_date"]).drop("weight")
 
 
+# -- written and read again ----------------------------------------------------------------
+
+
+@query("s10_append_agent_log", f"SELECT {_BY}, seq, agent, ticker, sentiment_score FROM agent_log", "agent_log")
+def _(t: Tables) -> DataFrame:
+    """The log appended in two goes, a score that is no number in the second, and read back from its files."""
+    folder = shared_folder(t.spark)
+    log = t.agent_log().withColumn("score", F.when(F.col("seq") % 2 == 1, F.lit(float("nan"))).otherwise(0.5))
+    for part in range(2):
+        sinks.append_agent_log(log.where(F.col("seq") % 2 == part), folder)
+    back = t.spark.read.schema("desk string, run_date date, seq long, agent string, data string, ts string, score double").json(folder)
+    kept = back.where((F.col("seq") % 2 == 0) == F.col("score").isNotNull())  # what is no number comes back as NULL
+    return kept.select(
+        "desk", "run_date", "seq", "agent", F.get_json_object("data", "$.ticker").alias("ticker"),
+        F.get_json_object("data", "$.sentiment_score").try_cast("double").alias("sentiment_score"),
+    )
+
+
+@query("s09_read_agent_log", f"SELECT run_date, agent, count(*) AS n, max(seq) AS last FROM agent_log WHERE desk = 'D1' GROUP BY ALL", "agent_log")
+def _(t: Tables) -> DataFrame:
+    """One desk's log as a whole-file array per day, read back beside a file that is no JSON."""
+    folder = shared_folder(t.spark)
+    entry = F.struct("seq", "agent", F.to_json(F.struct("seq")).alias("data"), F.col("ts").alias("timestamp"))
+    day = t.agent_log().where("desk = 'D1'").groupBy("run_date").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value"))  # by the format, a desk's day is one file
+    broken = t.spark.range(1).select(F.lit("1999-01-01").cast("date").alias("run_date"), F.lit("[{not json").alias("value"))
+    day.unionByName(broken).repartition("run_date").write.partitionBy("run_date").text(folder)
+    log = readers.read_agent_log(t.spark, folder)
+    return log.groupBy("run_date", "agent").agg(F.count("*").alias("n"), F.max(F.get_json_object("data", "$.seq").cast("long")).alias("last"))
+
+
+@query(
+    "u07_snapshot_store",
+    f"SELECT {_BY}, count(*) AS total_entries, max(seq) AS last_seq FROM agent_log GROUP BY ALL HAVING NOT (max(seq) % 5 = 0)",
+    "agent_log",
+)
+def _(t: Tables) -> DataFrame:
+    """Logs upserted in six commits as they grow; those whose last entry is the fifth, tenth, ... are deleted in the end."""
+    store = SnapshotStore(t.spark, shared_folder(t.spark), ["desk", "run_date"])
+    log = t.agent_log()
+    for k in range(6):
+        seen = log.where(F.pmod(F.xxhash64("seq"), F.lit(6)) <= k)
+        rows = seen.groupBy("desk", "run_date").agg(F.count("*").alias("total_entries"), F.max("seq").alias("last_seq"))
+        store.upsert(rows.withColumn("_deleted", F.lit(k == 5) & (F.col("last_seq") % 5 == 0)), batch=k)
+    return store.read()
+
+
 # -- rollup -----------------------------------------------------------------------------
 
 cte(

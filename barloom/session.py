@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,14 @@ def local_session(cores: str = "*", app: str = "barloom", shuffle_partitions: in
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below the one that ``spark.checkpoint.dir`` names; a local session without it gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{shared or tempfile.mkdtemp(prefix='barloom-shared-')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -143,7 +143,7 @@ def read_fundamentals(raw: DataFrame) -> DataFrame:
 
 
 def read_agent_log(spark: SparkSession, path: str) -> DataFrame:
-    """Whole-file JSON arrays ``<run_date>.json``; corrupt files yield no entries.
+    """Whole-file JSON arrays whose path names their run date (the last date in it counts); corrupt files yield no entries.
 
     ``seq`` is the position inside the file: files are not split, and the id
     generated within one partition follows read order.
@@ -153,10 +153,10 @@ def read_agent_log(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", True)
         .option("mode", "DROPMALFORMED")
         .json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("seq"))
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("seq"))
     )
     return entries.select(
-        F.regexp_extract("_file", r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date").alias("run_date"),
+        F.regexp_extract("_file", r".*(\d{4}-\d{2}-\d{2})", 1).try_cast("date").alias("run_date"),
         "seq",
         "agent",
         "data",

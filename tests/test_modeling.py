@@ -67,3 +67,37 @@ def test_fit_releases_its_rows_and_keeps_large_panels_spread(spark, panel, monke
     monkeypatch.setattr(modeling, "ROWS_PER_TASK", 500)
     modeling.fit(modeling.Boosting(rounds=1), panel.repartition(12))
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_concurrent_fits_equal_the_serial_ones(spark):
+    import time
+
+    from barloom.operators import modeling
+    from barloom.plans.signals import full_panel
+    from barloom.session import cut_lineage
+    from barloom.sources.tables import Tables
+
+    panel = cut_lineage(full_panel(Tables(spark, "/root/testdata/sf0.01")))
+    few = modeling.Boosting(rounds=3, depth=2, step=0.05)
+    modeling.walk_forward(panel, few, at_once=2)
+    took, found = {}, {}
+    for at_once in (1, 4):
+        start = time.perf_counter()
+        metrics, summary, model = modeling.walk_forward_run(panel, few, few, at_once)
+        took[at_once] = time.perf_counter() - start
+        found[at_once] = (sorted(map(tuple, metrics.collect())), modeling.run_record(panel, summary, model).first())
+    assert found[1] == found[4] and len(found[1][0]) > 1
+    mean_ic, fitted, n_rows, n_trees = (found[4][1][c] for c in ("mean_ic", "fitted", "n_rows", "n_trees"))
+    assert fitted == (mean_ic > 0) and (n_rows, n_trees) == ((panel.count(), 3) if fitted else (0, 0))
+    assert took[4] < took[1]
+
+
+def test_a_failing_fit_is_raised(spark):
+    from barloom.operators import modeling
+
+    def bad():
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        modeling.in_parallel([lambda: 1, bad, lambda: 2], 2)
+    assert modeling.in_parallel([lambda k=k: spark.range(k).count() for k in range(5)], 3) == [0, 1, 2, 3, 4]
