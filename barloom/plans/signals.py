@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import events, factors, insider, macro, news, options, universe
+from barloom.operators import events, factors, insider, live, macro, news, options, universe
 from barloom.operators import technical as tech
 from barloom.plans.cte import SW, clip, cte, pyround, sigmoid
 from barloom.plans.registry import query
 from barloom.plans.windows import base_panel
+from barloom.session import shared_folder
 from barloom.sources import readers
 from barloom.sources.dims import watchlist
+from barloom.sources.snapshots import SnapshotStore
 from barloom.sources.tables import BARS_ASOF, EVENTS_ASOF, Tables
 
 SCREEN_SINCE = "2000-09-04"  # 14 months before BARS_ASOF, on the raw column
 TURNOVER = 45_000.0  # the screen's dollar-volume floor at the scale of supplier bars
 YEAR_DAYS = 1400  # calendar days that hold about 300 bars of a supplier
+LIVE_CUTS, LIVE_REACH = ("2001-10-15", "2001-10-25"), "2001-09-01"  # days up to which states are advanced, and from when indices are read for that
 
 # -- insider -------------------------------------------------------------------
 
@@ -157,6 +160,39 @@ def _(t: Tables) -> DataFrame:
     return tech.latest_per_symbol(full_panel(t))
 
 
+cte(
+    "live_side",
+    f"""SELECT symbol, coalesce({pyround('surprise', 4)}, 0.0) AS earnings_surprise_pct, {pyround('sig', 4)} AS pead_signal FROM (
+        SELECT symbol, ls AS surprise, CASE WHEN ls >= 0.05 AND days BETWEEN 0 AND 60 THEN greatest(0.0::DOUBLE, 1.0-days/60.0::DOUBLE)*least(1.0::DOUBLE, ls/0.15::DOUBLE) ELSE 0.0 END AS sig
+        FROM (SELECT symbol, lr, ls, DATE '{BARS_ASOF}' - lr AS days FROM earn_last))""",
+    "earn_last",
+)
+cte("live_trend", f"SELECT symbol, {pyround('r', 3)} AS gtrends_spike_ratio, f AS gtrends_spike_flag FROM (SELECT symbol, arg_max(gtrends_spike_ratio, week) AS r, arg_max(gtrends_spike_flag, week) AS f FROM trends GROUP BY 1)", "trends")
+
+
+@query(
+    "d03_live_state",
+    f"""SELECT f.symbol, f.date, {', '.join('f.' + c for c in tech.BASE_FEATURES)}, coalesce(e.earnings_surprise_pct, 0.0) AS earnings_surprise_pct, coalesce(e.pead_signal, 0.0) AS pead_signal,
+        coalesce(g.gtrends_spike_ratio, 1.0) AS gtrends_spike_ratio, coalesce(g.gtrends_spike_flag, 0.0) AS gtrends_spike_flag, coalesce(i.insider_score, 0.0) AS insider_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM features) f LEFT JOIN live_side e USING (symbol) LEFT JOIN live_trend g USING (symbol)
+        LEFT JOIN insider_score i USING (symbol) WHERE back = 1""",
+    "features live_side live_trend insider_score",
+    " ".join(f"{c}:{4 if c == 'macd_hist' else 6}" for c in tech.FEATURES),
+)
+def _(t: Tables) -> DataFrame:
+    """The state of the history up to a day, advanced by two stretches of new days that alone are read."""
+    store = SnapshotStore(t.spark, shared_folder(t.spark), ["symbol"])
+    days = [None, *LIVE_CUTS, BARS_ASOF]
+    for after, upto in zip(days, days[1:]):
+        bars = t.bars(since=after).where(F.col("date") <= F.lit(upto).cast("date"))
+        indices, vix = t.indices(since=after and LIVE_REACH), t.vix(since=after and LIVE_REACH)
+        store.upsert(live.advance(store.read() if after else None, bars, t.dims(), indices, vix))
+    return live.live_features(
+        store.read(), readers.read_earnings(t.earnings()), tech.weekly_trends(t.interest()),
+        insider.insider_signal(readers.read_insider_tx(t.insider_tx()), EVENTS_ASOF), BARS_ASOF,
+    )
+
+
 @query(
     "j13_snapshot_to_all_dates",
     "SELECT b.symbol, b.date, coalesce(i.insider_score, 0.0) AS insider_score FROM bars b LEFT JOIN insider_score i USING (symbol)",

@@ -100,9 +100,9 @@ class Tables:
         """(sector, date, close, volume)."""
         return self._placed().groupBy("sector", "date").agg(*self._bar())
 
-    def indices(self) -> DataFrame:
+    def indices(self, since: str | None = None) -> DataFrame:
         """(index, date, close): every sector and the market ``MKT``, in one pass."""
-        rolled = self._placed().rollup("date", "sector").agg(F.grouping("sector").alias("_all"), *self._bar())
+        rolled = self._placed(since=since).rollup("date", "sector").agg(F.grouping("sector").alias("_all"), *self._bar())
         return rolled.where(F.col("date").isNotNull()).select(
             F.when(F.col("_all") == 1, "MKT").otherwise(F.col("sector")).alias("index"), "date", "close"
         )
@@ -116,9 +116,11 @@ class Tables:
         return self._placed("l_linestatus", since=since).groupBy(F.concat_ws("-", "sector", "l_linestatus").alias("symbol"), "date").agg(*self._bar())
 
     # -- macro --------------------------------------------------------------
-    def vix(self) -> DataFrame:
+    def vix(self, since: str | None = None) -> DataFrame:
         """(date, close) fear gauge."""
         rows = self.raw("lineitem").where("l_linestatus = 'O' and l_returnflag = 'R'")
+        if since:
+            rows = rows.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
         return rows.groupBy(_date("l_shipdate").alias("date")).agg(
             (_scaled(F.sum(_units("l_discount", RATE_UNITS)), RATE_UNITS) / F.count("*") * 400).alias("close")
         )
