@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,6 +228,30 @@ def _(t: Tables) -> DataFrame:
     return memory.similar_decisions(store, store.where("id = 0"), 20).select("id", "distance")
 
 
+cte("vectors", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
+
+
+@query(
+    "j14_similar_batch",
+    """SELECT probe, id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, id) AS rank FROM (
+        SELECT q.id AS probe, e.id, 1.0::DOUBLE - list_dot_product(e.v, q.v)/sqrt(list_dot_product(e.v, e.v)*list_dot_product(q.v, q.v)) AS distance FROM vectors q, vectors e WHERE q.id % 10 = 3)) WHERE rank <= 5""",
+    "vectors",
+    "distance",
+)
+def _(t: Tables) -> DataFrame:
+    placed, regions = memory.pivot_store(t.decisions())
+    return memory.similar_batch(placed, regions, t.decisions().where("id % 10 = 3"), 5)[0]
+
+
+@query("j14_similar_lsh", "SELECT count(*) = 5 AS all_found, bool_and(distance < 2) AS near FROM (SELECT * FROM cosine ORDER BY distance, id LIMIT 5)", "cosine")
+def _(t: Tables) -> DataFrame:
+    """The approximate search finds as many, and nothing but rows of the store."""
+    probe = t.decisions().where("id = 0").select("embedding").first()["embedding"]
+    norm = sum(x * x for x in probe) ** 0.5
+    found = memory.similar_decisions_lsh(t.decisions(), Vectors.dense([x / norm for x in probe]), 5)
+    return found.agg((F.count("*") == 5).alias("all_found"), F.coalesce(F.every(F.col("distance") < 2), F.lit(False)).alias("near"))
+
+
 @query(
     "d41_memory_lines",
     """SELECT id, '  [' || id || '] ' || upper(['aggressive','balanced','conservative'][id % 3 + 1]) || CASE WHEN label <> 4 THEN ' | PnL: ' || printf('%+.2f', (label-4)/4.0::DOUBLE) || '%' ELSE '' END || ': ' || 'decision ' || id AS line
