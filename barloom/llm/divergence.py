@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import small_side, stored
 
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
-HELD_TERMS, HELD_BYTES = 500_000, 1 << 27  # a task passes its counters on at so many, or after so much text
+HELD_TERMS, HELD_BYTES = 300_000, 1 << 27  # a task passes its counters on at so many, or after so much text
 BUCKET_ROWS = 200_000  # counts in a bucket of terms
 PAIRS = 1 << 20  # pairs of counts evaluated at a time
 PART = 1 << 20  # bytes of a text that are split at a time

@@ -39,17 +39,19 @@ def gram(parts: list[np.ndarray], kind: int, bits: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """(y, text, n): at most ``rows / 2`` labelled texts of either class, picked by a hash of doc_id; n: rows of the class.
+    """(y, text, n, doc_id): at most ``rows / 2`` labelled texts of either class, picked by a hash of doc_id; n: rows of the class.
 
     ``learn`` says which doc_ids may be learned from. The picks are at most ``rows``
-    ids, so they are broadcast; each class is limited on the map side.
+    ids, so they are broadcast; each class is limited on the map side. Of rows with
+    one doc_id the least text counts, which is settled before the shuffle.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picks = known.where("y = 0").orderBy(*order).limit(rows // 2).unionByName(known.where("y = 1").orderBy(*order).limit(rows // 2))
     sizes = known.groupBy("y").agg(F.count("*").alias("n"))
     picks = picks.join(F.broadcast(sizes), "y")  # two rows
-    return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("y", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "n", "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(picks), "doc_id")
+    return found.groupBy("y", "n", "doc_id").agg(F.min("text").alias("text"))
 
 
 class Sparse:

@@ -21,7 +21,7 @@ from barloom.llm.common import small_side, stored
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # hundredths of the positive's score that a negative's score lies between
-BLOCK_ROWS, ANCHOR_ROWS = 65_536, 4_096
+BLOCK_ROWS, ANCHOR_ROWS = 16_384, 4_096
 STEP = 8  # dimensions between two looks at the bounds
 WIDEST = 1 << 31  # a row's largest code times the square root of its length stays below this, so that no score leaves a long
 

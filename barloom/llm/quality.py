@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from barloom.llm.common import stored
 from barloom.llm.features import PLAIN, Remembered, Sparse, gram, labelled_sample, word_hash
 
 BITS = 18
 SAMPLE_ROWS = 12_000  # most labelled rows that are fitted
-COST, PASSES, SMOOTH = 1.0, 12, 1.0
+COST, PASSES, SMOOTH = 1.0, 60, 1.0
+TOLERANCE = 0.05  # descent ends when no dual variable is further than this from its optimum condition
 
 
 def shape(word: bytes) -> int:
@@ -72,14 +74,19 @@ def descend(rows: Sparse, ratio: np.ndarray, order: list[int]) -> tuple[np.ndarr
         v = ratio[ids]
         values.append(v / max(np.sqrt((v * v).sum()), 1e-6))
     for turn in range(PASSES):
+        worst = 0.0
         for r in order if turn % 2 == 0 else order[::-1]:
             y, ids, v = 2 * rows.y[r] - 1, rows.ids[r], values[r]
             gradient = y * (w[ids] @ v + bias) - 1
+            # what a move could gain: none below at 0, none above at COST
+            worst = max(worst, -gradient if dual[r] < COST else 0.0, gradient if dual[r] > 0 else 0.0)
             new = min(max(dual[r] - gradient / 2.0, 0.0), COST)
             if new != dual[r]:
                 move, dual[r] = (new - dual[r]) * y, new
                 w[ids] += move * v
                 bias += move
+        if worst < TOLERANCE:
+            break
     return w, bias
 
 
@@ -135,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             m = Model(zero, zero, 0.0, 1.0, 0.0 if not rows.y else 4.0 * (2 * rows.y[0] - 1))
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "squares": [m.squares.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    sample = labelled_sample(docs, labels, label, learn, sample_rows).mapInPandas(featured, "y int, n long, doc_id long, ids array<int>")
+    # written out, so that tables are read and features made in parallel and only the bounded sample goes to one task
+    sample = stored(labelled_sample(docs, labels, label, learn, sample_rows).mapInPandas(featured, "y int, n long, doc_id long, ids array<int>"))
     row = sample.coalesce(1).mapInPandas(one, "weights binary, squares binary, bias double, slope double, shift double").first()
     if row is None:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0)
@@ -159,7 +167,7 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: i
     ``held_out`` is a condition on doc_id; those rows are never learned from. Null
     and empty texts get the score of a text without features. A row without doc_id
     is not held out and not learned from. Labels other than 0 and 1 are ignored;
-    a doc_id with both labels counts once for each.
+    a doc_id with both labels counts once for each, and of repeated rows the least text.
     """
     model = fit(docs, labels, ~held_out, sample_rows=sample_rows)
     scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score(F.col("text"), model, docs.sparkSession).alias("score"))

@@ -1,8 +1,12 @@
-"""Near-duplicates by the share of common word shingles: MinHash bands find the pairs, exact Jaccard similarity decides.
-
-A pair at the least similarity shares no band about once in 300 000. Texts of
-a bucket are compared with its first one; then only those that are not connected
-yet are compared with each other, so a group of any size stays near linear.
+"""Near-duplicates at a given share of common five-word shingles: fingerprints find the pairs, exact Jaccard similarity decides.
+
+SimHash fingerprints of the shingles go through the vantage-point tree at the
+radius it can prune; pairs at the least similarity differ in some ten of 64 bits, where
+no such tree prunes, so bands of MinHash values propose the others (a pair at the least similarity
+shares no band about once in 300 000). Texts of a band's bucket are compared with its
+first one; what a bucket then still holds in several classes is dealt into chunks,
+and a task compares two chunks on an index of their shingles. Tasks return one link
+per text, never pairs, and a set of shingles is sent once per chunk pair.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, stored
+from barloom.llm import simhash
+from barloom.llm.common import components, join_labels, stored
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR, RADIUS = 5, 0.8, 2
 BANDS, ROWS = 24, 4
+CHUNK_ROWS = 4_096
 _FACTORS, _SHIFTS = (np.array([[xxhash.xxh64_intdigest(f"{kind}{i}") | 1] for i in range(BANDS * ROWS)], np.uint64) for kind in ("factor", "shift"))
 
 
@@ -45,13 +51,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def near_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+def classes(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray, same: bool, least: float) -> np.ndarray:
+    """Labels after all similar pairs of sets are joined: of any two, or (not ``same``) of one of ``side`` and one that is not.
+
+    An index from shingles to sets gives the common shingles of one set with all others at once.
+    """
+    sizes = np.array([len(s) for s in sets])
+    token, of = np.unique(np.concatenate(sets), return_inverse=True) if len(sets) else (np.empty(0), np.empty(0, np.int64))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(of, kind="stable")
+    held, start = owner[order], np.r_[0, np.cumsum(np.bincount(of, minlength=len(token)))]
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(side):
+        mine = of[ends[i] - sizes[i] : ends[i]]
+        many = start[mine + 1] - start[mine]
+        at = np.repeat(start[mine] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(mine) else np.empty(0, np.int64)
+        both = np.bincount(held[at], minlength=len(sets))
+        union = sizes + sizes[i] - both
+        near = np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least
+        near &= labels != labels[i]
+        if not same:
+            near &= ~side
+        js = np.flatnonzero(near)
+        if len(js):
+            labels = join_labels(labels, np.full(len(js), i), js)
+    return labels
+
+
+def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(a, b) links of a group of one bucket: rows (node, part, one, two, chunk, s) of two chunks, or of one."""
+    if pdf["part"].nunique() < 2:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    first = np.unique(pdf["part"].to_numpy(), return_index=True, return_inverse=True)
+    labels = first[1][first[2]]
+    same = pdf["one"].iloc[0] == pdf["two"].iloc[0]
+    found = classes([np.asarray(s, np.int64) for s in pdf["s"]], labels.copy(), (pdf["chunk"] == pdf["one"]).to_numpy(), bool(same), least)
+    at = np.flatnonzero(found != labels)
+    node = pdf["node"].to_numpy()
+    return pd.DataFrame({"a": node[at], "b": node[found[at]]})
+
+
+def near_links(texts: DataFrame, least: float = SIMILAR, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(a, b) links that connect the nodes of ``texts`` (node, text; equal texts have one node) as all similar pairs would."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [bands(shingles(t)) for t in b["text"]]
-            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), BANDS), "key": np.array(keys, np.int64).reshape(-1)})
+            found = [shingles(t) for t in b["text"]]
+            keys = np.array([bands(s) for s in found], np.int64).reshape(-1)
+            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), BANDS), "n": np.repeat([len(s) for s in found], BANDS), "key": keys})
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -63,37 +110,46 @@ def near_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
             yield pd.DataFrame({"node": b["node"], "s": [shingles(t).view(np.int64) for t in b["text"]]})
 
     raw = texts.select("node", F.col("text").cast("binary").alias("text"))
-    keys = stored(raw.mapInPandas(keyed, "node long, key long"))
-    heads = stored(keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
-    met = stored(keys.join(heads, "key").select("key", "node", "head").distinct())
-    asked = met.select("node").distinct()  # also holds the heads
+    prints = stored(texts.select("node", simhash.fingerprint(F.col("text"), SHINGLE).alias("fp")))
+    alike = prints.groupBy("fp").agg(F.min("node").alias("node"))
+    routed = simhash.near_links(alike, RADIUS).unionByName(prints.join(alike.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
+    keys = stored(raw.mapInPandas(keyed, "node long, n int, key long"))
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node < last")
+    heads = stored(heads.select("key", F.col("first.node").alias("head"), F.col("first.n").alias("head_n")))
+    met = stored(keys.join(heads, "key").select("key", "node", "head", F.least("n", "head_n").alias("low"), F.greatest("n", "head_n").alias("high")).distinct())
+    routed = stored(routed.where("a != b").distinct())
+    asked = met.select("node").unionByName(routed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()  # also holds the heads
     held = stored(raw.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(sets, "node long, s array<long>"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.withColumnRenamed("node", "a"), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-        return stored(both.select("a", "b", "s", "t").mapInPandas(measured, "a long, b long"))
+    # sets whose sizes differ by more cannot be similar; so a long first one is never sent to short ones
+    pairs = met.where((F.col("node") != F.col("head")) & (F.col("low") >= least * F.col("high") - 1)).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = pairs.unionByName(routed).distinct()
+    both = pairs.join(held.withColumnRenamed("node", "a"), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    near = stored(both.select("a", "b", "s", "t").mapInPandas(measured, "a long, b long"))
 
-    near = confirmed(met.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    part = met.join(stored(components(near)), "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("part"))
-    split = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rest = stored(part.join(split, "key", "left_semi").where("node != head"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("part").alias("other"))
-    more = rest.withColumnRenamed("node", "a").join(other, "key").where("a < b and part != other").select("a", "b").distinct()
-    return near.unionByName(confirmed(more))
+    part = met.join(stored(components(near)), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    rest = stored(part.join(split.where("low < high").select("key", "chunks"), "key"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = rest.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.join(held, "node").select("key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "node", "part", "s")
+    return near.unionByName(dealt.groupBy("key", "one", "two").applyInPandas(lambda pdf: compare(pdf, least), "a long, b long"))
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates of ``docs`` (doc_id, text): the one with the least doc_id (rows without come last), then text hash.
 
-    A group is what similar pairs connect; null texts count as empty, and texts without words are alike.
+    A group is what similar pairs connect; null texts count as empty, and texts
+    without words are alike. Repeated rows leave one; other columns come along, whatever their names.
     """
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    wide = docs.toDF(*names).withColumn("_node", F.xxhash64(F.coalesce(text, F.lit(""))))
+    texts = wide.select(F.col("_node").alias("node"), F.coalesce(text, F.lit("")).alias("text"))
     found = components(near_links(texts, least))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"))
+    rows = wide.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_node").alias("node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("first")
     heads = rows.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(first)
     heads = heads.select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_head"))
-    kept = docs.withColumn("_node", node)
-    kept = kept.join(heads, (F.col("_node") == F.col("_head")) & kept["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_node"]).drop("_node")
+    kept = wide.join(heads, (F.col("_node") == F.col("_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_node"]).select(*names).toDF(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from barloom.llm.common import stored
 from barloom.llm.features import PLAIN, Remembered, Sparse, gram, labelled_sample
 
 BITS = 18
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         else:
             yield pd.DataFrame({"ids": [[]], "weights": [[]], "bias": [0.0 if not rows.y else 4.0 * (2 * rows.y[0] - 1)]})
 
-    sample = labelled_sample(docs, labels, label, learn, sample_rows).mapInPandas(featured, "y int, n long, doc_id long, ids array<int>")
+    # written out, so that tables are read and features made in parallel and only the bounded sample goes to one task
+    sample = stored(labelled_sample(docs, labels, label, learn, sample_rows).mapInPandas(featured, "y int, n long, doc_id long, ids array<int>"))
     row = sample.coalesce(1).mapInPandas(fitted, "ids array<int>, weights array<double>, bias double").first()
     if row is None:
         return Model(np.empty(0, np.int32), np.empty(0), 0.0)
@@ -123,7 +125,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows:
     ``held_out`` is a condition on doc_id; those rows are never learned from. Null
     and empty texts get the score of a text without features. A row without doc_id
     is not held out and not learned from. Labels other than 0 and 1 are ignored;
-    a doc_id with both labels counts once for each.
+    a doc_id with both labels counts once for each, and of repeated rows the least text.
     """
     model = fit(docs, labels, ~held_out, sample_rows=sample_rows)
     scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score(F.col("text"), model, docs.sparkSession).alias("score"))
