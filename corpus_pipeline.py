@@ -15,16 +15,17 @@ from barloom.llm.common import fold, stored, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the rejected ones go."""
-    return language.identify(docs, fold("doc_id", 4) == 2).where("_language.accepted").select(*docs.columns)
+    """Documents whose language is recognised; the rejected ones, null texts and texts without letters among them, go."""
+    found, name = language.identify(docs, fold("doc_id", 4) == 2)
+    return found.where(F.col(name)["accepted"]).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that earlier ones have; a document of which nothing is left goes."""
-    found = lines.deduplicated(docs)
-    found = found.where("_removed is null or text != ''")
+    """Documents without the passages that earlier ones have; a document of which nothing is left goes, untouched ones stay, null texts too."""
+    found, spans = lines.deduplicated(docs)
+    found = found.where(spans.isNull() | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
+        found = found.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return found.select(*docs.columns)
 
 
