@@ -21,7 +21,7 @@ from barloom.functions.series import (
     with_row_index,
 )
 from barloom.operators.earnings import earnings_facts, score_pead
-from barloom.session import SMALL_SIDE_ROWS, keep
+from barloom.session import SMALL_SIDE_ROWS, cut_lineage
 from barloom.sources.readers import trailing_bars
 
 # --- fixed values -----------------------------------------------------------
@@ -111,12 +111,11 @@ def index_panel(indices: DataFrame) -> DataFrame:
 def index_calendar(indices: DataFrame, vix: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """One row per index and day with all a panel row takes from indices, and the list of indices.
 
-    The calendar (bench, date, sector_ret_5d, spy_ret_5d, _spy_fwd, vix) is hinted
-    for a broadcast only if the counted indices times days are within the bound.
-    The index rows are kept, as they are read for the calendar, its days and the count.
+    The calendar (bench, date, sector_ret_5d, spy_ret_5d, _spy_fwd, vix) is written
+    once, so that a panel reads one small table for it, whatever it was made from. It is hinted for a
+    broadcast only if its counted rows are within the bound.
     """
-    kept = keep(indices.select("index", "date", "close"))
-    size = kept.agg(F.count_distinct("index").alias("n"), F.count_distinct("date").alias("d")).first()
+    kept = cut_lineage(indices.select("index", "date", "close"))
     days = Window.partitionBy("date")
     is_market = F.col("index") == "MKT"
     calendar = index_panel(kept).select(
@@ -130,7 +129,8 @@ def index_calendar(indices: DataFrame, vix: DataFrame | None) -> tuple[DataFrame
         calendar = calendar.withColumn("vix", F.lit(DEFAULT_VIX))
     else:
         calendar = calendar.join(vix.select("date", F.col("close").alias("vix")), "date")
-    if size["n"] * size["d"] <= SMALL_SIDE_ROWS:
+    calendar = cut_lineage(calendar)
+    if calendar.count() <= SMALL_SIDE_ROWS:
         calendar = F.broadcast(calendar)
     return calendar, kept.select(F.col("index").alias("_bench")).distinct()
 

@@ -71,6 +71,13 @@ def test_only_one_placement_of_the_bars(spark, sf_dir):
     assert plan.count("hashpartitioning(symbol") - plan.count("InMemory") <= 3
 
 
+def test_the_panel_reads_its_calendar_once(spark, sf_dir):
+    """Bars and the three dimension tables are the only scans, what comes from indices is one written table."""
+    t = Tables(spark, sf_dir)
+    plan = tech.technical_features(t.bars(), t.dims(), t.indices(), t.vix())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange hashpartitioning") <= 5 and plan.count("BroadcastExchange") <= 4
+
+
 def test_row_limits_run_ahead_of_the_shuffle(spark, sf_dir):
     """A hot symbol or log ships a bounded number of rows per input partition."""
     from barloom.operators import logs, news, universe
