@@ -93,6 +93,20 @@ def _(t: Tables) -> DataFrame:
     return readers.read_fundamentals(t.fundamentals())
 
 
+@query(
+    "s08_read_quotes",
+    """SELECT 'S' || p_partkey AS symbol, CASE WHEN p_size % 7 <> 0 THEN p_retailprice/40.0::DOUBLE END AS pe_ratio, p_retailprice/44.0::DOUBLE AS forward_pe,
+       CASE WHEN p_size % 9 <> 0 THEN CAST(p_partkey % 50 - 5 AS DOUBLE)/10.0::DOUBLE END AS eps_ttm, CASE WHEN p_size % 5 <> 0 THEN CAST(p_partkey % 41 - 10 AS DOUBLE)/100.0::DOUBLE END AS revenue_growth,
+       CAST(p_size-15 AS DOUBLE)/150.0::DOUBLE AS profit_margin, CASE WHEN p_size % 13 <> 0 THEN CAST(p_size AS DOUBLE)/10.0::DOUBLE END AS debt_to_equity,
+       p_retailprice*1000.0::DOUBLE - p_partkey*10.0::DOUBLE AS free_cash_flow, p_retailprice*1e6::DOUBLE AS market_cap, CASE WHEN p_size % 4 <> 0 THEN p_brand ELSE 'Unknown' END AS sector,
+       p_retailprice*1.25::DOUBLE AS "52w_high", p_retailprice*0.75::DOUBLE AS "52w_low", CASE WHEN p_size % 17 <> 0 THEN p_retailprice END AS current_price FROM part""",
+    "",
+    "pe_ratio forward_pe eps_ttm revenue_growth profit_margin debt_to_equity free_cash_flow:4 market_cap:2",
+)
+def _(t: Tables) -> DataFrame:
+    return readers.read_fundamentals(t.quotes())
+
+
 @query("s11_list_log_dates", "SELECT DISTINCT run_date FROM agent_log ORDER BY run_date DESC", "agent_log")
 def _(t: Tables) -> DataFrame:
     return readers.list_log_dates(t.agent_log())

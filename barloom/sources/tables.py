@@ -247,6 +247,26 @@ class Tables:
             (size / 5.0).alias("pb"),
         )
 
+    def quotes(self) -> DataFrame:
+        """All named metrics of a quote page per part, with gaps and values that are no number, and one the reader does not know."""
+        size, price, key = F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey")
+        return self.raw("part").select(
+            F.concat(F.lit("S"), key).alias("symbol"),
+            F.when(size % 7 != 0, price / 40.0).alias("pe_ratio"),
+            (price / 44.0).alias("forward_pe"),
+            F.when(size % 9 != 0, (key % 50 - 5) / 10.0).alias("eps_ttm"),
+            F.when(size % 5 != 0, (key % 41 - 10) / 100.0).alias("revenue_growth"),
+            ((size - 15) / 150.0).alias("profit_margin"),
+            F.when(size % 13 == 0, F.lit(float("nan"))).otherwise(size / 10.0).alias("debt_to_equity"),
+            (price * 1000.0 - key * 10.0).alias("free_cash_flow"),
+            (price * 1e6).alias("market_cap"),
+            F.when(size % 4 != 0, F.col("p_brand")).alias("sector"),
+            (price * 1.25).alias("52w_high"),
+            (price * 0.75).alias("52w_low"),
+            F.when(size % 17 == 0, F.lit(float("inf"))).otherwise(price).alias("current_price"),
+            size.alias("beta"),
+        )
+
     # -- portfolio ----------------------------------------------------------
     def scored_panel(self) -> DataFrame:
         """(date, symbol, proba, pred, label, fwd_ret): a fixed score column to evaluate."""
