@@ -1,7 +1,9 @@
 """A training corpus from the documents: language, line dedup, near-dedup, mix, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before
-kept; ``run`` writes each result to the shared folder and reads it again.
+kept; ``run`` writes each result to the shared folder and reads it again. The
+columns of ``docs`` come along under any names; doc_id, text, lang and source are
+looked at. Every stage takes an empty table and gives one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier ones have; a document of which nothing is left goes, untouched ones stay, null texts too."""
+    """Documents without the passages that earlier ones have; a document of which nothing is left goes, untouched ones stay, null texts too.
+
+    Rows with one doc_id are not compared with each other; repeated rows lose the same.
+    """
     found, spans = lines.deduplicated(docs)
     found = found.where(spans.isNull() | (F.col("text") != ""))
     if "n_chars" in docs.columns:
@@ -30,17 +35,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    Equal texts, null ones as empty, are one group, so of repeated rows one stays.
+    """
     return shingles.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null source is a source, rows with one doc_id are taken together, texts without words cost nothing."""
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document of the corpus."""
+    """Token counts and digests, a row for each row of the mix; a null text counts as empty."""
     return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -48,7 +56,11 @@ STAGES = [("language", identify), ("line_dedup", dedup_lines), ("simhash_near_de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents.
+
+    Null and letterless texts go in the first stage; rows without doc_id go
+    through all stages, but line dedup leaves their texts as they are.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
