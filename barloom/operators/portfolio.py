@@ -8,6 +8,7 @@ what grows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,16 +58,6 @@ def apply_constraints(raw: DataFrame, allowed: DataFrame, by: Sequence[str] = ("
     return held.select(*by, "rank", "symbol", "sector", "weight", py_round(F.lit(1.0) - _total(by), 4).alias("cash_reserve"))
 
 
-def _add(weights: DataFrame, overlay: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Additive overlay, renormalised when a portfolio it touches exceeds one."""
-    cols = [*by, "symbol"]
-    stacked = weights.select(*cols, "weight", F.lit(False).alias("_o")).unionByName(overlay.select(*cols, "weight", F.lit(True).alias("_o")))
-    summed = stacked.groupBy(*cols).agg(F.sum("weight").alias("weight"), F.max("_o").alias("_o"))
-    w = Window.partitionBy(*by)
-    out = summed.withColumns({"_t": F.sum("weight").over(w), "_o": F.max("_o").over(w)})
-    return out.select(*cols, F.when(F.col("_o") & (F.col("_t") > 1.0), F.col("weight") / F.col("_t")).otherwise(F.col("weight")).alias("weight"))
-
-
 def merge_weights(
     base: DataFrame,
     fallback: DataFrame | None = None,
@@ -77,24 +68,39 @@ def merge_weights(
 ) -> DataFrame:
     """Base weights (``fallback`` for portfolios without any) + pair deltas + events, x macro.
 
-    Overlays come after the caps and may exceed them, as designed; run
+    An overlay renormalises a portfolio that it touches and takes above one; pairs
+    come first. All inputs are stacked and placed by portfolio once, every sum is
+    taken on that placement. Overlays come after the caps and may exceed them, as designed; run
     :func:`barloom.operators.logs.compliance` on the result to see where.
     """
-    cols = [*by, "symbol", "weight"]
-    w = base.select(*cols)
-    if fallback is not None:
-        empty = fallback.join(base.select(*by).distinct(), list(by), "left_anti")
-        w = w.unionByName(empty.select(*cols))
-    if pairs is not None:
-        w = _add(w, pairs, by)
-    if events is not None:
-        w = _add(w, events, by)
+    keys = [*by, "symbol"]
+    inputs = {"base": base, "fallback": fallback, "pairs": pairs, "events": events}
+    none = F.lit(None).cast("double")
+    stacked = [df.select(*keys, F.col("weight").cast("double").alias("weight"), F.lit(kind).alias("_kind"), none.alias("_m")) for kind, df in inputs.items() if df is not None]
     if multiplier is not None:
-        m = F.coalesce("equity_mult", F.lit(1.0))
-        w = w.join(multiplier.select(*by, "equity_mult"), list(by), "left").select(
-            *by, "symbol", F.when(m < 1.0, F.col("weight") * m).otherwise(F.col("weight")).alias("weight")
-        )
-    return w
+        stacked.append(multiplier.select(*by, F.lit(None).cast("string").alias("symbol"), none.alias("weight"), F.lit("macro").alias("_kind"), F.col("equity_mult").cast("double").alias("_m")))
+    placed = reduce(DataFrame.unionByName, stacked).repartition(*by)
+
+    def part(kind: str, of: Column) -> Column:
+        return of(F.when(F.col("_kind") == kind, F.col("weight")))
+
+    rows = placed.groupBy(*keys).agg(
+        *[part(k, F.sum).alias(f"_{k}") for k in inputs], *[part(k, F.count).alias(f"_n_{k}") for k in inputs],
+        F.count_if(F.col("_kind") != "macro").alias("_rows"), F.max("_m").alias("_m"),
+    )
+    w = Window.partitionBy(*by)
+    zero = F.lit(0.0)
+    rows = rows.withColumns({"_own": F.max("_n_base").over(w) > 0, "_mult": F.coalesce(F.max("_m").over(w), F.lit(1.0)), "_p": F.max("_n_pairs").over(w) > 0, "_e": F.max("_n_events").over(w) > 0})
+    start = F.when(F.col("_own"), F.col("_base")).otherwise(F.col("_fallback"))
+
+    def added(before: Column, overlay: str, touched: str, df: DataFrame) -> DataFrame:
+        held = df.withColumn("weight", F.when(before.isNull() & F.col(overlay).isNull(), none).otherwise(F.coalesce(before, zero) + F.coalesce(overlay, zero)))
+        total = F.sum("weight").over(w)
+        return held.withColumn("_t", total).withColumn("weight", F.when(F.col(touched) & (F.col("_t") > 1.0), F.col("weight") / F.col("_t")).otherwise(F.col("weight")))
+
+    out = added(F.col("weight"), "_events", "_e", added(start, "_pairs", "_p", rows))
+    scaled = F.when(F.col("_mult") < 1.0, F.col("weight") * F.col("_mult")).otherwise(F.col("weight"))
+    return out.where((F.col("_rows") > 0) & F.col("weight").isNotNull()).select(*keys, scaled.alias("weight"))
 
 
 def snapshot_positions(

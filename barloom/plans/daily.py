@@ -1,4 +1,4 @@
-"""The research day, the training run and the status request as Spark plans."""
+"""The research day with its end, and the status request, as Spark plans."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import events, factors, hrp, logs, macro, news, options, pairs, portfolio, risk, rollup, universe
+from barloom.operators import events, factors, hrp, logs, macro, memory, news, options, pairs, portfolio, risk, rollup, universe
 from barloom.operators import technical as tech
-from barloom.session import keep
-from barloom.sources import readers
+from barloom.session import cut_lineage, keep
+from barloom.sources import readers, sinks
+from barloom.sources.snapshots import SnapshotStore
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Inputs:
     snapshot_days: int = 60
     lookback_days: int = 366
     events_asof: str | None = None
+    rationale: str = ""
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,20 @@ class Day:
     report: DataFrame
 
 
+@dataclass(frozen=True)
+class EndOfDay:
+    """What a day leaves behind; all lazy."""
+
+    thresholds: DataFrame  # (symbol, style, sl_pct, tp_pct) of the positions, or of the largest proposed ones on a first run
+    positions: DataFrame
+    account: DataFrame
+    decision: DataFrame
+    orders: DataFrame
+
+
+PROPOSED = 5  # names whose thresholds a first run shows
+
+
 def daily_run(day: Inputs, asof: str) -> Day:
     """Regime and screen, per-symbol signals, portfolio construction, risk overrides, report.
 
@@ -98,15 +114,53 @@ def daily_run(day: Inputs, asof: str) -> Day:
     )
     actions = None
     if day.positions is not None:
-        held = portfolio.mark_positions(day.positions, tech.latest_per_symbol(readers.read_bars(day.bars, day.positions, until=asof)))
-        vol = risk.daily_vol(day.bars.join(day.positions.select("symbol"), "symbol", "left_semi"), asof, day.snapshot_days)
-        limits = risk.risk_thresholds(held.select("symbol", F.lit(day.style).alias("style")), vol, day.styles)
-        actions = risk.check_positions(held.join(limits, "symbol"), day.equity, day.starting_equity)
+        held = marked(day, asof)
+        actions = risk.check_positions(held.join(limits(day, held, asof), "symbol"), day.equity, day.starting_equity)
         weights = risk.override_weights(weights, actions)
     report = portfolio.final_report(weights, technical, sentiment, health)
     return Day(regime, chosen, technical, sentiment, health, triggered, flow, signals, base, weights, actions, report)
 
 
+def marked(day: Inputs, asof: str) -> DataFrame:
+    """The positions at their last close up to ``asof``."""
+    return portfolio.mark_positions(day.positions, tech.latest_per_symbol(readers.read_bars(day.bars, day.positions, until=asof)))
+
+
+def limits(day: Inputs, names: DataFrame, asof: str) -> DataFrame:
+    """(symbol, style, sl_pct, tp_pct) of ``names`` under the day's style."""
+    vol = risk.daily_vol(day.bars.join(names.select("symbol"), "symbol", "left_semi"), asof, day.snapshot_days)
+    return risk.risk_thresholds(names.select("symbol", F.lit(day.style).alias("style")), vol, day.styles)
+
+
+def end_of_day(day: Inputs, done: Day, asof: str) -> EndOfDay:
+    """Thresholds, the snapshot to be checked tomorrow, the decision to be remembered, and the orders that lead to the weights.
+
+    Orders compare the weights with the marked positions; without positions all
+    are buys. The starting equity is carried on. A day without weights leaves no
+    position and no decision, and sells what is held.
+    """
+    run = F.lit(asof).cast("date").alias("run_date")
+    weights = cut_lineage(done.weights.select("symbol", "weight"))  # at most the names of the universe
+    prices = tech.latest_per_symbol(readers.read_bars(day.bars, weights, until=asof))
+    spark = weights.sparkSession
+    before = spark.range(1).select(F.lit(float(day.starting_equity)).alias("starting_equity"))
+    positions, account = portfolio.snapshot_positions(weights, prices, day.equity, asof, before)
+    held = cut_lineage(marked(day, asof)) if day.positions is not None else None
+    names = held if held is not None else weights.where("weight > 0").orderBy(F.desc("weight"), "symbol").limit(PROPOSED)
+    facts = weights.where("weight > 0").limit(1).select(run, F.lit(day.style).alias("style"), F.lit(day.rationale).alias("rationale"), F.lit(None).cast("double").alias("pnl_pct"))
+    one = F.lit("account").alias("portfolio")
+    value = spark.createDataFrame([], "symbol string, value double") if held is None else held.select("symbol", (F.col("current_price") * F.col("shares")).alias("value"))
+    equity = spark.range(1).select(one, F.lit(float(day.equity)).alias("equity"))
+    orders = portfolio.rebalance_orders(weights.select(one, "symbol", "weight"), value.select(one, "symbol", "value"), equity).drop("portfolio")
+    return EndOfDay(limits(day, names, asof), positions, account, memory.decision_documents(weights.select(run, "symbol", "weight"), facts), orders)
+
+
+def save_day(end: EndOfDay, folder: str, asof: str) -> None:
+    """Write the snapshot of the day, and its decision over an earlier one of the same day."""
+    sinks.write_portfolio_state(end.positions, end.account.withColumn("last_update", F.col("last_update").cast("string")), f"{folder}/portfolio", asof)
+    SnapshotStore(end.decision.sparkSession, f"{folder}/decisions", ["id"]).upsert(end.decision)
+
+
 def status_request(log: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(status, analyses, compliance, rollup) of every log."""
     blocks = logs.reconstruct_blocks(log)

@@ -1,5 +1,6 @@
 """Readers, sinks, model persistence, the daily plan and the streaming jobs."""
 
+import dataclasses
 import json
 
 import pytest
@@ -9,8 +10,10 @@ from barloom.operators import modeling
 from barloom.operators import technical as tech
 from barloom.plans import daily
 from barloom.plans.signals import full_panel
+from barloom.session import cut_lineage
 from barloom.sources import readers, sinks
 from barloom.sources.dims import styles
+from barloom.sources.snapshots import SnapshotStore
 from barloom.sources.tables import BARS_ASOF, EVENTS_ASOF, Tables
 from barloom.streaming import log_status, risk_monitor
 
@@ -110,7 +113,7 @@ def test_model_round_trip(spark, tmp_path):
     spark.catalog.clearCache()
 
 
-def test_daily_run(spark):
+def test_daily_run(spark, tmp_path):
     t = Tables(spark, "/root/testdata/sf0.01")
     dense = t.baskets().select("symbol", F.split("symbol", "-")[0].alias("sector"), F.lit(None).cast("string").alias("nation")).distinct()
     symbols = [f"S{i}" for i in range(100)] + [r["symbol"] for r in dense.collect()]
@@ -138,6 +141,26 @@ def test_daily_run(spark):
     forced = {r["symbol"] for r in out.actions.where("action like 'FORCE%'").collect()}
     assert 0 < len(report) and set(report["symbol"]) <= names and not set(report["symbol"]) & forced
     assert report["weight"].sum() <= 1.0 + 1e-9 and set(report["direction"]) <= {"bullish", "sideways"}
+
+    out = dataclasses.replace(out, weights=cut_lineage(out.weights))
+    end = daily.end_of_day(day, out, BARS_ASOF)
+    for _ in range(2):
+        daily.save_day(end, str(tmp_path / "day"), BARS_ASOF)
+    kept, account = sinks.read_portfolio_snapshot(spark, str(tmp_path / "day/portfolio"), BARS_ASOF)
+    weight = dict(zip(report["symbol"], report["weight"]))
+    held = {r["symbol"]: r for r in kept.collect()}
+    assert set(held) == {s for s, w in weight.items() if w > 0}
+    assert all(held[s]["shares"] == pytest.approx(100_000 * weight[s] / held[s]["entry_price"], abs=0.01) for s in held)
+    assert (account.first()["equity"], account.first()["starting_equity"]) == (100_000.0, 100_000.0)
+    decided = SnapshotStore(spark, str(tmp_path / "day/decisions"), ["id"]).read().collect()
+    assert [r["id"] for r in decided] == [BARS_ASOF] and json.loads(decided[0]["weights_json"]) == pytest.approx({s: w for s, w in weight.items()})
+    orders = {r["symbol"]: r for r in end.orders.collect()}
+    assert forced <= {s for s, r in orders.items() if r["side"] == "SELL"} | {r["symbol"] for r in t.positions().where("shares * current_price < 600").collect()}
+    assert {r["symbol"] for r in end.thresholds.collect()} == {r["symbol"] for r in t.positions().collect()}
+
+    first = dataclasses.replace(day, positions=None)
+    end = daily.end_of_day(first, out, BARS_ASOF)
+    assert {r["side"] for r in end.orders.collect()} == {"BUY"}
     spark.catalog.clearCache()
 
 
