@@ -19,10 +19,11 @@ from pyspark.sql.functions import pandas_udf
 from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"  # how the vocabulary writes a space
-CACHED = 200_000  # segments that a worker remembers, twice
+CACHED = 350_000  # segments that a worker remembers, twice
 JOINED = 100  # segments that are checked as one text
 CHUNK = 1 << 20  # characters encoded at a time
 SHORT = 48  # symbols up to which a list is the faster agenda
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NEVER = float("inf")  # score of a pair that is no piece
 
 
@@ -51,7 +52,16 @@ class MergeVocabulary:
         self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids if len(p) > 1))
         self.alone = alone
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")) if self.cuts_at_spaces else re.compile(".+", re.S)
+        # nor one between a Latin letter and another mark, if no piece has such neighbours
+        mixed = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN}{SPACE}][{LATIN}]")
+        self.cuts_at_letters = not any(mixed.search(p) for p in self.ids)
+        if not self.cuts_at_spaces:
+            pattern = "(?s:.+)"
+        elif self.cuts_at_letters:
+            pattern = f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        else:
+            pattern = f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
+        self.segment = re.compile(pattern)
         self.fresh: dict[str, bytes] = {}  # ids of segments, packed
         self.older: dict[str, bytes] = {}
 

@@ -80,3 +80,13 @@ def test_columns_round_trip_and_edges(spark, library):
     assert pieces.digests(docs_frame(spark, []), MODEL).count() == 0
     nothing = pieces.digests(docs_frame(spark, [(1, None)]), MODEL).first()
     assert nothing["n_tokens"] == 1 and nothing["ids_sha256"] == hashlib.sha256(b"2").hexdigest()
+
+
+def test_no_piece_crosses_a_cut():
+    """Segments end where no piece has such neighbours, so their ids in a row are those of the text."""
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert v.cuts_at_spaces and v.cuts_at_letters
+    for text in ["don't, (stop) e.g. 3rd/x_y", "naïve café—déjà-vu ².½ x²y", "Ωmega αb漢字c д1", "  two  spaces\t\n\n a", "a\u0301b \u00a0c", "$$$%%% !!word!!"]:
+        parts = v.segments(text)
+        assert "".join(parts) == "▁" + text.replace(" ", "▁")
+        assert v.encode(text) == [*v.library.encode(text), v.end]
