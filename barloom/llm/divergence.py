@@ -23,8 +23,8 @@ from barloom.llm.common import small_side, stored
 
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 HELD_TERMS, HELD_BYTES = 300_000, 1 << 27  # a task passes its counters on at so many, or after so much text
-BUCKET_ROWS = 200_000  # counts in a bucket of terms
-PAIRS = 1 << 20  # pairs of counts evaluated at a time
+BUCKET_ROWS = 100_000  # counts in a bucket of terms
+PAIRS = 1 << 18  # pairs of counts evaluated at a time
 PART = 1 << 20  # bytes of a text that are split at a time
 #: ASCII letters lower-cased, other ASCII to spaces; bytes of other characters stay.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(128)) + bytes(range(128, 256))
