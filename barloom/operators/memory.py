@@ -22,6 +22,7 @@ EMPTY_NOTICE = "No previous trading history in vector memory."
 HEADER = "Recent similar decisions (RAG):"
 # ----------------------------------------------------------------------------
 SAMPLE_ROWS, REGION_ROWS, MOST_REGIONS = 8_192, 4_096, 1_024
+PROBE_ROWS, PROBE_BLOCK = 16_384, 512  # probes that a task gets with a chunk, and compares at once
 SLACK = 1e-6  # of an angle, for rounding
 
 
@@ -150,20 +151,34 @@ def pivot_store(store: DataFrame) -> tuple[DataFrame, Regions]:
     return placed.select("region", chunk.alias("chunk"), "id", "embedding"), Regions(pivots, sizes["low"].to_numpy(), sizes["high"].to_numpy(), chunks)
 
 
-def _nearest_in(probes: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """(probe, id, distance): the k nearest rows of each chunk for the probes (probe, vector, region, chunk) sent to it."""
+def _nearest_in(probes: DataFrame, placed: DataFrame, k: int, parts: int = 1) -> DataFrame:
+    """(probe, id, distance): the k nearest rows of each chunk for the probes (probe, vector, region, chunk) sent to it.
+
+    The probes of a chunk are dealt into ``parts`` and compared PROBE_BLOCK at a
+    time, so that a task holds neither all probes nor a matrix of all distances.
+    """
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(rows):
             return pd.DataFrame({"probe": [], "id": [], "distance": []})
         rows = rows.sort_values("id", kind="stable")
-        q, x = np.array(asked["vector"].tolist(), float), np.array(rows["embedding"].tolist(), float)
-        d = 1.0 - (q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None, :])
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"probe": np.repeat(asked["probe"].to_numpy(), at.shape[1]), "id": rows["id"].to_numpy()[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
+        x, ids = np.array(rows["embedding"].tolist(), float), rows["id"].to_numpy()
+        squares, found = (x * x).sum(1), []
+        for start in range(0, len(asked), PROBE_BLOCK):
+            block = asked.iloc[start : start + PROBE_BLOCK]
+            q = np.array(block["vector"].tolist(), float)
+            d = 1.0 - (q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * squares[None, :])
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"probe": np.repeat(block["probe"].to_numpy(), at.shape[1]), "id": ids[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}))
+        return pd.concat(found, ignore_index=True)
 
     schema = f"probe {placed.schema['id'].dataType.simpleString()}, id {placed.schema['id'].dataType.simpleString()}, distance double"
-    return probes.groupBy("region", "chunk").cogroup(placed.groupBy("region", "chunk")).applyInPandas(search, schema)
+    keys = ["region", "chunk"]
+    if parts > 1:
+        keys = [*keys, "part"]
+        probes = probes.withColumn("part", F.pmod(F.xxhash64("probe"), F.lit(parts)).cast("int"))
+        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -197,17 +212,18 @@ def similar_batch(placed: DataFrame, regions: Regions, probes: DataFrame, k: int
         return pd.Series(out)
 
     deal = F.array(*[F.lit(int(c)) for c in regions.chunks])
+    parts = max(1, -(-asked.count() // PROBE_ROWS))
 
     def sent(rows: DataFrame) -> DataFrame:
         to = rows.withColumn("region", F.explode(routes("vector", "bound")))
         return to.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(deal, F.col("region")) - 1))).select("probe", "vector", "region", "chunk")
 
-    first = cut_lineage(_best(_nearest_in(sent(asked.withColumn("bound", F.lit(None).cast("double"))), placed, k), k))
+    first = cut_lineage(_best(_nearest_in(sent(asked.withColumn("bound", F.lit(None).cast("double"))), placed, k, parts), k))
     worst = first.groupBy("probe").agg(F.max("distance").alias("d"), F.count("*").alias("n"))
     angle = F.when(F.col("n") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - F.col("d"))))).otherwise(F.lit(4.0))
     bounded = asked.join(worst, "probe", "left").select("probe", "vector", F.coalesce(angle, F.lit(4.0)).alias("bound"))
     more = cut_lineage(sent(bounded))
-    found = _best(first.drop("rank").unionByName(_nearest_in(more, placed, k)), k)
+    found = _best(first.drop("rank").unionByName(_nearest_in(more, placed, k, parts)), k)
     read = more.select("probe", "region").distinct().groupBy("probe").agg(F.count("*").alias("_more"))
     reads = asked.join(read, "probe", "left").select("probe", (F.coalesce("_more", F.lit(0)) + 1).cast("int").alias("regions_read"), F.lit(len(filled)).alias("regions"))
     return found, reads

@@ -62,3 +62,13 @@ def test_odd_rows_and_small_stores(spark):
     none, regions = memory.pivot_store(spark.createDataFrame([], "id long, embedding array<double>"))
     found, reads = memory.similar_batch(none, regions, spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"))
     assert found.count() == 0 and reads.first()["regions"] == 0
+
+
+def test_many_probes_are_dealt_and_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(memory, "REGION_ROWS", 50)
+    monkeypatch.setattr(memory, "PROBE_ROWS", 16)
+    monkeypatch.setattr(memory, "PROBE_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    store = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    reads, got, want = check(spark, store, [(i, rng.normal(size=4).tolist()) for i in range(70)], 5)
+    assert len(reads) == 70 and got == want
