@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.series import dealt
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -25,12 +27,13 @@ class Facts:
     not_before_first_probe: bool = False
 
 
-def asof_many(probes: DataFrame, tables: list[Facts], by: str = "symbol", probe_time: str = "date") -> DataFrame:
+def asof_many(probes: DataFrame, tables: list[Facts], by: str = "symbol", probe_time: str = "date", tasks: int | None = None) -> DataFrame:
     """Attach to every probe the latest row of each fact table with ``time <= probe_time``.
 
     Facts and probes are stacked, facts first on equal times, and the last fact of
     each table seen so far is carried along: one shuffle on ``by`` and one sort for
-    all tables, instead of a range join per table.
+    all tables, instead of a range join per table. ``tasks`` is how many tasks they
+    are dealt to, for large tables (:func:`series_tasks`).
     """
     types = [f.df.select(F.struct(*f.cols).alias("s")).schema["s"].dataType for f in tables]
     probe = F.struct(*[F.col(c) for c in probes.columns])
@@ -50,6 +53,7 @@ def asof_many(probes: DataFrame, tables: list[Facts], by: str = "symbol", probe_
     both = stack(probes, probe_time, len(tables), F.lit(0), None)
     for i, f in enumerate(tables):
         both = both.unionByName(stack(f.df, f.time, i, f.seq if f.seq is not None else F.lit(0), F.struct(*f.cols)))
+    both = dealt(both, tasks, "_by")
     is_probe = F.col("_kind") == len(tables)
     if any(f.not_before_first_probe for f in tables):
         both = both.withColumn("_first", F.min(F.when(is_probe, F.col("_t"))).over(Window.partitionBy("_by")))

@@ -16,12 +16,25 @@ from barloom.functions.numeric import ratio
 
 # Largest exponent of e that a restart block of the exponential mean may reach; doubles end near e^709.
 EWM_REACH = 600.0
+# Rows of a series table that a task sorts; tables for fewer tasks than LEAST_TASKS are dealt as Spark decides.
+TASK_ROWS, LEAST_TASKS = 100_000, 16
 
 
 def series(key: str = "symbol", order: str = "date"):
     return Window.partitionBy(key).orderBy(order)
 
 
+def series_tasks(rows: int) -> int | None:
+    """Tasks to deal ``rows`` rows to, so that what a task sorts does not grow with the table; None where Spark's own choice does."""
+    tasks = -(-rows // TASK_ROWS)
+    return tasks if tasks > LEAST_TASKS else None
+
+
+def dealt(df: DataFrame, tasks: int | None, key: str = "symbol") -> DataFrame:
+    """``df`` dealt by ``key`` to ``tasks``, which every window over ``key`` reuses; as it is without a number."""
+    return df.repartition(tasks, key) if tasks else df
+
+
 def trailing(n: int, key: str = "symbol", order: str = "date"):
     return series(key, order).rowsBetween(-(n - 1), 0)
 

@@ -25,13 +25,13 @@ def earnings_facts(earnings: DataFrame) -> Facts:
     return Facts(earnings.withColumn("_known", F.lit(True)), ["report_date", "surprise", "_known"], "report_date")
 
 
-def pead_columns(panel: DataFrame, earnings: DataFrame) -> DataFrame:
+def pead_columns(panel: DataFrame, earnings: DataFrame, tasks: int | None = None) -> DataFrame:
     """Add earnings_surprise_pct, pead_signal, days_since_beat as known on each date.
 
     No report yet gives 0 / 0 / -1; a report whose surprise is undefined keeps a
     NULL surprise here (the panel default turns it into 0).
     """
-    return score_pead(asof_many(panel, [earnings_facts(earnings)]), F.col("date"), list(panel.columns))
+    return score_pead(asof_many(panel, [earnings_facts(earnings)], tasks=tasks), F.col("date"), list(panel.columns))
 
 
 def live_pead(earnings: DataFrame, asof: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.alignment import Facts, asof_many, fill_on_calendar
 from barloom.functions.numeric import py_round, ratio
 from barloom.functions.series import (
+    dealt,
     forward_return,
     log_return,
     pct_change,
@@ -170,7 +171,7 @@ def with_price_features(df: DataFrame) -> DataFrame:
     )
 
 
-def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None) -> DataFrame:
+def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix: DataFrame | None, tasks: int | None = None) -> DataFrame:
     """Complete-case panel of the 15 base features plus forward returns and label.
 
     ``indices`` is (index, date, close) of every sector and of the market ``MKT``,
@@ -178,9 +179,10 @@ def technical_features(bars: DataFrame, dims: DataFrame, indices: DataFrame, vix
 
     The bars are placed by symbol once; every window, including the chained
     exponential means, reuses that placement. Market, sector and VIX series are
-    calendar-sized: they become one table that is joined once.
+    calendar-sized: they become one table that is joined once. ``tasks`` is how many
+    tasks the bars are dealt to, for large tables (:func:`series_tasks`).
     """
-    placed = with_volume_ratio(bars.repartition("symbol")).where(F.col("close").isNotNull() & (F.col("_have") >= MIN_FEATURE_ROWS))
+    placed = with_volume_ratio(dealt(bars, tasks) if tasks else bars.repartition("symbol")).where(F.col("close").isNotNull() & (F.col("_have") >= MIN_FEATURE_ROWS))
     legs = with_rsi_inputs(placed, False, *running_sum("close"), (F.row_number().over(series()) - 1).alias("_rn"))
     windows = with_price_features(legs).drop("volume", "_have", "_diff")
     means = with_ewm(
@@ -219,10 +221,10 @@ def _attach_indices(panel: DataFrame, dims: DataFrame, indices: DataFrame, vix:
     )
 
 
-def build_features(base: DataFrame, earnings: DataFrame | None, trends: DataFrame | None, insider: DataFrame | None) -> DataFrame:
+def build_features(base: DataFrame, earnings: DataFrame | None, trends: DataFrame | None, insider: DataFrame | None, tasks: int | None = None) -> DataFrame:
     """Base panel plus earnings drift, search interest and insider score, with defaults."""
     facts = [f for f in (earnings_facts(earnings) if earnings is not None else None, trend_facts(trends) if trends is not None else None) if f]
-    out = asof_many(base, facts) if facts else base
+    out = asof_many(base, facts, tasks=tasks) if facts else base
     if earnings is not None:
         other = [c for c in out.columns if c not in ("report_date", "surprise", "_known")]
         out = score_pead(out, F.col("date"), other).drop("days_since_beat", "days_since_report")
@@ -252,12 +254,12 @@ def trend_facts(trends: DataFrame, back_fill: bool = True) -> Facts:
     return Facts(trends, cols, "week", back_fill=back_fill, not_before_first_probe=True)
 
 
-def attach_trends(panel: DataFrame, trends: DataFrame, back_fill: bool = True) -> DataFrame:
+def attach_trends(panel: DataFrame, trends: DataFrame, back_fill: bool = True, tasks: int | None = None) -> DataFrame:
     """Weekly values held until the next week; the first in-range week also fills backwards.
 
     ``back_fill=False`` is the point-in-time variant.
     """
-    hit = asof_many(panel, [trend_facts(trends, back_fill)])
+    hit = asof_many(panel, [trend_facts(trends, back_fill)], tasks=tasks)
     defaults = {"gtrends_interest": 1.0, "gtrends_spike_ratio": 1.0, "gtrends_spike_flag": 0.0}
     return hit.na.fill(defaults)
 

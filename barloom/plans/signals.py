@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.series import dealt
 from barloom.operators import events, factors, insider, live, macro, news, options, universe
 from barloom.operators import technical as tech
 from barloom.plans.cte import SW, clip, cte, pyround, sigmoid
@@ -140,8 +141,9 @@ def full_panel(t: Tables) -> DataFrame:
     return tech.build_features(
         base_panel(t),
         readers.read_earnings(t.earnings()),
-        tech.weekly_trends(t.interest()),
+        tech.weekly_trends(dealt(t.interest(), t.series_tasks)),
         insider.insider_signal(readers.read_insider_tx(t.insider_tx()), EVENTS_ASOF),
+        t.series_tasks,
     )
 
 

@@ -126,7 +126,7 @@ def _(t: Tables) -> DataFrame:
     "bars",
 )
 def _(t: Tables) -> DataFrame:
-    return tech.with_history(t.bars().where("close is not null"), 530).groupBy("symbol").agg(F.count("*").alias("n_rows"))
+    return tech.with_history(t.series().where("close is not null"), 530).groupBy("symbol").agg(F.count("*").alias("n_rows"))
 
 
 @query(
@@ -222,12 +222,12 @@ def _(t: Tables) -> DataFrame:
     "ret_1 ret_5 ret_21 ret_63 ret_252",
 )
 def _(t: Tables) -> DataFrame:
-    return t.bars().select("symbol", "date", *[S.pct_change("close", n).alias(f"ret_{n}") for n in (1, 5, 21, 63, 252)])
+    return t.series().select("symbol", "date", *[S.pct_change("close", n).alias(f"ret_{n}") for n in (1, 5, 21, 63, 252)])
 
 
 @query("w02_forward_return", f"SELECT symbol, date, lead(close,5) OVER {SW}/close - 1 AS fwd_ret FROM bars", "bars", "fwd_ret")
 def _(t: Tables) -> DataFrame:
-    return t.bars().select("symbol", "date", S.forward_return("close", 5).alias("fwd_ret"))
+    return t.series().select("symbol", "date", S.forward_return("close", 5).alias("fwd_ret"))
 
 
 @query(
@@ -237,7 +237,7 @@ def _(t: Tables) -> DataFrame:
     "sma20:4 sma50:4 sma200:4",
 )
 def _(t: Tables) -> DataFrame:
-    base = t.bars().select("*", *S.running_sum("close"))
+    base = t.series().select("*", *S.running_sum("close"))
     return base.select("symbol", "date", *[S.prefix_mean(n).alias(f"sma{n}") for n in (20, 50, 200)])
 
 
@@ -248,7 +248,7 @@ def _(t: Tables) -> DataFrame:
     "std20:4 std60:4",
 )
 def _(t: Tables) -> DataFrame:
-    return t.bars().select("symbol", "date", *[S.rolling_std("close", n).alias(f"std{n}") for n in (20, 60)])
+    return t.series().select("symbol", "date", *[S.rolling_std("close", n).alias(f"std{n}") for n in (20, 60)])
 
 
 def _ewm_sql(src: str, x: str, alpha: str, out: str) -> str:
@@ -280,7 +280,7 @@ _ewm_ctes()
 
 @query("w06_ewm", "SELECT symbol, date, ema12, ema26, ag AS avg_gain, al AS avg_loss FROM ewm", "ewm", "ema12:4 ema26:4 avg_gain:4 avg_loss:4")
 def _(t: Tables) -> DataFrame:
-    legs = tech.with_rsi_inputs(t.bars(), seed_zero=False)
+    legs = tech.with_rsi_inputs(t.series(), seed_zero=False)
     specs = {
         "ema12": ("close", S.span_alpha(12)),
         "ema26": ("close", S.span_alpha(26)),
@@ -292,14 +292,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("w07_macd", "SELECT symbol, date, macd, macd - sig AS macd_hist FROM macd", "macd", "macd:4 macd_hist:4")
 def _(t: Tables) -> DataFrame:
-    e = S.with_ewm(S.with_row_index(t.bars()), {"e12": ("close", S.span_alpha(12)), "e26": ("close", S.span_alpha(26))})
+    e = S.with_ewm(S.with_row_index(t.series()), {"e12": ("close", S.span_alpha(12)), "e26": ("close", S.span_alpha(26))})
     m = S.with_ewm(e.withColumn("macd", F.col("e12") - F.col("e26")), {"sig": ("macd", S.span_alpha(9))})
     return m.select("symbol", "date", "macd", (F.col("macd") - F.col("sig")).alias("macd_hist"))
 
 
 @query("w08_rsi_feature", "SELECT symbol, date, 100 - 100/(1 + ag/nullif(al, 0)) AS rsi FROM ewm", "ewm", "rsi:6")
 def _(t: Tables) -> DataFrame:
-    legs = S.with_row_index(tech.with_rsi_inputs(t.bars(), seed_zero=False))
+    legs = S.with_row_index(tech.with_rsi_inputs(t.series(), seed_zero=False))
     means = S.with_ewm(legs, {"avg_gain": ("_gain", tech.RSI_ALPHA), "avg_loss": ("_loss", tech.RSI_ALPHA)})
     return means.select("symbol", "date", tech.rsi().alias("rsi"))
 
@@ -319,7 +319,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY date)"""
     "rsi_14:6",
 )
 def _(t: Tables) -> DataFrame:
-    legs = S.with_row_index(tech.with_rsi_inputs(t.bars(), seed_zero=True))
+    legs = S.with_row_index(tech.with_rsi_inputs(t.series(), seed_zero=True))
     means = S.with_ewm(legs, {"avg_gain": ("_gain", tech.RSI_ALPHA), "avg_loss": ("_loss", tech.RSI_ALPHA)})
     return means.select("symbol", "date", F.when(F.col("_rn") >= 13, tech.rsi(zero_loss=100.0)).alias("rsi_14"))
 
@@ -344,20 +344,20 @@ cte(
     "bb_pos momentum_12_1 price_vs_sma20 price_vs_sma50 price_vs_sma200",
 )
 def _(t: Tables) -> DataFrame:
-    legs = tech.with_rsi_inputs(t.bars(), False, *S.running_sum("close"))
+    legs = tech.with_rsi_inputs(t.series(), False, *S.running_sum("close"))
     cols = ["symbol", "date", "bb_pos", "momentum_12_1", "price_vs_sma20", "price_vs_sma50", "price_vs_sma200"]
     return tech.with_price_features(legs).select(*cols)
 
 
 @query("w11_atr_pct", "SELECT symbol, date, atr_pct FROM price_windows", "price_windows", "atr_pct")
 def _(t: Tables) -> DataFrame:
-    d = t.bars().withColumn("d", F.col("close") - F.lag("close").over(S.series()))
+    d = t.series().withColumn("d", F.col("close") - F.lag("close").over(S.series()))
     return d.select("symbol", "date", ratio(S.sma(F.abs("d"), 14), "close").alias("atr_pct"))
 
 
 @query("w12_volume_ratio", "SELECT symbol, date, volume_ratio FROM price_windows", "price_windows", "volume_ratio")
 def _(t: Tables) -> DataFrame:
-    return tech.with_volume_ratio(t.bars()).select("symbol", "date", "volume_ratio")
+    return tech.with_volume_ratio(t.series()).select("symbol", "date", "volume_ratio")
 
 
 _VOL = f"""SELECT symbol, date, lr, stddev_samp(lr) OVER (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING) AS hv10,
@@ -371,7 +371,7 @@ _VOL = f"""SELECT symbol, date, lr, stddev_samp(lr) OVER (PARTITION BY symbol OR
     "log_ret hv_10_annualized:6 atr_20_pct:6",
 )
 def _(t: Tables) -> DataFrame:
-    lr = t.bars().withColumn("log_ret", S.log_return("close"))
+    lr = t.series().withColumn("log_ret", S.log_return("close"))
     sd = lambda n: F.stddev_samp("log_ret").over(S.trailing(n))
     return lr.select("symbol", "date", "log_ret", (sd(10) * F.sqrt(F.lit(252.0)) * 100).alias("hv_10_annualized"), (sd(20) * 100).alias("atr_20_pct"))
 
@@ -384,7 +384,7 @@ def _(t: Tables) -> DataFrame:
     "dist_high dist_low",
 )
 def _(t: Tables) -> DataFrame:
-    x = t.bars().select("*", S.rolling(F.max, "close", 20).alias("hi"), S.rolling(F.min, "close", 20).alias("lo"))
+    x = t.series().select("*", S.rolling(F.max, "close", 20).alias("hi"), S.rolling(F.min, "close", 20).alias("lo"))
     c = F.col("close")
     return x.select(
         "symbol",
@@ -469,7 +469,7 @@ _BASE = " ".join(f"{c}:{4 if c == 'macd_hist' else 6}" for c in [*tech.BASE_FEAT
 
 
 def base_panel(t: Tables) -> DataFrame:
-    return tech.technical_features(t.bars(), t.dims(), t.indices(), t.vix())
+    return tech.technical_features(t.bars(), t.dims(), t.indices(), t.vix(), t.series_tasks)
 
 
 @query("d01_technical_features", f"SELECT symbol, date, {', '.join(tech.BASE_FEATURES)}, fwd_ret, rel_fwd_ret, label FROM features", "features", _BASE)
@@ -509,7 +509,7 @@ cte("pead", pead_sql("bars"), "bars", "earnings")
 def _(t: Tables) -> DataFrame:
     from barloom.operators.earnings import pead_columns
 
-    out = pead_columns(t.bars().select("symbol", "date"), readers.read_earnings(t.earnings()))
+    out = pead_columns(t.bars().select("symbol", "date"), readers.read_earnings(t.earnings()), t.series_tasks)
     return out.select("symbol", "date", "earnings_surprise_pct", "pead_signal", "days_since_beat")
 
 
@@ -550,7 +550,7 @@ cte("trend_daily", trends_sql("bars"), "bars", "trends")
     "gtrends_spike_ratio",
 )
 def _(t: Tables) -> DataFrame:
-    return tech.attach_trends(t.bars().select("symbol", "date"), tech.weekly_trends(t.interest()))
+    return tech.attach_trends(t.bars().select("symbol", "date"), tech.weekly_trends(S.dealt(t.interest(), t.series_tasks)), tasks=t.series_tasks)
 
 
 @query(

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import forward_return
+from barloom.functions.series import dealt, forward_return, series_tasks
 from barloom.sources.dims import WATCHLIST
 
 MONEY = "decimal(18,2)"
@@ -78,6 +78,15 @@ class Tables:
             .select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), "date", "close", "volume")
         )
 
+    @cached_property
+    def series_tasks(self) -> int | None:
+        """Tasks for tables by symbol, none of which has more rows than there are line items; these are counted from the files' footers."""
+        return series_tasks(self.raw("lineitem").count())
+
+    def series(self) -> DataFrame:
+        """The bars, dealt by symbol for windows over whole series."""
+        return dealt(self.bars(), self.series_tasks)
+
     @cached_property
     def places(self) -> DataFrame:
         """(suppkey, sector, nation): nation and region are fixed-size dimensions."""
@@ -162,7 +171,7 @@ class Tables:
             )
         )
         prev = F.lag("actual").over(Window.partitionBy("l_suppkey").orderBy("month"))
-        return per_month.select(
+        return dealt(per_month, self.series_tasks, "l_suppkey").select(
             F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
             "report_date",
             F.col("actual").alias("Reported EPS"),
@@ -270,7 +279,7 @@ class Tables:
     # -- portfolio ----------------------------------------------------------
     def scored_panel(self) -> DataFrame:
         """(date, symbol, proba, pred, label, fwd_ret): a fixed score column to evaluate."""
-        base = self.bars().select("symbol", "date", "volume", forward_return("close", 5).alias("fwd_ret"))
+        base = self.series().select("symbol", "date", "volume", forward_return("close", 5).alias("fwd_ret"))
         proba = (F.col("volume") % 97) / 97.0
         return base.select(
             "date",

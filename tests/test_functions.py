@@ -1,5 +1,7 @@
 """Numeric helpers and series functions against Python and pandas."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import numeric as N
 from barloom.functions import series as S
-from barloom.functions.alignment import asof_backward, fill_on_calendar
+from barloom.functions.alignment import Facts, asof_backward, asof_many, fill_on_calendar
 from barloom.functions.ranking import average_rank, positional_split, with_median
 from barloom.functions.text import is_buy, is_sell, json_body
 
@@ -190,3 +192,14 @@ def test_rounding_of_large_values(spark):
     for d in range(5):
         got = [r[0] for r in column(spark, values).orderBy("i").select(N.py_round("x", d)).collect()]
         assert got == [round(x, d) for x in values]
+
+
+def test_large_series_are_dealt_to_tasks_by_rows(spark):
+    assert S.series_tasks(600_000) is None and S.series_tasks(6_000_000) == 60 and S.series_tasks(36_000_000) == 360
+    rows = [(f"S{s}", datetime.date(2020, 1, 1) + datetime.timedelta(days=d), float(s + d)) for s in range(30) for d in range(4)]
+    probes = spark.createDataFrame(rows, "symbol string, date date, close double")
+    facts = Facts(probes.where("close % 3 = 0").select("symbol", "date", F.col("close").alias("x")), ["x"])
+    plain, dealt = asof_many(probes, [facts]), asof_many(probes, [facts], tasks=40)
+    assert dealt.rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert S.dealt(probes, 40).rdd.getNumPartitions() == 40
