@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.functions import numeric as N
+from barloom.functions import ranking
 from barloom.functions import series as S
 from barloom.functions.alignment import Facts, asof_backward, asof_many, fill_on_calendar
 from barloom.functions.ranking import average_rank, positional_split, with_median
@@ -194,6 +195,20 @@ def test_rounding_of_large_values(spark):
         assert got == [round(x, d) for x in values]
 
 
+def test_ranges_of_a_value_take_few_comparisons(spark):
+    """Many cut points, values on, between and beyond them, both zeros, NaN and null; steps of cut points are skipped."""
+    edges = [float(x) for x in range(-60, 61, 3)]
+    values = [*edges, *[e + 0.5 for e in edges], -0.0, float("nan"), float("inf"), -100.0, None]
+    for cuts in ([], edges[:1], edges[:5], edges):
+        df = ranking.slots(spark.createDataFrame([(v,) for v in values], "v double"), "v", (cuts, cuts[:2]))
+        for r in df.collect():
+            v = r["v"]
+            if v is not None:
+                assert r["_slot"] // 2 == (len(cuts) if v != v else sum(c < v for c in cuts))
+                assert r["_slot"] % 2 == (v in cuts[:2])
+    assert "slice" in df._jdf.queryExecution().toString()
+
+
 def test_large_series_are_dealt_to_tasks_by_rows(spark):
     assert S.series_tasks(600_000) is None and S.series_tasks(6_000_000) == 60 and S.series_tasks(36_000_000) == 360
     rows = [(f"S{s}", datetime.date(2020, 1, 1) + datetime.timedelta(days=d), float(s + d)) for s in range(30) for d in range(4)]
