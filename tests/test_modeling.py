@@ -101,3 +101,28 @@ def test_a_failing_fit_is_raised(spark):
     with pytest.raises(KeyError):
         modeling.in_parallel([lambda: 1, bad, lambda: 2], 2)
     assert modeling.in_parallel([lambda k=k: spark.range(k).count() for k in range(5)], 3) == [0, 1, 2, 3, 4]
+
+
+def test_the_final_fit_runs_beside_the_walk_forward(spark, panel, monkeypatch):
+    import threading
+
+    walk, final = modeling.Boosting(rounds=1), modeling.Boosting(rounds=2)
+    plain, started = modeling.fit, threading.Event()
+
+    def watched(cfg, rows):
+        if cfg is final:
+            started.set()
+        else:
+            assert started.wait(30)
+        return plain(cfg, rows)
+
+    monkeypatch.setattr(modeling, "fit", watched)
+    assert modeling.walk_forward_run(panel, walk, final)[2].stages[-1].getNumTrees == 2
+
+
+def test_a_final_fit_that_fails_behind_a_shut_gate_is_not_raised(spark, panel, monkeypatch):
+    def bad(cfg, rows):
+        raise ValueError("one class")
+
+    monkeypatch.setattr(modeling, "fit", bad)
+    assert modeling.walk_forward_run(panel.withColumn("label", F.lit(1)), CFG, CFG)[2] is None
