@@ -21,7 +21,7 @@ from barloom.operators import evaluation as ev
 from barloom.operators.technical import FEATURES, direction_from_prob
 from barloom.session import cut_lineage
 
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK, MOST_ROWS = 50_000, 500_000
 AT_ONCE, POOL = 4, "fits"
 T = TypeVar("T")
 
@@ -63,12 +63,13 @@ def fit(cfg: Boosting, rows: DataFrame) -> PipelineModel:
     """All rounds over ``rows``; missing inputs count as 0.
 
     Boosting makes several small jobs a round, so the rows are put into as few
-    tasks as ROWS_PER_TASK allows: a small panel is not spread over many tasks,
-    a large one keeps its partitions. The kept rows are released afterwards.
+    tasks as ROWS_PER_TASK allows, and into no more than there are cores unless a
+    task would get over MOST_ROWS. The kept rows are released afterwards.
     """
     ready = rows.na.fill(0.0, subset=FEATURES).select(*FEATURES, "label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tasks = max(1, -(-ready.count() // ROWS_PER_TASK))
+        n, cores = ready.count(), ready.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, min(-(-n // ROWS_PER_TASK), cores), -(-n // MOST_ROWS))
         few = ready.coalesce(tasks) if tasks < ready.rdd.getNumPartitions() else ready
         return estimator(cfg).fit(few)
     finally:

@@ -126,3 +126,16 @@ def test_a_final_fit_that_fails_behind_a_shut_gate_is_not_raised(spark, panel, m
 
     monkeypatch.setattr(modeling, "fit", bad)
     assert modeling.walk_forward_run(panel.withColumn("label", F.lit(1)), CFG, CFG)[2] is None
+
+
+def test_a_fit_takes_a_task_per_core_unless_tasks_get_too_large(spark, panel, monkeypatch):
+    class Spread:
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions()
+
+    cores, n = spark.sparkContext.defaultParallelism, panel.count()
+    monkeypatch.setattr(modeling, "estimator", lambda cfg: Spread())
+    monkeypatch.setattr(modeling, "ROWS_PER_TASK", 2)
+    assert modeling.fit(CFG, panel.repartition(3 * cores)) == cores
+    monkeypatch.setattr(modeling, "MOST_ROWS", -(-n // (2 * cores)))
+    assert cores < modeling.fit(CFG, panel.repartition(3 * cores)) <= 2 * cores
