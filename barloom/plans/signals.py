@@ -188,7 +188,7 @@ def _(t: Tables) -> DataFrame:
     for after, upto in zip(days, days[1:]):
         bars = t.bars(since=after).where(F.col("date") <= F.lit(upto).cast("date"))
         indices, vix = t.indices(since=after and LIVE_REACH), t.vix(since=after and LIVE_REACH)
-        store.upsert(live.advance(store.read() if after else None, bars, t.dims(), indices, vix))
+        store.upsert(live.advance(store.read() if after else None, bars, t.dims(), indices, vix, None if after else t.series_tasks))
     return live.live_features(
         store.read(), readers.read_earnings(t.earnings()), tech.weekly_trends(t.interest()),
         insider.insider_signal(readers.read_insider_tx(t.insider_tx()), EVENTS_ASOF), BARS_ASOF,
